@@ -41,16 +41,24 @@ def top_rows(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 
 def top_rows_per_group(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "position"
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    k: int,
+    rank: str = "position",
+    lanes: bool = True,
 ) -> DataFrame:
     """The first ``k`` rows of each group, with their rank from 1.
 
     One group may hold most of the rows, so the lanes cut it before it meets in
-    one task: that task sees at most LANES * k rows.
+    one task: that task sees at most LANES * k rows. Frames that come out of an
+    aggregation have few partitions, each cut to k rows where it stands, and can
+    do without the extra round (``lanes=False``).
     """
     last = Window.partitionBy(*group).orderBy(*order)
-    best = _best_per_lane(df, group, order, k)
-    return best.withColumn(rank, F.row_number().over(last)).filter(F.col(rank) <= k)
+    if lanes:
+        df = _best_per_lane(df, group, order, k)
+    return df.withColumn(rank, F.row_number().over(last)).filter(F.col(rank) <= k)
 
 
 def _best_per_lane(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -2,67 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from shelfscope.functions import exact
-from shelfscope.operators.toplist import asc, by, desc, top_rows
-from shelfscope.plans.reports import DISCOUNT_LIST, kpi_columns
+from shelfscope.operators.toplist import by, desc, top_rows
+from shelfscope.plans.facts import Facts, Rows
+from shelfscope.plans.reports import deepest_discounts, kpi_columns
 
 c = F.col
 
 
-def dash_brand_list(products: DataFrame) -> DataFrame:
-    return products.select("brand").dropna().distinct().orderBy("brand")
-
+def dash_brand_list(facts: Facts) -> DataFrame:
+    return facts.frame.select("brand").dropna().distinct().orderBy("brand")
 
-def dash_kpis(products: DataFrame) -> DataFrame:
-    return products.agg(F.count("*").alias("products"), *kpi_columns())
 
+def dash_kpis(facts: Facts) -> DataFrame:
+    return facts.frame.agg(facts.items().alias("products"), *kpi_columns(facts))
 
-def dash_top_discounted(products: DataFrame) -> DataFrame:
-    """Unlike the report of the same shape, unrated products count too."""
-    rows = products.select(DISCOUNT_LIST)
-    return top_rows(rows, by([desc("discount_percent"), asc("price")], DISCOUNT_LIST), 50)
 
-
-def dash_top_brands(products: DataFrame) -> DataFrame:
-    rows = products.groupBy("brand").agg(F.count("*").alias("product_count"), exact.avg("mrp", None).alias("mrp"))
+def dash_top_brands(facts: Facts) -> DataFrame:
+    average = exact.mean(facts.moments("mrp"), None).alias("mrp")
+    rows = facts.frame.groupBy("brand").agg(facts.items().alias("product_count"), average)
     return top_rows(rows, by([desc("product_count")], ["brand"]), 5)
 
 
-def dash_brand_price_discount(products: DataFrame) -> DataFrame:
+def dash_brand_price_discount(facts: Facts) -> DataFrame:
+    """Averages over products that have a brand, a price and a discount."""
+    price, discount = facts.moments("paired_price"), facts.moments("paired_discount")
     return (
-        products.dropna(subset=["brand", "price", "discount_percent"])
+        facts.frame.dropna(subset=["brand"])
         .groupBy("brand")
         .agg(
-            exact.avg("price", None).alias("avg_price"),
-            exact.avg("discount_percent", None).alias("avg_discount_percent"),
+            exact.mean(price, None).alias("avg_price"),
+            exact.mean(discount, None).alias("avg_discount_percent"),
+            price.n.alias("paired"),
         )
+        .filter(c("paired") > 0)
+        .drop("paired")
     )
 
 
-def chart_top10_brand_means(products: DataFrame) -> DataFrame:
+def chart_top10_brand_means(facts: Facts) -> DataFrame:
     """Brands by number of priced products; rows without a brand are left out."""
+    price = facts.moments("price")
     rows = (
-        products.dropna(subset=["brand"])
+        facts.frame.dropna(subset=["brand"])
         .groupBy("brand")
         .agg(
-            exact.avg("price", None).alias("avg_price"),
-            exact.avg("discount_percent", None).alias("avg_discount"),
-            F.count("price").alias("count"),
+            exact.mean(price, None).alias("avg_price"),
+            exact.mean(facts.moments("discount_percent"), None).alias("avg_discount"),
+            price.n.alias("count"),
         )
     )
     return top_rows(rows, by([desc("count")], ["brand"]), 10)
 
 
-DASHBOARD = {
+AGGREGATES: dict[str, Callable[[Facts], DataFrame]] = {
     f.__name__: f
-    for f in (
-        dash_brand_list,
-        dash_kpis,
-        dash_top_discounted,
-        dash_top_brands,
-        dash_brand_price_discount,
-        chart_top10_brand_means,
-    )
+    for f in (dash_brand_list, dash_kpis, dash_top_brands, dash_brand_price_discount, chart_top10_brand_means)
 }
+
+
+def panel(name: str, products: DataFrame) -> DataFrame:
+    if name == "dash_top_discounted":  # unlike the report of the same shape, unrated products count too
+        return deepest_discounts(products)
+    return AGGREGATES[name](Rows(products))
+
+
+PANELS = [*AGGREGATES, "dash_top_discounted"]

@@ -16,12 +16,17 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfscope.functions import exact
-from shelfscope.functions.bands import discount_band
 from shelfscope.functions.sentences import bullets
 from shelfscope.operators.filters import FilterSpec, predicate
-from shelfscope.operators.shares import with_share
-from shelfscope.operators.toplist import asc, by, desc, top_rows, top_rows_per_group
-from shelfscope.plans.reports import DISCOUNT_LIST, count_where, discount_bands, kpi_columns
+from shelfscope.operators.toplist import asc, by, desc, top_rows_per_group
+from shelfscope.plans.facts import Cube, Facts, Rows
+from shelfscope.plans.reports import (
+    DISCOUNT_LIST,
+    brand_concentration,
+    deepest_discounts,
+    discount_bands,
+    kpi_columns,
+)
 
 c = F.col
 BRANDS = 10
@@ -29,7 +34,7 @@ KPIS = ["avg_price", "avg_mrp", "avg_discount_pct", "no_discount_items", "produc
 MEASURES = ("price", "mrp", "discount_percent")
 Specs = Mapping[str, FilterSpec]
 
-# Which columns a grouping-sets row leaves out, as bits (pack_id, brand, band).
+# Which columns a grouping-sets row leaves out, as bits (pack_id, brand, discount_band).
 _PER_BRAND, _PER_BAND, _PER_PACK = 0b001, 0b010, 0b011
 
 
@@ -40,25 +45,28 @@ def _deepest_discount_first() -> list[Column]:
 # --- one pack, question by question -------------------------------------------------
 
 
+def _slice(products: DataFrame, spec: FilterSpec, include_rating: bool = False) -> Rows:
+    return Rows(products.filter(predicate(spec, include_rating)))
+
+
 def pack_core_kpis(products: DataFrame, spec: FilterSpec, include_rating: bool = False) -> DataFrame:
     """Five KPIs of the slice, 0 where there is nothing to average."""
-    row = products.filter(predicate(spec, include_rating)).agg(*kpi_columns(), F.count("*").alias("products"))
+    facts = _slice(products, spec, include_rating)
+    row = facts.frame.agg(*kpi_columns(facts), facts.items().alias("products"))
     return row.select(*(F.coalesce(c(k), F.lit(0).cast(row.schema[k].dataType)).alias(k) for k in KPIS))
 
 
 def pack_brand_concentration(products: DataFrame, spec: FilterSpec, include_rating: bool = False) -> DataFrame:
-    rows = products.filter(predicate(spec, include_rating))
-    shares = with_share(rows.groupBy("brand").agg(F.count("*").alias("items")))
-    return top_rows(shares, by([desc("items")], ["brand"]), BRANDS)
+    return brand_concentration(_slice(products, spec, include_rating), BRANDS)
 
 
 def pack_discount_bands(products: DataFrame, spec: FilterSpec, include_rating: bool = False) -> DataFrame:
-    return discount_bands(products.filter(predicate(spec, include_rating)))
+    return discount_bands(_slice(products, spec, include_rating))
 
 
 def pack_top_discounted_rated(products: DataFrame, spec: FilterSpec) -> DataFrame:
-    rows = products.filter(predicate(spec, include_rating=True) & (c("rating_total") > 0))
-    return top_rows(rows.select(DISCOUNT_LIST), _deepest_discount_first(), spec.rows)
+    rows = _slice(products, spec, include_rating=True).frame
+    return deepest_discounts(rows.filter(c("rating_total") > 0), spec.rows)
 
 
 def pack_bullets(products: DataFrame, spec: FilterSpec) -> DataFrame:
@@ -75,17 +83,26 @@ def pack_bullets(products: DataFrame, spec: FilterSpec) -> DataFrame:
 def _tagged(products: DataFrame, packs: Mapping[str, Column]) -> DataFrame:
     """Each row once per pack it matches, with ``pack_id``. No join: specs are literals."""
     matching = products.filter(reduce(or_, packs.values()))
-    tags = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in packs.items())))
-    return matching.withColumn("pack_id", F.explode(tags))
+    tags = F.array(*(F.when(rule, F.lit(name)) for name, rule in packs.items()))
+    return matching.withColumn("pack_id", F.explode(tags)).filter(c("pack_id").isNotNull())
 
 
 def pack_cube(products: DataFrame, specs: Specs, include_rating: bool = False) -> DataFrame:
     """Counts and moments per (pack, brand, band); cubes of disjoint inputs may be unioned."""
     rows = _tagged(products, {name: predicate(s, include_rating) for name, s in specs.items()})
-    return rows.groupBy("pack_id", "brand", discount_band(c("discount_percent")).alias("band")).agg(
-        F.count("*").alias("items"),
-        count_where(c("price") == c("mrp")).alias("no_discount_items"),
-        *(column for m in MEASURES for column in exact.moments(c(m)).named(m)),
+    return _grouped(Rows(rows))
+
+
+def merge_pack_cubes(cubes: DataFrame) -> DataFrame:
+    """One cube from the union of several."""
+    return _grouped(Cube(cubes))
+
+
+def _grouped(facts: Facts) -> DataFrame:
+    return facts.frame.groupBy("pack_id", "brand", facts.key("discount_band").alias("discount_band")).agg(
+        facts.items().alias("items"),
+        facts.flagged("no_discount_items").alias("no_discount_items"),
+        *(column for m in MEASURES for column in facts.moments(m).named(m)),
     )
 
 
@@ -109,34 +126,23 @@ def _summary(cube: DataFrame) -> DataFrame:
     All three come from one pass over the cube; the ranking keeps at most ten
     rows per kind before they are collected into arrays.
     """
-    kind = F.grouping_id("pack_id", "brand", "band")
-    levels = cube.groupingSets(
-        [[c("pack_id")], [c("pack_id"), c("brand")], [c("pack_id"), c("band")]],
-        c("pack_id"),
-        c("brand"),
-        c("band"),
-    ).agg(
-        kind.alias("kind"),
-        F.sum("items").alias("items"),
-        F.sum("no_discount_items").alias("no_discount_items"),
-        *(exact.mean(exact.merged(m)).alias(f"avg_{m}") for m in MEASURES),
-    )
-    ranked = top_rows_per_group(levels, ["pack_id", "kind"], by([desc("items")], ["brand", "band"]), BRANDS)
-    kpis = F.struct(
-        c("avg_price"),
-        c("avg_mrp"),
-        c("avg_discount_percent").alias("avg_discount_pct"),
-        "no_discount_items",
-        c("items").alias("products"),
+    facts = Cube(cube)
+    pack, brand, band = c("pack_id"), c("brand"), c("discount_band")
+    levels = cube.groupingSets([[pack], [pack, brand], [pack, band]], pack, brand, band).agg(
+        F.grouping_id("pack_id", "brand", "discount_band").alias("kind"),
+        facts.items().alias("items"),
+        F.struct(*kpi_columns(facts), facts.items().alias("products")).alias("kpis"),
     )
+    order = by([desc("items")], ["brand", "discount_band"])
+    ranked = top_rows_per_group(levels, ["pack_id", "kind"], order, BRANDS, lanes=False)
 
-    def listed(kind: int, *names: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(c("kind") == kind, F.struct("position", *names))))
+    def listed(kind: int, name: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when(c("kind") == kind, F.struct("position", name, "items"))))
 
     return ranked.groupBy("pack_id").agg(
-        F.max(F.when(c("kind") == _PER_PACK, kpis)).alias("kpis"),
-        listed(_PER_BRAND, "brand", "items").alias("brands"),
-        listed(_PER_BAND, "band", "items").alias("bands"),
+        F.max(F.when(c("kind") == _PER_PACK, c("kpis"))).alias("kpis"),
+        listed(_PER_BRAND, brand).alias("brands"),
+        listed(_PER_BAND, band.alias("band")).alias("bands"),
     )
 
 

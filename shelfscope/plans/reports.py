@@ -1,4 +1,8 @@
-"""The sixteen fixed catalogue reports, each ``DataFrame -> DataFrame``."""
+"""The sixteen fixed catalogue reports.
+
+Aggregate reports take ``Facts`` and so run on the rows or on a shared cube;
+top lists and the sample always read the rows.
+"""
 
 from __future__ import annotations
 
@@ -6,126 +10,113 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfscope.functions import bands, exact
+from shelfscope.functions import exact
 from shelfscope.operators.shares import with_share
 from shelfscope.operators.toplist import asc, by, desc, sample_rows, top_rows
+from shelfscope.plans.facts import Cube, Facts, Rows
 
 c = F.col
 RATED_LIST = ["product_id", "title", "brand", "rating", "rating_total", "price", "mrp", "discount_percent"]
 DISCOUNT_LIST = ["product_id", "title", "brand", "price", "mrp", "discount_percent", "rating", "rating_total"]
 SAMPLE = ["product_id", "brand", "price", "mrp", "discount_percent"]
+SAMPLE_ROWS = 1000
 
 
-def count_where(condition: Column) -> Column:
-    """Rows that meet the condition; NULL, not 0, without any row."""
-    return F.sum(F.when(condition, 1).otherwise(0))
+def kpi_columns(facts: Facts) -> list[Column]:
+    return [
+        exact.mean(facts.moments("price")).alias("avg_price"),
+        exact.mean(facts.moments("mrp")).alias("avg_mrp"),
+        exact.mean(facts.moments("discount_percent")).alias("avg_discount_pct"),
+        facts.flagged("no_discount_items").alias("no_discount_items"),
+    ]
 
 
-def nonzero(name: str) -> Column:
-    return F.nullif(c(name), F.lit(0.0))
+def _by(facts: Facts, key: str, label: str, *figures: Column) -> DataFrame:
+    return facts.frame.groupBy(facts.key(key).alias(label)).agg(*figures)
 
 
-def avg_nonzero(name: str) -> Column:
-    return exact.mean(exact.moments(nonzero(name)))
+def _biggest_first(rows: DataFrame, label: str) -> DataFrame:
+    return rows.orderBy(desc("items"), asc(label))
 
 
-def markdown() -> Column:
-    return F.greatest(c("mrp") - c("price"), F.lit(0.0))
+def row_counts(facts: Facts) -> DataFrame:
+    return facts.frame.agg(facts.items().alias("products"), F.count_distinct("brand").alias("brands"))
 
 
-def blank(name: str) -> Column:
-    return c(name).isNull() | (c(name) == "")
+def core_kpis(facts: Facts) -> DataFrame:
+    return facts.frame.agg(*kpi_columns(facts))
 
 
-def kpi_columns() -> list[Column]:
-    return [
-        exact.avg("price").alias("avg_price"),
-        exact.avg("mrp").alias("avg_mrp"),
-        exact.avg("discount_percent").alias("avg_discount_pct"),
-        count_where(c("price") == c("mrp")).alias("no_discount_items"),
-    ]
+def discount_bands(facts: Facts) -> DataFrame:
+    return _biggest_first(_by(facts, "discount_band", "band", facts.items().alias("items")), "band")
 
 
-def row_counts(products: DataFrame) -> DataFrame:
-    return products.agg(F.count("*").alias("products"), F.count_distinct("brand").alias("brands"))
+def brand_avg_discount_top20(facts: Facts) -> DataFrame:
+    average = exact.mean(facts.moments("discount_percent")).alias("avg_discount_pct")
+    rows = _by(facts, "brand", "brand", facts.items().alias("items"), average).filter(c("items") >= 5)
+    return top_rows(rows, by([desc("avg_discount_pct")], ["brand"]), 20)
 
 
-def core_kpis(products: DataFrame) -> DataFrame:
-    return products.agg(*kpi_columns())
+def brand_concentration(facts: Facts, k: int = 20) -> DataFrame:
+    rows = with_share(_by(facts, "brand", "brand", facts.items().alias("items")))
+    return top_rows(rows, by([desc("items")], ["brand"]), k)
 
 
-def discount_bands(products: DataFrame) -> DataFrame:
-    band = bands.discount_band(c("discount_percent")).alias("band")
-    return products.groupBy(band).agg(F.count("*").alias("items")).orderBy(desc("items"), asc("band"))
+def ratings_coverage(facts: Facts) -> DataFrame:
+    return facts.frame.agg(
+        facts.flagged("rated_items").alias("rated_items"),
+        facts.flagged("unrated_items").alias("unrated_items"),
+        exact.mean(facts.moments("rating_nonzero")).alias("avg_rating_nonzero"),
+    )
 
 
-def brand_avg_discount_top20(products: DataFrame) -> DataFrame:
-    rows = (
-        products.groupBy("brand")
-        .agg(F.count("*").alias("items"), exact.avg("discount_percent").alias("avg_discount_pct"))
-        .filter(c("items") >= 5)
-    )
-    return top_rows(rows, by([desc("avg_discount_pct")], ["brand"]), 20)
+def rating_distribution(facts: Facts) -> DataFrame:
+    return _biggest_first(_by(facts, "rating_band", "rating_band", facts.items().alias("items")), "rating_band")
 
 
-def brand_concentration_top20(products: DataFrame) -> DataFrame:
-    rows = with_share(products.groupBy("brand").agg(F.count("*").alias("items")))
-    return top_rows(rows, by([desc("items")], ["brand"]), 20)
+def rating_by_discount_band(facts: Facts) -> DataFrame:
+    return _by(
+        facts,
+        "discount_band",
+        "band",
+        exact.mean(facts.moments("rating_nonzero")).alias("avg_rating_nonzero"),
+        facts.ratings().alias("total_ratings"),
+        facts.items().alias("items"),
+    ).orderBy(asc("band"))
 
 
-def ratings_coverage(products: DataFrame) -> DataFrame:
-    return products.agg(
-        count_where(c("rating_total") > 0).alias("rated_items"),
-        count_where(c("rating_total") == 0).alias("unrated_items"),
-        avg_nonzero("rating").alias("avg_rating_nonzero"),
+def price_bucket_distribution(facts: Facts) -> DataFrame:
+    average = exact.mean(facts.moments("discount_percent")).alias("avg_discount_pct")
+    return _biggest_first(
+        _by(facts, "price_bucket", "price_bucket", facts.items().alias("items"), average), "price_bucket"
     )
 
 
-def rating_distribution(products: DataFrame) -> DataFrame:
-    band = bands.rating_band(c("rating")).alias("rating_band")
-    return products.groupBy(band).agg(F.count("*").alias("items")).orderBy(desc("items"), asc("rating_band"))
+def image_count_vs_rating(facts: Facts) -> DataFrame:
+    average = exact.mean(facts.moments("rating_nonzero")).alias("avg_rating_nonzero")
+    return _biggest_first(_by(facts, "img_bucket", "img_bucket", facts.items().alias("items"), average), "img_bucket")
 
 
-def top_rated_by_volume(products: DataFrame) -> DataFrame:
-    rows = products.filter((c("rating_total") >= 100) & (c("rating") >= 4)).select(RATED_LIST)
-    return top_rows(rows, by([desc("rating"), desc("rating_total")], RATED_LIST), 50)
+def total_markdown_value(facts: Facts) -> DataFrame:
+    return facts.frame.agg(exact.total(facts.moments("markdown")).alias("total_markdown_value"))
 
 
-def highest_discounts_rated(products: DataFrame) -> DataFrame:
-    rows = products.filter(c("rating_total") > 0).select(DISCOUNT_LIST)
-    return top_rows(rows, by([desc("discount_percent"), asc("price")], DISCOUNT_LIST), 50)
-
-
-def rating_by_discount_band(products: DataFrame) -> DataFrame:
-    return (
-        products.groupBy(bands.discount_band(c("discount_percent")).alias("band"))
-        .agg(
-            avg_nonzero("rating").alias("avg_rating_nonzero"),
-            F.sum("rating_total").alias("total_ratings"),
-            F.count("*").alias("items"),
-        )
-        .orderBy(asc("band"))
-    )
+def data_quality_nulls(facts: Facts) -> DataFrame:
+    return facts.frame.agg(*(facts.flagged(f).alias(f) for f in ("null_brands", "null_titles", "bad_price")))
 
 
-def price_bucket_distribution(products: DataFrame) -> DataFrame:
-    return (
-        products.groupBy(bands.price_bucket(c("price")).alias("price_bucket"))
-        .agg(F.count("*").alias("items"), exact.avg("discount_percent").alias("avg_discount_pct"))
-        .orderBy(desc("items"), asc("price_bucket"))
-    )
+def top_rated_by_volume(products: DataFrame) -> DataFrame:
+    rows = products.filter((c("rating_total") >= 100) & (c("rating") >= 4)).select(RATED_LIST)
+    return top_rows(rows, by([desc("rating"), desc("rating_total")], RATED_LIST), 50)
 
 
-def image_count_vs_rating(products: DataFrame) -> DataFrame:
-    return (
-        products.groupBy(bands.image_bucket(c("img_count")).alias("img_bucket"))
-        .agg(F.count("*").alias("items"), avg_nonzero("rating").alias("avg_rating_nonzero"))
-        .orderBy(desc("items"), asc("img_bucket"))
-    )
+def deepest_discounts(products: DataFrame, k: int = 50) -> DataFrame:
+    order = by([desc("discount_percent"), asc("price")], DISCOUNT_LIST)
+    return top_rows(products.select(DISCOUNT_LIST), order, k)
 
 
-def total_markdown_value(products: DataFrame) -> DataFrame:
-    return products.agg(exact.total(exact.moments(markdown())).alias("total_markdown_value"))
+def highest_discounts_rated(products: DataFrame) -> DataFrame:
+    return deepest_discounts(products.filter(c("rating_total") > 0))
 
 
 def duplicate_titles_top50(products: DataFrame) -> DataFrame:
@@ -133,41 +124,47 @@ def duplicate_titles_top50(products: DataFrame) -> DataFrame:
     return top_rows(rows, by([desc("dupes")], ["title"]), 50)
 
 
-def data_quality_nulls(products: DataFrame) -> DataFrame:
-    return products.agg(
-        count_where(blank("brand")).alias("null_brands"),
-        count_where(blank("title")).alias("null_titles"),
-        count_where(c("price").isNull() | (c("price") <= 0)).alias("bad_price"),
-    )
-
-
 def sample_price_vs_mrp(products: DataFrame, seed: int | None = None) -> DataFrame:
-    """1,000 priced products in random order; repeatable unless a seed is given."""
+    """1,000 priced products in random order; the same ones each time unless a seed is given."""
     rows = products.filter(c("price").isNotNull() & c("mrp").isNotNull())
     if seed is not None:
-        return sample_rows(rows.select(SAMPLE), 1000, seed=seed)
+        return sample_rows(rows.select(SAMPLE), SAMPLE_ROWS, seed=seed)
     rows = rows.select(*SAMPLE, "style_id")
-    return sample_rows(rows, 1000, key=["product_id", "style_id"]).select(SAMPLE)
-
-
-REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    f.__name__: f
-    for f in (
-        row_counts,
-        core_kpis,
-        discount_bands,
-        brand_avg_discount_top20,
-        brand_concentration_top20,
-        ratings_coverage,
-        rating_distribution,
-        top_rated_by_volume,
-        highest_discounts_rated,
-        rating_by_discount_band,
-        price_bucket_distribution,
-        image_count_vs_rating,
-        total_markdown_value,
-        duplicate_titles_top50,
-        data_quality_nulls,
-        sample_price_vs_mrp,
-    )
+    return sample_rows(rows, SAMPLE_ROWS, key=["product_id", "style_id"]).select(SAMPLE)
+
+
+AGGREGATES: dict[str, Callable[[Facts], DataFrame]] = {
+    "row_counts": row_counts,
+    "core_kpis": core_kpis,
+    "discount_bands": discount_bands,
+    "brand_avg_discount_top20": brand_avg_discount_top20,
+    "brand_concentration_top20": brand_concentration,
+    "ratings_coverage": ratings_coverage,
+    "rating_distribution": rating_distribution,
+    "rating_by_discount_band": rating_by_discount_band,
+    "price_bucket_distribution": price_bucket_distribution,
+    "image_count_vs_rating": image_count_vs_rating,
+    "total_markdown_value": total_markdown_value,
+    "data_quality_nulls": data_quality_nulls,
 }
+
+LISTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "top_rated_by_volume": top_rated_by_volume,
+    "highest_discounts_rated": highest_discounts_rated,
+    "duplicate_titles_top50": duplicate_titles_top50,
+    "sample_price_vs_mrp": sample_price_vs_mrp,
+}
+
+
+def report(name: str, products: DataFrame) -> DataFrame:
+    """One report straight from the rows."""
+    return AGGREGATES[name](Rows(products)) if name in AGGREGATES else LISTS[name](products)
+
+
+def all_reports(products: DataFrame, cube: DataFrame) -> dict[str, DataFrame]:
+    """The whole set: twelve reports from the cube, four from the rows.
+
+    Persist the cube, or read it from a table, so that it is built once.
+    """
+    found = {name: build(Cube(cube)) for name, build in AGGREGATES.items()}
+    return found | {name: build(products) for name, build in LISTS.items()}

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfscope import oracles
 from shelfscope.operators.filters import FilterSpec
-from shelfscope.plans import packs
-from shelfscope.plans.dashboard import DASHBOARD
-from shelfscope.plans.reports import REPORTS
+from shelfscope.plans import dashboard, packs, reports
 from shelfscope.sources.derived import products
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,7 +87,8 @@ ONE = "discounted_well_rated"
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {name: _over(build) for name, build in {**REPORTS, **DASHBOARD}.items()}
+    found: dict[str, Query] = {n: _over(partial(reports.report, n)) for n in [*reports.AGGREGATES, *reports.LISTS]}
+    found |= {n: _over(partial(dashboard.panel, n)) for n in dashboard.PANELS}
     for name, (spec, _) in FILTERS.items():
         found[name] = _over(packs.pack_core_kpis, spec, True)
     one = SPECS[ONE]
