@@ -12,7 +12,7 @@ WITH priced AS (
          CAST(floor(round(l_extendedprice * 100) / l_quantity) AS BIGINT) AS mrp_c,
          CAST(round(l_discount * 100) AS BIGINT) * 7 AS disc
   FROM lineitem JOIN part ON l_partkey = p_partkey),
-products AS (
+listed AS (
   SELECT l_orderkey * 10 + l_linenumber AS product_id,
          l_partkey AS style_id,
          CASE WHEN l_partkey % 97 = 0 THEN NULL WHEN l_partkey % 89 = 0 THEN ''
@@ -168,5 +168,59 @@ def pack_bullets(where: str) -> str:
         ' items (~', format('{{:.1f}}', 100.0 * items / CAST(s AS DOUBLE)), '%).') FROM d)"""
 
 
-def over_products(sql: str) -> str:
-    return PRODUCTS + sql
+PACK_TABLES = ("brand_concentration", "discount_bands", "top_discounted_rated")
+
+
+def numbered(rows: str, order: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS position, * FROM ({rows})"
+
+
+def per_pack(sql: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS pack_id, * FROM ({rows})" for name, rows in sql.items())
+
+
+# A CSV file cannot tell an empty text from a missing one.
+EMPTY_IS_NULL = "* REPLACE (nullif(title, '') AS title, nullif(brand, '') AS brand)"
+RELOADED = f"SELECT {COLUMNS} FROM (SELECT {EMPTY_IS_NULL} FROM products)"
+
+LOADING = {
+    "ingest_csv": RELOADED,
+    "ingest_missing_columns": """SELECT product_id,
+      CASE WHEN style_id % 2 = 0 THEN style_id END AS style_id,
+      CASE WHEN style_id % 2 = 1 THEN nullif(title, '') END AS title,
+      CASE WHEN style_id % 2 = 1 THEN nullif(brand, '') END AS brand,
+      CASE WHEN style_id % 2 = 1 THEN price END AS price,
+      CAST(NULL AS DOUBLE) AS mrp, CAST(NULL AS DOUBLE) AS discount_percent, CAST(NULL AS DOUBLE) AS rating,
+      CAST(NULL AS BIGINT) AS rating_total, CAST(NULL AS VARCHAR) AS img_primary,
+      CASE WHEN style_id % 2 = 0 THEN img_count END AS img_count FROM products""",
+    "ingest_coercion": """SELECT
+      CASE product_id % 7 WHEN 0 THEN product_id WHEN 1 THEN product_id WHEN 6 THEN product_id
+        WHEN 4 THEN CAST(concat('1', CAST(product_id AS VARCHAR)) AS BIGINT) END AS product_id,
+      style_id,
+      CASE style_id % 9 WHEN 7 THEN 'Nantes' WHEN 8 THEN img_primary END AS title,
+      CASE style_id % 8 WHEN 0 THEN mrp WHEN 2 THEN CAST(100 AS DOUBLE) WHEN 5 THEN CAST(12.5 AS DOUBLE)
+        WHEN 7 THEN CAST(10.5 AS DOUBLE) END AS price FROM products""",
+    "ingest_ragged_rows": """SELECT product_id, style_id,
+      CASE style_id % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'short' WHEN 4 THEN 'q,uoted' END AS title,
+      CASE style_id % 8 WHEN 0 THEN '4711' WHEN 4 THEN 'B' END AS brand
+      FROM products WHERE style_id % 8 IN (0, 1, 4, 5)""",
+    "ingest_append": """SELECT nullif(brand, '') AS brand, 2 * COUNT(*) AS items,
+      CAST(2 * SUM(product_id) AS BIGINT) AS id_sum, 2 * COUNT(nullif(title, '')) AS titled
+      FROM products GROUP BY 1""",
+    "ingest_row_count": "SELECT 2 * COUNT(*) AS rows_inserted FROM products",
+    "report_csv": f"""SELECT {EMPTY_IS_NULL} FROM (SELECT {DISCOUNT_LIST} FROM products WHERE rating_total > 0
+      ORDER BY {BY_DISCOUNT} LIMIT 20)""",
+    "adhoc_select": "SELECT brand, COUNT(*) AS items, MAX(mrp) AS max_mrp FROM products GROUP BY brand",
+    "adhoc_select_json": """SELECT concat('{"brand":', CASE WHEN brand IS NULL THEN 'null'
+      ELSE concat('"', brand, '"') END, ',"items":', CAST(COUNT(*) AS VARCHAR), '}') AS row_json
+      FROM products GROUP BY brand""",
+    "stream_ingest": RELOADED,
+    "stream_ingest_by_name": RELOADED,
+    "stream_brand_counts": f"""SELECT nullif(brand, '') AS brand, {DISCOUNT_BAND} AS band, COUNT(*) AS items
+      FROM products GROUP BY 1, 2""",
+}
+
+
+def over_products(sql: str, reloaded: bool = False) -> str:
+    """The query over the derived products, as they are or as a CSV load gives them back."""
+    return f"{PRODUCTS}, products AS (SELECT {EMPTY_IS_NULL if reloaded else '*'} FROM listed)\n{sql}"

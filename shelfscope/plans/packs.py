@@ -110,10 +110,10 @@ def pack_top(products: DataFrame, specs: Specs) -> DataFrame:
     """The rated list of every pack, ranked from 1."""
     rated = c("rating_total") > 0
     rows = _tagged(products, {name: predicate(s, include_rating=True) & rated for name, s in specs.items()})
-    return _best_rated(rows.select("pack_id", *DISCOUNT_LIST), specs)
+    return best_rated(rows.select("pack_id", *DISCOUNT_LIST), specs)
 
 
-def _best_rated(rows: DataFrame, specs: Specs) -> DataFrame:
+def best_rated(rows: DataFrame, specs: Specs) -> DataFrame:
     most = max(s.rows for s in specs.values())
     ranked = top_rows_per_group(rows, ["pack_id"], _deepest_discount_first(), most)
     wanted = reduce(or_, ((c("pack_id") == name) & (c("position") <= s.rows) for name, s in specs.items()))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfscope import oracles
 from shelfscope.operators.filters import FilterSpec
-from shelfscope.plans import dashboard, packs, reports
+from shelfscope.plans import dashboard, loading, packs, reports
 from shelfscope.sources.derived import products
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,14 @@ def queries() -> dict[str, Query]:
     found["pack_top_discounted_rated"] = _over(packs.pack_top_discounted_rated, one)
     found["pack_bullets"] = _over(packs.pack_bullets, one)
     found["insight_pack"] = _over(packs.insight_pack, one)
+    found["insight_packs_multi"] = _over(lambda p: loading.flat_kpis(packs.insight_packs(p, SPECS)))
+    for table in oracles.PACK_TABLES:
+        found[f"packs_{table}"] = _over(lambda p, t=table: loading.flat_table(packs.insight_packs(p, SPECS), t))
+    found["packs_bullets"] = _over(lambda p: loading.flat_bullets(packs.insight_packs(p, SPECS)))
+    found["pack_documents"] = _over(loading.pack_documents, SPECS)
+    found |= {name: _over(build) for name, build in loading.LOADING.items()}
+    found["stream_refresh_packs"] = _over(loading.stream_refresh_packs, SPECS)
+    found["stream_refresh_reports"] = _over(loading.stream_refresh_reports, SPECS)
     return found
 
 
@@ -111,4 +119,37 @@ def oracle_sql() -> dict[str, str]:
     found["pack_discount_bands"] = oracles.pack_bands(shelf)
     found["pack_top_discounted_rated"] = oracles.pack_rated(rated, spec.rows)
     found["pack_bullets"] = oracles.pack_bullets(shelf)
-    return {name: oracles.over_products(sql) for name, sql in found.items()}
+    found["insight_packs_multi"] = oracles.per_pack(
+        {
+            name: f"SELECT *, CAST(CASE WHEN products > 0 THEN 4 ELSE 1 END AS BIGINT) AS sentences"
+            f" FROM ({oracles.pack_kpis(shelf)})"
+            for name, (_, shelf, _) in SLICES.items()
+        }
+    )
+    found["packs_brand_concentration"] = oracles.per_pack(
+        {
+            name: oracles.numbered(oracles.shares(shelf, 10), oracles.ordered("items DESC", "brand ASC"))
+            for name, (_, shelf, _) in SLICES.items()
+        }
+    )
+    found["packs_discount_bands"] = oracles.per_pack(
+        {
+            name: oracles.numbered(oracles.pack_bands(shelf), oracles.ordered("items DESC", "band ASC"))
+            for name, (_, shelf, _) in SLICES.items()
+        }
+    )
+    found["packs_top_discounted_rated"] = oracles.per_pack(
+        {
+            name: oracles.numbered(oracles.pack_rated(rated, spec.rows), oracles.BY_DISCOUNT)
+            for name, (spec, _, rated) in SLICES.items()
+        }
+    )
+    found["packs_bullets"] = oracles.per_pack(
+        {name: oracles.pack_bullets(shelf) for name, (_, shelf, _) in SLICES.items()}
+    )
+    found["pack_documents"] = found["packs_brand_concentration"]
+    found |= oracles.LOADING
+    found["stream_refresh_packs"] = found["insight_packs_multi"]
+    found["stream_refresh_reports"] = oracles.REPORTS["price_bucket_distribution"]
+    reloaded = {"stream_refresh_packs", "stream_refresh_reports"}
+    return {name: oracles.over_products(sql, name in reloaded) for name, sql in found.items()}

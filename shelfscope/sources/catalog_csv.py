@@ -9,7 +9,8 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from shelfscope.functions.coerce import typed
 from shelfscope.schema import PRODUCTS
@@ -24,6 +25,7 @@ _CORRUPT = "_corrupt"
 _END = "\u0001end"
 
 Header = tuple[str, ...]
+Reader = DataFrameReader | DataStreamReader
 
 
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
@@ -31,7 +33,7 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
     return [r.path for r in listing(spark.read, folder).select("path").collect()]
 
 
-def listing(reader, folder: str) -> DataFrame:
+def listing(reader: Reader, folder: str) -> DataFrame:
     """File names and sizes of the folder; works for batch and stream readers."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     return reader.format("binaryFile").schema(schema).option("pathGlobFilter", GLOB).load(folder)
@@ -53,7 +55,7 @@ def read_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
                 log.warning("%s is empty", path)
     if not groups:
         return spark.createDataFrame([], PRODUCTS)
-    scans = (conform(scan_text(spark, header, members), header) for header, members in groups.items())
+    scans = (conform(scan_text(spark.read, header, members), header) for header, members in groups.items())
     return reduce(DataFrame.unionByName, scans)
 
 
@@ -63,7 +65,7 @@ def read_header(spark: SparkSession, path: str) -> Header:
     return tuple(next(csv.reader([first.value.lstrip("\ufeff")]), ())) if first else ()
 
 
-def scan_text(spark: SparkSession, header: Header, paths: str | Sequence[str]) -> DataFrame:
+def scan_text(reader: Reader, header: Header, paths: str | Sequence[str]) -> DataFrame:
     """All fields as text in columns ``_0, _1, ...``; overlong rows are left out.
 
     Short rows are padded with NULL. The reader marks both kinds alike and cuts
@@ -71,11 +73,14 @@ def scan_text(spark: SparkSession, header: Header, paths: str | Sequence[str]) -
     them: a row fits where that gives the same first field and the mark is among
     one field more than the header has. (The first field also keeps a scan from
     being pruned to the mark alone, which the reader refuses.)
+
+    Lines must be parsed whole even where few columns are asked for: a pruned
+    parse takes overlong rows for good ones.
     """
     names = [f"_{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
-    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT)
-    rows = reader.options(header=True, columnPruning=False, **CSV_TEXT).csv(paths if isinstance(paths, str) else list(paths))
+    reader = reader.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT)
+    rows = reader.options(header=True, columnPruning=False, pathGlobFilter=GLOB, **CSV_TEXT).csv(paths)
     return rows.filter(F.col(_CORRUPT).isNull() | _fits(F.col(_CORRUPT), len(header))).select(names)
 
 
