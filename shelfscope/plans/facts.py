@@ -8,6 +8,8 @@ then answers every aggregate report, and cubes of separate loads add up.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfscope.functions import bands, exact
@@ -16,42 +18,41 @@ from shelfscope.functions.exact import Moments
 c = F.col
 
 
-def keys() -> dict[str, Column]:
-    return {
-        "brand": c("brand"),
-        "discount_band": bands.discount_band(c("discount_percent")),
-        "rating_band": bands.rating_band(c("rating")),
-        "price_bucket": bands.price_bucket(c("price")),
-        "img_bucket": bands.image_bucket(c("img_count")),
-    }
-
-
 def blank(name: str) -> Column:
     return c(name).isNull() | (c(name) == "")
 
 
-def flags() -> dict[str, Column]:
-    return {
-        "no_discount_items": c("price") == c("mrp"),
-        "rated_items": c("rating_total") > 0,
-        "unrated_items": c("rating_total") == 0,
-        "null_brands": blank("brand"),
-        "null_titles": blank("title"),
-        "bad_price": c("price").isNull() | (c("price") <= 0),
-    }
+def both_known(x: str, other: str) -> Column:
+    """``x`` where ``other`` is known as well."""
+    return F.when(c(other).isNotNull(), c(x))
+
+
+KEYS: dict[str, Callable[[], Column]] = {
+    "brand": lambda: c("brand"),
+    "discount_band": lambda: bands.discount_band(c("discount_percent")),
+    "rating_band": lambda: bands.rating_band(c("rating")),
+    "price_bucket": lambda: bands.price_bucket(c("price")),
+    "img_bucket": lambda: bands.image_bucket(c("img_count")),
+}
 
+FLAGS: dict[str, Callable[[], Column]] = {
+    "no_discount_items": lambda: c("price") == c("mrp"),
+    "rated_items": lambda: c("rating_total") > 0,
+    "unrated_items": lambda: c("rating_total") == 0,
+    "null_brands": lambda: blank("brand"),
+    "null_titles": lambda: blank("title"),
+    "bad_price": lambda: c("price").isNull() | (c("price") <= 0),
+}
 
-def values() -> dict[str, Column]:
-    both = c("price").isNotNull() & c("discount_percent").isNotNull()
-    return {
-        "price": c("price"),
-        "mrp": c("mrp"),
-        "discount_percent": c("discount_percent"),
-        "rating_nonzero": F.nullif(c("rating"), F.lit(0.0)),
-        "markdown": F.greatest(c("mrp") - c("price"), F.lit(0.0)),
-        "paired_price": F.when(both, c("price")),
-        "paired_discount": F.when(both, c("discount_percent")),
-    }
+VALUES: dict[str, Callable[[], Column]] = {
+    "price": lambda: c("price"),
+    "mrp": lambda: c("mrp"),
+    "discount_percent": lambda: c("discount_percent"),
+    "rating_nonzero": lambda: F.nullif(c("rating"), F.lit(0.0)),
+    "markdown": lambda: F.greatest(c("mrp") - c("price"), F.lit(0.0)),
+    "paired_price": lambda: both_known("price", "discount_percent"),
+    "paired_discount": lambda: both_known("discount_percent", "price"),
+}
 
 
 def count_where(condition: Column) -> Column:
@@ -66,19 +67,19 @@ class Rows:
         self.frame = products
 
     def key(self, name: str) -> Column:
-        return keys()[name]
+        return KEYS[name]()
 
     def items(self) -> Column:
         return F.count("*")
 
     def flagged(self, name: str) -> Column:
-        return count_where(flags()[name])
+        return count_where(FLAGS[name]())
 
     def ratings(self) -> Column:
         return F.sum("rating_total")
 
     def moments(self, name: str) -> Moments:
-        return exact.moments(values()[name])
+        return exact.moments(VALUES[name]())
 
 
 class Cube:
@@ -116,9 +117,9 @@ def merge_cubes(cubes: DataFrame) -> DataFrame:
 
 
 def _grouped(facts: Facts) -> DataFrame:
-    return facts.frame.groupBy(*(facts.key(k).alias(k) for k in keys())).agg(
+    return facts.frame.groupBy(*(facts.key(k).alias(k) for k in KEYS)).agg(
         facts.items().alias("items"),
-        *(facts.flagged(f).alias(f) for f in flags()),
+        *(facts.flagged(f).alias(f) for f in FLAGS),
         facts.ratings().alias("total_ratings"),
-        *(column for v in values() for column in facts.moments(v).named(v)),
+        *(column for v in VALUES for column in facts.moments(v).named(v)),
     )
