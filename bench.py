@@ -61,7 +61,7 @@ def main() -> None:
     took["ingest"] = best(load)
     catalogue = spark.read.schema(PRODUCTS).parquet(table)
 
-    for name in [*reports.AGGREGATES, *reports.LISTS]:
+    for name in reports.NAMES:
         took[name] = best(lambda: reports.report(name, catalogue).collect())
     for name in dashboard.PANELS:
         took[name] = best(lambda: dashboard.panel(name, catalogue).collect())

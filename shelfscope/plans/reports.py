@@ -156,15 +156,11 @@ LISTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def report(name: str, products: DataFrame) -> DataFrame:
-    """One report straight from the rows."""
-    return AGGREGATES[name](Rows(products)) if name in AGGREGATES else LISTS[name](products)
+NAMES = [*AGGREGATES, *LISTS]
 
 
-def all_reports(products: DataFrame, cube: DataFrame) -> dict[str, DataFrame]:
-    """The whole set: twelve reports from the cube, four from the rows.
-
-    Persist the cube, or read it from a table, so that it is built once.
-    """
-    found = {name: build(Cube(cube)) for name, build in AGGREGATES.items()}
-    return found | {name: build(products) for name, build in LISTS.items()}
+def report(name: str, products: DataFrame, cube: DataFrame | None = None) -> DataFrame:
+    """One report from the rows, or an aggregate one from a cube of them where that is given."""
+    if name in LISTS:
+        return LISTS[name](products)
+    return AGGREGATES[name](Rows(products) if cube is None else Cube(cube))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -17,14 +18,9 @@ log = logging.getLogger(__name__)
 AT_ONCE = 4  # small jobs that share the cluster while others wait for their last tasks
 
 
-def shared_cube(products: DataFrame) -> DataFrame:
-    """The cube behind the aggregate reports, kept for as long as the caller needs it."""
-    return facts.build_cube(products).persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def collect_all(products: DataFrame) -> dict[str, list]:
     """Rows of every report. All of them are short: bands, single rows and top lists."""
-    return _each(products, lambda name, report: report.collect())
+    return _each(products, lambda name, cube: reports.report(name, products, cube).collect())
 
 
 def write_all(products: DataFrame, folder: str, limit: int | None = None) -> dict[str, str]:
@@ -34,9 +30,10 @@ def write_all(products: DataFrame, folder: str, limit: int | None = None) -> dic
     with its message and the others go on.
     """
 
-    def write(name: str, report: DataFrame) -> str:
+    def write(name: str, cube: DataFrame) -> str:
         try:
-            return "saved" if write_report(report, f"{folder}/{name}", limit) else "no rows"
+            saved = write_report(reports.report(name, products, cube), f"{folder}/{name}", limit)
+            return "saved" if saved else "no rows"
         except PySparkException as error:
             log.error("%s: %s", name, error)
             return f"error: {error}"
@@ -44,13 +41,12 @@ def write_all(products: DataFrame, folder: str, limit: int | None = None) -> dic
     return _each(products, write)
 
 
-def _each(products: DataFrame, work) -> dict:
-    cube = shared_cube(products)
-    session = products.sparkSession
+def _each(products: DataFrame, work: Callable[[str, DataFrame], object]) -> dict:
+    """Run the work for every report; those from the cube share one scan of the products."""
+    cube = facts.build_cube(products).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            run = inheritable_thread_target(session)(lambda item: work(*item))
-            frames = reports.all_reports(products, cube)
-            return dict(zip(frames, pool.map(run, frames.items())))
+            tagged = inheritable_thread_target(products.sparkSession)(lambda name: work(name, cube))
+            return dict(zip(reports.NAMES, pool.map(tagged, reports.NAMES)))
     finally:
         cube.unpersist()

@@ -87,7 +87,7 @@ ONE = "discounted_well_rated"
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {n: _over(partial(reports.report, n)) for n in [*reports.AGGREGATES, *reports.LISTS]}
+    found: dict[str, Query] = {n: _over(partial(reports.report, n)) for n in reports.NAMES}
     found |= {n: _over(partial(dashboard.panel, n)) for n in dashboard.PANELS}
     for name, (spec, _) in FILTERS.items():
         found[name] = _over(packs.pack_core_kpis, spec, True)
