@@ -18,6 +18,10 @@ MISSING = [
 WHOLE = r"^\s*[+-]?\d+(_\d+)*\s*$"
 REAL = r"^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?([eE][+-]?\d+(_\d+)*)?|\.\d+(_\d+)*([eE][+-]?\d+(_\d+)*)?|(?i:inf|infinity))\s*$"
 
+# Texts of these characters alone can be left to the cast; they are nearly all.
+WHOLE_CHARACTERS = r"^[\s0-9+-]+$"
+REAL_CHARACTERS = r"^[\s0-9eE.+-]+$"
+
 
 def present(text: Column) -> Column:
     return F.when(~text.isin(MISSING), text)
@@ -31,17 +35,17 @@ def as_text(text: Column) -> Column:
 
 def as_whole(text: Column) -> Column:
     """BIGINT; NULL for decimals ("12.0"), words, and numbers beyond 64 bits."""
-    return _number(text, WHOLE, "bigint")
+    return _number(text, WHOLE_CHARACTERS, WHOLE, "bigint")
 
 
 def as_real(text: Column) -> Column:
     """DOUBLE, infinities included; NULL for NaN and anything that is no number."""
-    return _number(text, REAL, "double")
+    return _number(text, REAL_CHARACTERS, REAL, "double")
 
 
-def _number(text: Column, pattern: str, kind: str) -> Column:
-    known = present(text)
-    return F.when(known.rlike(pattern), F.trim(F.replace(known, F.lit("_"), F.lit(""))).try_cast(kind))
+def _number(text: Column, characters: str, full: str, kind: str) -> Column:
+    joined = F.replace(text, F.lit("_"), F.lit(""))
+    return F.when(text.rlike(characters), text.try_cast(kind)).when(text.rlike(full), joined.try_cast(kind))
 
 
 READERS = {T.LongType(): as_whole, T.DoubleType(): as_real, T.StringType(): as_text}

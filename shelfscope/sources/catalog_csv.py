@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import csv
+import io
 import logging
+import math
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamReader
 
@@ -19,6 +23,7 @@ log = logging.getLogger(__name__)
 
 GLOB = "*.csv"
 CSV_TEXT = {"encoding": "UTF-8", "escape": '"', "mode": "PERMISSIVE"}
+FEW_FILES = 32
 HEADER_READERS = 16
 
 _CORRUPT = "_corrupt"
@@ -45,24 +50,53 @@ def read_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     Files are grouped by header line and each group is one splittable scan.
     Columns a file lacks are NULL, columns it has beyond the schema are ignored.
     """
-    files = [paths] if isinstance(paths, str) else list(paths)
     groups: dict[Header, list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        for path, header in zip(files, pool.map(lambda p: read_header(spark, p), files)):
-            if header:
-                groups[header].append(path)
-            else:
-                log.warning("%s is empty", path)
+    for path, header in read_headers(spark, [paths] if isinstance(paths, str) else list(paths)).items():
+        if header:
+            groups[header].append(path)
+        else:
+            log.warning("%s is empty", path)
     if not groups:
         return spark.createDataFrame([], PRODUCTS)
     scans = (conform(scan_text(spark.read, header, members), header) for header, members in groups.items())
     return reduce(DataFrame.unionByName, scans)
 
 
-def read_header(spark: SparkSession, path: str) -> Header:
-    """Cells of the first line; the job stops after that line."""
-    first = spark.read.text(path).first()
-    return tuple(next(csv.reader([first.value.lstrip("\ufeff")]), ())) if first else ()
+def read_headers(spark: SparkSession, files: Sequence[str]) -> dict[str, Header]:
+    """Header of each file; only first lines are read.
+
+    A few files are looked at one by one. For many, tasks open the files
+    themselves; what they cannot reach is left to the reader of the session.
+    """
+    heads: dict[str, str | None] = {}
+    if len(files) > FEW_FILES:
+        names = spark.createDataFrame([(f,) for f in files], "path string")
+        lines = names.repartition(math.ceil(len(files) / FEW_FILES)).mapInPandas(_first_lines, "path string, head string")
+        heads = {r.path: r.head for r in lines.filter("head IS NOT NULL").collect()}
+    rest = [f for f in files if f not in heads]
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        heads |= zip(rest, pool.map(lambda f: _first_line(spark, f), rest))
+    return {f: tuple(next(csv.reader([heads[f].lstrip("\ufeff")]), ())) for f in files}
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    """The job stops after that line."""
+    first = spark.read.text(file).first()
+    return first.value if first else ""
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(head=batch["path"].map(_open_first_line))
+
+
+def _open_first_line(file: str) -> str | None:
+    try:
+        system, name = fs.FileSystem.from_uri(file.replace("s3a://", "s3://", 1))
+        with system.open_input_stream(name) as stream:
+            return io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8").readline().rstrip("\r\n")
+    except (OSError, ValueError):
+        return None
 
 
 def scan_text(reader: Reader, header: Header, paths: str | Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from shelfscope.plans.loading import write_csv
 from shelfscope.registry import SPECS
 from shelfscope.schema import COLUMNS, PRODUCTS
 from shelfscope.session import scratch_dir
-from shelfscope.sources.catalog_csv import csv_files, read_catalog, read_header
+from shelfscope.sources.catalog_csv import csv_files, read_catalog, read_headers
 from shelfscope.streaming import ingest, refresh
 
 RAGGED = """﻿product_id,style_id,title,brand
@@ -60,10 +60,25 @@ def test_binds_by_name_and_ignores_other_files(spark, folder):
     (folder / "sub" / "c.csv").write_text("brand\nZ\n")
     rows = read_catalog(spark, csv_files(spark, str(folder))).select("product_id", "brand", "title").collect()
     assert sorted(map(tuple, rows), key=repr) == [(11, "X", None), (13, None, None), (None, None, "T2")]
-    assert read_header(spark, str(folder / "b.csv")) == ("product_id", "Brand")
+    file = str(folder / "b.csv")
+    assert read_headers(spark, [file]) == {file: ("product_id", "Brand")}
     assert read_catalog(spark, str(folder / "empty.csv")).count() == 0
 
 
+def test_headers_of_many_files_are_read_in_tasks(spark, folder):
+    for i in range(80):
+        names = ["product_id", "brand", f"x{i % 3}"]
+        (folder / f"{i}.csv").write_text("\ufeff" + ",".join(names[:: 1 if i % 2 else -1]) + f"\r\n{i},{i},{i}\r\n")
+    (folder / "empty.csv").write_text("")
+    files = [f"file:{folder}/{n}" for n in os.listdir(folder)]
+    heads = read_headers(spark, files)
+    assert heads[f"file:{folder}/0.csv"] == ("x0", "brand", "product_id")
+    assert heads[f"file:{folder}/7.csv"] == ("product_id", "brand", "x1")
+    assert heads[f"file:{folder}/empty.csv"] == ()
+    rows = read_catalog(spark, files).select("product_id", "brand").collect()
+    assert sorted(map(tuple, rows)) == [(i, str(i)) for i in range(80)]
+
+
 def test_streams_take_new_files_once(spark, folder, tmp_path):
     table, checkpoint = str(tmp_path / "t"), str(tmp_path / "c")
 
@@ -155,3 +170,21 @@ def test_scratch_lies_in_the_shared_folder_if_there_is_one(spark):
     first, second = (scratch_dir(spark, "x") for _ in range(2))
     assert first != second
     assert first.startswith(f"{base.rstrip('/')}/x-") if base else os.path.isdir(first)
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from shelfscope.__main__ import main
+
+    (folder / "a.csv").write_text("product_id,brand,price,mrp,discount_percent,rating_total\n1,X,5,10,50,3\n2,Y,10,10,0,0\n")
+    table = str(tmp_path / "t")
+    main(["load", "--table", table, str(folder), str(folder / "a.csv")])
+    assert spark.read.parquet(table).count() == 4
+    main(["report", "--table", table, "--out", str(tmp_path / "r")])
+    assert "core_kpis: saved" in capsys.readouterr().out
+    specs = '{"x": {"brands": ["X"], "top_limit": 1}, "none": {"brands": ["Z"]}}'
+    main(["pack", "--table", table, "--out", str(tmp_path / "p"), "--filters-json", specs])
+    found = {r.pack_id: r for r in spark.read.json(str(tmp_path / "p")).collect()}
+    assert found["x"].kpis.products == 2 and len(found["x"].tables.top_discounted_rated) == 1
+    assert found["none"].bullets == ["No items match the current filters."]
+    main(["ask", "--table", table, "SELECT COUNT(*) AS n FROM products"])
+    assert "|4  |" in capsys.readouterr().out
