@@ -106,6 +106,12 @@ def _grouped(facts: Facts) -> DataFrame:
     )
 
 
+def _discount_bucket() -> Column:
+    """Whole percents from the deepest discount down; beyond 0-100, and unknown, at the ends."""
+    percent = F.greatest(F.least(c("discount_percent"), F.lit(101.0)), F.lit(-1.0))
+    return F.when(c("discount_percent").isNull(), 2).otherwise(-F.floor(percent)).cast("int")
+
+
 def pack_top(products: DataFrame, specs: Specs) -> DataFrame:
     """The rated list of every pack, ranked from 1."""
     rated = c("rating_total") > 0
@@ -115,7 +121,7 @@ def pack_top(products: DataFrame, specs: Specs) -> DataFrame:
 
 def best_rated(rows: DataFrame, specs: Specs) -> DataFrame:
     most = max(s.rows for s in specs.values())
-    ranked = top_rows_per_group(rows, ["pack_id"], _deepest_discount_first(), most)
+    ranked = top_rows_per_group(rows, "pack_id", _deepest_discount_first(), most, _discount_bucket())
     wanted = reduce(or_, ((c("pack_id") == name) & (c("position") <= s.rows) for name, s in specs.items()))
     return ranked.filter(wanted)
 

@@ -82,8 +82,12 @@ def test_top_rows_with_ties_nulls_and_one_hot_group(spark):
     ranked = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
     for k in (5, 100, 300, 5000):
         assert [tuple(r) for r in toplist.top_rows(rows, order, k).collect()] == ranked[:k]
-    for lanes in (True, False):
-        got = toplist.top_rows_per_group(rows, ["g"], order, 50, lanes=lanes).collect()
+    bucket = F.when(F.col("x").isNull(), 1).otherwise(-F.floor(F.col("x") / 10)).cast("int")
+    for k in (300, 5000):
+        assert [tuple(r) for r in toplist.top_rows(rows, order, k, bucket).collect()] == ranked[:k]
+    assert toplist.top_rows(rows.filter("x > 99"), order, 300, bucket).collect() == []
+    for extra in ({}, {"lanes": False}, {"bucket": bucket}):
+        got = toplist.top_rows_per_group(rows, "g", order, 50, **extra).collect()
         for g in {r[0] for r in data}:
             best = [r for r in ranked if r[0] == g][:50]
             assert sorted((r.position, r.g, r.x, r.i) for r in got if r.g == g) == [(n, *r) for n, r in enumerate(best, 1)]

@@ -1,5 +1,7 @@
 """Invariants between queries, and the shape of physical plans."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,7 +181,11 @@ def test_share_reuses_the_counts(table):
     assert "ReusedExchange" in text and "rangepartitioning" not in text
 
 
-def test_packs_scan_twice_however_many(table):
-    text = plan(packs.insight_packs(table, SPECS))
-    assert text.count("FileScan") == 2
-    assert plan(packs.pack_cube(table, SPECS)).count("FileScan") == 1
+def test_scans_do_not_grow_with_the_number_of_packs(table, capsys):
+    def scans(df):
+        df.explain("formatted")
+        return len(re.findall(r"^\(\d+\) Scan parquet", capsys.readouterr().out, re.M))
+
+    assert scans(packs.pack_cube(table, SPECS)) == 1
+    assert scans(packs.insight_packs(table, SPECS)) == 3
+    assert scans(packs.insight_packs(table, {"one": SPECS["everything"]})) == 3
