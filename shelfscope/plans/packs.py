@@ -9,7 +9,7 @@ per (pack, brand, band), and the rated lists are cut where they are read.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 from operator import or_
 
@@ -71,8 +71,9 @@ def pack_top_discounted_rated(products: DataFrame, spec: FilterSpec) -> DataFram
 
 def pack_bullets(products: DataFrame, spec: FilterSpec) -> DataFrame:
     """One row per sentence, numbered from 1."""
-    pack = insight_pack(products, spec)
-    return pack.select(F.posexplode("bullets").alias("n", "bullet")).select(
+    specs = {"pack": spec}
+    found = figures(pack_cube(products, specs), specs)
+    return found.select(F.posexplode("bullets").alias("n", "bullet")).select(
         (c("n") + 1).cast("bigint").alias("bullet_no"), "bullet"
     )
 
@@ -116,14 +117,21 @@ def pack_top(products: DataFrame, specs: Specs) -> DataFrame:
     """The rated list of every pack, ranked from 1."""
     rated = c("rating_total") > 0
     rows = _tagged(products, {name: predicate(s, include_rating=True) & rated for name, s in specs.items()})
-    return best_rated(rows.select("pack_id", *DISCOUNT_LIST), specs)
+    most = max(s.rows for s in specs.values())
+    rows = rows.select("pack_id", *DISCOUNT_LIST)
+    return _to_length(top_rows_per_group(rows, "pack_id", _deepest_discount_first(), most, _discount_bucket()), specs)
 
 
-def best_rated(rows: DataFrame, specs: Specs) -> DataFrame:
+def merge_pack_tops(tops: DataFrame, specs: Specs) -> DataFrame:
+    """One rated list per pack from the union of several; these are short already."""
     most = max(s.rows for s in specs.values())
-    ranked = top_rows_per_group(rows, "pack_id", _deepest_discount_first(), most, _discount_bucket())
-    wanted = reduce(or_, ((c("pack_id") == name) & (c("position") <= s.rows) for name, s in specs.items()))
-    return ranked.filter(wanted)
+    order = _deepest_discount_first()
+    return _to_length(top_rows_per_group(tops.drop("position"), "pack_id", order, most, lanes=False), specs)
+
+
+def _to_length(ranked: DataFrame, specs: Specs) -> DataFrame:
+    """Each pack's own number of rows."""
+    return ranked.filter(reduce(or_, ((c("pack_id") == n) & (c("position") <= s.rows) for n, s in specs.items())))
 
 
 def _summary(cube: DataFrame) -> DataFrame:
@@ -152,38 +160,43 @@ def _summary(cube: DataFrame) -> DataFrame:
     )
 
 
-def assemble(cube: DataFrame, top: DataFrame, specs: Specs) -> DataFrame:
-    """One nested row per pack, also for packs that match nothing."""
-    rated = top.groupBy("pack_id").agg(
-        F.sort_array(F.collect_list(F.struct("position", *DISCOUNT_LIST))).alias("rated")
-    )
+def figures(cube: DataFrame, specs: Specs) -> DataFrame:
+    """KPIs, brands, bands and findings of every pack, also of packs that match nothing."""
     names = cube.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, specs))).alias("pack_id"))
-    joined = names.join(_summary(cube), "pack_id", "left").join(rated, "pack_id", "left")
-
-    zeros = {"no_discount_items": F.lit(0).cast("bigint"), "products": F.lit(0).cast("bigint")}
+    found = names.join(_summary(cube), "pack_id", "left")
+    none = F.lit(0).cast("bigint")
+    zeros = {"no_discount_items": none, "products": none}
     kpis = F.struct(*(F.coalesce(c("kpis")[k], zeros.get(k, F.lit(0.0))).alias(k) for k in KPIS))
 
-    def rows(name: str, *columns: Column | str, share: bool = False) -> Column:
-        def row(x: Column) -> Column:
-            values = [x[n].alias(n) for n in columns]
-            if share:
-                values.append(exact.percent(x["items"], c("kpis")["products"]).alias("share_pct"))
-            return F.struct(*values)
-
-        return F.coalesce(F.transform(c(name), row), F.array())
-
-    return (
-        joined.select(
-            "pack_id",
-            kpis.alias("kpis"),
-            F.struct(
-                rows("brands", "brand", "items", share=True).alias("brand_concentration"),
-                rows("bands", "band", "items").alias("discount_bands"),
-                rows("rated", *DISCOUNT_LIST).alias("top_discounted_rated"),
-            ).alias("tables"),
-        )
-        .withColumn("bullets", bullets(c("kpis"), c("tables.brand_concentration"), c("tables.discount_bands")))
+    def share(x: Column) -> Column:
+        return exact.percent(x["items"], c("kpis")["products"]).alias("share_pct")
+
+    return found.select(
+        "pack_id",
+        kpis.alias("kpis"),
+        _rows("brands", ["brand", "items"], share).alias("brand_concentration"),
+        _rows("bands", ["band", "items"]).alias("discount_bands"),
+    ).withColumn("bullets", bullets(c("kpis"), c("brand_concentration"), c("discount_bands")))
+
+
+def _rows(name: str, columns: list[str], *more: Callable[[Column], Column]) -> Column:
+    """The array without its ranks; an empty one for a pack without rows."""
+
+    def row(x: Column) -> Column:
+        return F.struct(*(x[n].alias(n) for n in columns), *(build(x) for build in more))
+
+    return F.coalesce(F.transform(c(name), row), F.array())
+
+
+def assemble(cube: DataFrame, top: DataFrame, specs: Specs) -> DataFrame:
+    """One nested document per pack."""
+    ranked = F.sort_array(F.collect_list(F.struct("position", *DISCOUNT_LIST)))
+    rated = top.groupBy("pack_id").agg(ranked.alias("rated"))
+    tables = F.struct(
+        "brand_concentration", "discount_bands", _rows("rated", DISCOUNT_LIST).alias("top_discounted_rated")
     )
+    packs = figures(cube, specs).join(rated, "pack_id", "left")
+    return packs.select("pack_id", "kpis", tables.alias("tables"), "bullets")
 
 
 def insight_packs(products: DataFrame, specs: Specs, include_rating: bool = False) -> DataFrame:

@@ -9,7 +9,9 @@ the figures are exactly those of a full pass.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,15 +42,21 @@ def start_refresh(
         overwrite_batch(read_catalog(spark, paths), f"{home}/products", batch_id)
         fresh = spark.read.parquet(f"{home}/products/batch_id={batch_id}")
 
-        _advance(facts.build_cube(fresh), f"{home}/report_cube", batch_id, facts.merge_cubes)
-        cube = _advance(packs.pack_cube(fresh, specs), f"{home}/pack_cube", batch_id, packs.merge_pack_cubes)
-        top = _advance(
-            packs.pack_top(fresh, specs),
-            f"{home}/pack_top",
-            batch_id,
-            lambda rows: packs.best_rated(rows.drop("position"), specs),
-        )
-        write_packs(packs.assemble(cube, top, specs), f"{home}/packs/batch_id={batch_id}")
+        steps = {
+            "report_cube": (facts.build_cube, facts.merge_cubes),
+            "pack_cube": (lambda rows: packs.pack_cube(rows, specs), packs.merge_pack_cubes),
+            "pack_top": (lambda rows: packs.pack_top(rows, specs), lambda tops: packs.merge_pack_tops(tops, specs)),
+        }
+
+        @inheritable_thread_target(spark)
+        def advance(name: str) -> DataFrame:
+            build, merge = steps[name]
+            return _advance(build(fresh), f"{home}/{name}", batch_id, merge)
+
+        with ThreadPoolExecutor(len(steps)) as pool:
+            state = dict(zip(steps, pool.map(advance, steps)))
+        documents = packs.assemble(state["pack_cube"], state["pack_top"], specs)
+        write_packs(documents, f"{home}/packs/batch_id={batch_id}")
 
     writer = files.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or DRAIN)).start()

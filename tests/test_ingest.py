@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from shelfscope.operators.sinks import append_products
 from shelfscope.plans import facts, packs, reports
 from shelfscope.plans.loading import write_csv
 from shelfscope.registry import SPECS
@@ -62,7 +63,9 @@ def test_binds_by_name_and_ignores_other_files(spark, folder):
     assert sorted(map(tuple, rows), key=repr) == [(11, "X", None), (13, None, None), (None, None, "T2")]
     file = str(folder / "b.csv")
     assert read_headers(spark, [file]) == {file: ("product_id", "Brand")}
-    assert read_catalog(spark, str(folder / "empty.csv")).count() == 0
+    for name in ("empty.csv", "only_header.csv"):
+        nothing = read_catalog(spark, str(folder / name))
+        assert nothing.count() == 0 and append_products(nothing, str(folder / "table")) == 0
 
 
 def test_headers_of_many_files_are_read_in_tasks(spark, folder):
