@@ -55,10 +55,8 @@ def main() -> None:
         table = scratch_dir(spark, "bench-table")
         return table, append_products(loading.loaded(spark, source), table)
 
-    took = {}
     first, (table, rows) = clocked(load)
-    took["ingest_first"] = round(first, 3)
-    took["ingest"] = best(load)
+    took = {"ingest": best(load)}
     catalogue = spark.read.schema(PRODUCTS).parquet(table)
 
     for name in reports.NAMES:
@@ -79,7 +77,7 @@ def main() -> None:
                 "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
                 "rows": rows,
                 "ingest_rows_per_sec": round(rows / took["ingest"]),
-                "ingest_rows_per_sec_first_run": round(rows / first),
+                "ingest_first_run": round(first, 3),
             }
         )
     )

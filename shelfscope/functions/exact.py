@@ -1,10 +1,10 @@
 """Sums and averages of DOUBLE columns that do not depend on the order of rows.
 
 Adding doubles gives a result that changes with the partitioning, and at 10^12
-rows the change reaches the second decimal. Values are therefore counted in
-whole millionths: ``rint`` to BIGINT stays in generated code, and the DECIMAL
-buffer of the sum cannot overflow. Where a group holds a value too large for
-that (or an infinity), the plain double sum answers instead, so no row is lost.
+rows the change reaches the second decimal. Values are therefore added up as
+whole numbers and whole millionths, both BIGINT, which costs about as much as
+adding doubles. Where a group holds a value too large for that (or an infinity),
+or a sum leaves 64 bits, the plain double sum answers instead: no row is lost.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, functions as F
 
 SCALE = 1_000_000
-PEAK = 1e9  # below this, a double times SCALE is still an exact whole number
+PEAK = 1e9  # below this a double still tells millionths apart
 
 
 class Moments(NamedTuple):
     """What has to be kept of a column so that groups can be merged later."""
 
-    units: Column
+    whole: Column
+    rest: Column
     total: Column
     peak: Column
     n: Column
@@ -31,19 +32,22 @@ class Moments(NamedTuple):
 
 def moments(x: Column) -> Moments:
     """Aggregates over raw rows."""
-    units = F.rint(x * SCALE).try_cast("bigint").cast("decimal(20,0)")
-    return Moments(F.sum(units), F.sum(x), F.max(F.abs(x)), F.count(x))
+    near = F.when(F.abs(x) < PEAK, x)
+    whole = F.rint(near)
+    rest = F.rint((near - whole) * SCALE)
+    return _checked(F.try_sum(whole.cast("bigint")), F.try_sum(rest.cast("bigint")), F.sum(x), F.max(F.abs(x)), F.count(x))
 
 
 def merged(prefix: str) -> Moments:
     """Aggregates over rows that already carry the moments of ``prefix``."""
-    units, total, peak, n = (F.col(f"{prefix}_{f}") for f in Moments._fields)
-    return Moments(F.sum(units).cast("decimal(30,0)"), F.sum(total), F.max(peak), F.sum(n))
+    whole, rest, total, peak, n = (F.col(f"{prefix}_{f}") for f in Moments._fields)
+    return _checked(F.try_sum(whole), F.try_sum(rest), F.sum(total), F.max(peak), F.sum(n))
 
 
-def kept(prefix: str) -> Moments:
-    """The moments as plain columns of an aggregated frame."""
-    return Moments(*(F.col(f"{prefix}_{f}") for f in Moments._fields))
+def _checked(whole: Column, rest: Column, total: Column, peak: Column, n: Column) -> Moments:
+    """A sum that did not fit shows as an infinite peak, also after merging."""
+    lost = (n > 0) & (whole.isNull() | rest.isNull())
+    return Moments(whole, rest, total, F.when(lost, F.lit(float("inf"))).otherwise(peak), n)
 
 
 def mean(m: Moments, digits: int | None = 2) -> Column:
@@ -51,18 +55,22 @@ def mean(m: Moments, digits: int | None = 2) -> Column:
     n = F.nullif(m.n, F.lit(0))
     plain = m.total / n
     if digits is None:
-        exact = (m.units / F.lit(SCALE)).cast("double") / n
-        return F.when(m.peak < PEAK, exact).otherwise(plain)
-    exact = F.round(m.units / (n.cast("decimal(20,0)") * SCALE), digits).cast("double")
+        return F.when(m.peak < PEAK, (_units(m) / F.lit(SCALE)).cast("double") / n).otherwise(plain)
+    exact = F.round(_units(m) / (n.cast("decimal(20,0)") * SCALE), digits).cast("double")
     return F.when(m.peak < PEAK, exact).otherwise(F.round(plain, digits))
 
 
 def total(m: Moments, digits: int = 2) -> Column:
     """Sum as DOUBLE rounded half up, NULL without values."""
-    exact = F.round(m.units / F.lit(SCALE), digits).cast("double")
+    exact = F.round(_units(m) / F.lit(SCALE), digits).cast("double")
     return F.when(m.peak < PEAK, exact).otherwise(F.round(m.total, digits))
 
 
+def _units(m: Moments) -> Column:
+    """The sum in whole millionths."""
+    return (m.whole.cast("decimal(20,0)") * SCALE + m.rest).cast("decimal(30,0)")
+
+
 def avg(name: str, digits: int | None = 2) -> Column:
     return mean(moments(F.col(name)), digits)
 

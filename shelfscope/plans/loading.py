@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from shelfscope.operators import sinks
 from shelfscope.operators.filters import FilterSpec
@@ -55,7 +56,7 @@ def ingest_csv(products: DataFrame) -> DataFrame:
 
 
 def ingest_missing_columns(products: DataFrame) -> DataFrame:
-    """Two layouts in one folder: another order with a foreign column, and a narrow one."""
+    """All products over two layouts in one folder: another order with a foreign column, and a narrow one."""
     spark = products.sparkSession
     folder = scratch_dir(spark, "csv")
     odd = c("style_id") % 2 == 1
@@ -154,7 +155,7 @@ def stream_ingest(products: DataFrame) -> DataFrame:
 
 
 def stream_ingest_by_name(products: DataFrame) -> DataFrame:
-    """Files whose columns come in different orders."""
+    """All products over files whose columns come in different orders."""
     spark = products.sparkSession
     source, table = scratch_dir(spark, "csv"), scratch_dir(spark, "table")
     rated = F.coalesce(c("rating_total") > 0, F.lit(False))
@@ -165,7 +166,8 @@ def stream_ingest_by_name(products: DataFrame) -> DataFrame:
     return spark.read.parquet(table).select(COLUMNS)
 
 
-def _refreshed(products: DataFrame, specs: packs.Specs) -> tuple[str, object]:
+def _refreshed(products: DataFrame, specs: packs.Specs) -> tuple[str, StreamingQuery]:
+    """All products in two loads, so that the second is added to a state."""
     spark = products.sparkSession
     source, home = scratch_dir(spark, "csv"), scratch_dir(spark, "home")
     odd = F.coalesce(c("product_id") % 2 == 1, F.lit(False))

@@ -116,3 +116,21 @@ def test_merged_moments_equal_direct_ones(spark):
         keys = [r.k for r in split.select("k").distinct().collect()]
         merged = cube.filter(F.col("k").isin(keys)).agg(exact.mean(exact.merged("x"))).first()[0]
         assert merged == pytest.approx(split.agg(exact.avg("x")).first()[0], rel=1e-12)
+
+
+def test_sums_that_leave_64_bits_fall_back(spark):
+    cube = spark.createDataFrame(
+        [("a", 9 * 10**18, 0, 9e18, 5.0, 9 * 10**9)] * 2 + [("b", None, None, None, None, 0), ("b", 3, 250_000, 3.25, 2.0, 2)],
+        "k string, x_whole long, x_rest long, x_total double, x_peak double, x_n long",
+    )
+    once = cube.groupBy("k").agg(*exact.merged("x").named("x"))
+    for frame in (cube, once):
+        got = {r.k: (r.m, r.t) for r in frame.groupBy("k").agg(
+            exact.mean(exact.merged("x")).alias("m"), exact.total(exact.merged("x")).alias("t")).collect()}
+        assert got == {"a": (1e9, 1.8e19), "b": (1.63, 3.25)}
+
+
+def test_negative_and_fine_values(spark):
+    rows = spark.createDataFrame([(-1.25,), (-0.000001,), (999_999_999.123456,), (0.1,), (0.2,)], "x double")
+    m = exact.moments(F.col("x"))
+    assert rows.agg(exact.total(m, 6), exact.mean(m, 6)).first()[:] == (999999998.173455, 199999999.634691)
