@@ -191,3 +191,12 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert found["none"].bullets == ["No items match the current filters."]
     main(["ask", "--table", table, "SELECT COUNT(*) AS n FROM products"])
     assert "|4  |" in capsys.readouterr().out
+
+
+def test_files_a_task_cannot_open_are_left_to_the_session_reader(folder):
+    from shelfscope.sources.catalog_csv import _open_first_line
+
+    (folder / "a.csv").write_text("product_id,brand\r\n1,X\r\n")
+    assert _open_first_line(f"file:{folder}/a.csv") == "product_id,brand"
+    assert _open_first_line(f"file:{folder}/missing.csv") is None
+    assert _open_first_line("nosuch://bucket/a.csv") is None
