@@ -37,6 +37,8 @@ ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
 #: Values compared in one step, and the chance below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
+#: Pairs with their whole gram sets that a task looks at together.
+PAIR_ROWS = 64
 #: Grams whose hashes are laid out together.
 _CHUNK = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -193,7 +195,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLE
     texts = named.select("key", "text").join(small(ends), "key", "left_semi")
     grams = stored(texts.mapInArrow(_gram_rows, "key binary, grams binary").dropDuplicates(["key"]), "grams")
     whole = likely.join(side(grams, "a", "grams"), "a").join(side(grams, "b", "grams"), "b")
-    return classes, stored(whole.mapInArrow(_verified(threshold), "a binary, b binary"), "links")
+    return classes, stored(whole.mapInArrow(_verified(threshold), "a binary, b binary"), "links", rows=PAIR_ROWS)
 
 
 def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.tables import run_offsets, stored
+from shelfscope.llm.tables import run_offsets, small, stored
 from shelfscope.llm.tokens import END_ID, encoder
 from shelfscope.llm.words import slices, texts_of
 
@@ -80,10 +80,10 @@ def packed(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAP
     sizes = pieces.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     longer = sizes.alias("a").join(sizes.alias("b"), F.col("b.bucket") > F.col("a.bucket"), "left")
     base = longer.groupBy(F.col("a.bucket").alias("bucket")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
-    number = F.col("base") + F.col("before") + F.col("at")
+    firsts = stored(earlier.join(base, "bucket").select("bucket", "run", (F.col("base") + F.col("before")).cast("long").alias("first")), "firsts")
     return (
-        pieces.join(earlier.join(base, "bucket"), ["bucket", "run"])
-        .withColumn("sequence_id", number.cast("long"))
+        pieces.join(small(firsts), ["bucket", "run"])
+        .withColumn("sequence_id", F.col("first") + F.col("at"))
         .withColumn("offset", F.lit(0).cast("long"))
         .select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "bucket", "ids")
     )

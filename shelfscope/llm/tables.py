@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,19 +14,34 @@ from shelfscope.session import scratch_dir
 #: Rows of a side that may be broadcast; beyond it Spark chooses the join itself.
 BROADCAST_ROWS = 200_000
 _LOCAL_BITS = 33
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, rows: int = TEXT_ROWS) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cut lineage that outlives an executor."""
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, Arrow batches hold ``rows`` rows at most, so that tasks with long rows stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table, marked for broadcast only if it is counted to be short."""
     return F.broadcast(df) if df.count() <= rows else df

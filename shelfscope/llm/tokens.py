@@ -20,7 +20,7 @@ from shelfscope.llm.words import coded, split
 
 END_ID = 2
 #: Chunks that a worker remembers; it starts anew beyond, which changes the speed alone.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters on which the vocabulary's rules are plain; a special token needs "<|".
 PLAIN = f"^[\t\n\r\x20-\x7e{LETTER}×÷¡-©«-±´¶-¸»¿‐-‧€]*$"
