@@ -7,14 +7,20 @@ a similarity of at least the threshold is a binomial tail, and pairs for which
 it falls below the tolerance are dropped. The rest are verified exactly on
 their whole sets of word five-grams.
 
+Few texts in a band become pairs. Where many share one, pairs would grow with
+the square of their number: such texts are joined to clusters, cut into blocks,
+and each two blocks of a cluster are compared inside a task, which gives back
+counts and one link per text instead of the pairs. Both ways prune and verify
+alike and no pair goes both ways; whole classes are never expanded into pairs.
+
 A pair at the threshold itself goes unseen by the bands with a chance of about
 5e-6 and is pruned with one below 1e-6 a step; more similar pairs far less.
-Whole classes are never expanded into pairs, and pairs carry ids alone.
 
 Texts shorter than five words have one gram, all their words. Null, empty and
 blank texts have no words: they match nothing and are a group of their own
 each. Repeated rows are in one class. Rows with a null doc_id take part as text
-and are returned. Further columns are dropped.
+and are returned. Further columns are dropped by ``joined`` and kept by
+``deduplicated``.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm.tables import small, stored
@@ -37,6 +43,8 @@ ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
 #: Values compared in one step, and the chance below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
+#: Texts that a band value may have to become pairs; and how many of a larger crowd make a block.
+FEW, BLOCK = 8, 256
 #: Pairs with their whole gram sets that a task looks at together.
 PAIR_ROWS = 64
 #: Grams whose hashes are laid out together.
@@ -57,8 +65,8 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
     return factors[:, None], (numbers[HASHES:] >> np.uint64(32)).astype(np.uint32)[:, None]
 
 
-def gram_sets(texts: pa.Array, gram: int = GRAM) -> Iterator[np.ndarray]:
-    """The sorted set of each text's word-gram hashes (64 bits)."""
+def gram_sets(texts: pa.Array, gram: int = GRAM) -> Iterator[tuple[bytes | None, np.ndarray]]:
+    """Of each text a digest of its words (None without any) and the sorted set of its word-gram hashes (64 bits)."""
     import xxhash
 
     values, bounds = split(pc.utf8_lower(texts))
@@ -69,12 +77,12 @@ def gram_sets(texts: pa.Array, gram: int = GRAM) -> Iterator[np.ndarray]:
         own = words[begin:end]
         width = min(gram, len(own))
         if not width:
-            yield own
+            yield None, own
             continue
         keys = np.full(len(own) - width + 1, width, dtype=np.uint64)
         for k in range(width):
             keys = keys * _ODD + own[k : k + len(keys)]
-        yield np.unique(_mixed(keys))
+        yield xxhash.xxh128_digest(own.tobytes()), np.unique(_mixed(keys))
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
@@ -114,14 +122,13 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            texts, found = texts_of(part, "text"), []
-            for grams in gram_sets(texts):
-                values = signature(grams)
-                found.append((values.tobytes(), bands(values)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("key"), pa.array([v for v, _ in found], pa.binary()), pa.array([b for _, b in found], pa.list_(pa.int64()))],
-                names=["doc_id", "key", "signature", "bands"],
-            )
+            found = []
+            for key, grams in gram_sets(texts_of(part, "text")):
+                values = signature(grams) if key else None
+                found.append((key, values.tobytes() if key else None, bands(values) if key else None))
+            kinds = (pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            arrays = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), *arrays], names=["doc_id", "digest", "key", "signature", "bands"])
 
 
 def _pruned(threshold: float, tolerance: float):
@@ -142,8 +149,8 @@ def _pruned(threshold: float, tolerance: float):
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            raw = [g.tobytes() for g in gram_sets(texts_of(part, "text"))]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(raw, pa.binary())], names=["key", "grams"])
+            found = [(k, g.tobytes()) for k, g in gram_sets(texts_of(part, "text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["key", "grams"])
 
 
 def _verified(threshold: float):
@@ -160,67 +167,172 @@ def _verified(threshold: float):
     return verify
 
 
-def _key() -> Column:
-    """A digest of the words, null without any."""
-    plain = F.trim(F.regexp_replace(F.lower(F.col("text").cast("string")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(F.length(plain) > 0, F.unhex(F.md5(plain)))
-
-
-def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _key().alias("key"))
+def _alive(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Which pairs of a row of ``a`` and a row of ``b`` no step drops (a matrix)."""
+    equal, alive = np.zeros((len(a), len(b)), dtype=np.int16), np.ones((len(a), len(b)), dtype=bool)
+    for n, least in steps:
+        for k in range(n - STEP, n):
+            equal += a[:, k, None] == b[None, :, k]
+        alive &= equal >= least
+        if not alive.any():
+            break
+    return alive
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many grams each of ``a`` has in common with each of ``b``, by products of 0/1 matrices, a stretch of grams at a time."""
+    grams = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    found = np.zeros((len(a), len(b)), dtype=np.float32)
+    for at in range(0, len(grams), _CHUNK):
+        some = grams[at : at + _CHUNK]
+        sides = []
+        for sets in (a, b):
+            held = np.zeros((len(sets), len(some)), dtype=np.float32)
+            for row, own in enumerate(sets):
+                own = own[np.searchsorted(own, some[0]) : np.searchsorted(own, some[-1], side="right")]
+                place = np.minimum(np.searchsorted(some, own), len(some) - 1)
+                held[row, place[some[place] == own]] = 1
+            sides.append(held)
+        found += sides[0] @ sides[1].T
+    return found
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """Classes (key, doc_id of the first member, n_copies) and links between them (a, b: keys, a < b)."""
-    named = _with_key(docs).where("key IS NOT NULL")
-    described = stored(named.mapInArrow(_described, "doc_id long, key binary, signature binary, bands array<bigint>"), "signatures")
-    classes = stored(described.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies")), "classes")
-    banded = described.select("key", "bands").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "value"))
+def _compared(threshold: float, tolerance: float):
+    """Links between two blocks of a cluster (or within one): their number by text, and one link to each linked text."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        steps, block = least_matches(threshold, tolerance), np.asarray(table["block"])
+        values = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+        grams = [np.frombuffer(g.as_buffer(), dtype=np.uint64) for g in table["grams"]]
+        first, last = (np.flatnonzero(block == x) for x in (block.min(), block.max()))
+        # Both blocks are the group's own, unless it is one block compared with itself.
+        only_one = table["low"][0].as_py() == table["high"][0].as_py()
+        if not only_one and len(first) == len(block):
+            return _ONE_WAY.empty_table()
+        alive = _alive(values[first], values[last], steps)
+        if only_one:
+            alive &= first[:, None] < last[None, :]
+        rows, columns = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        if not len(rows):
+            return _ONE_WAY.empty_table()
+        common = _common([grams[i] for i in first[rows]], [grams[i] for i in last[columns]])
+        sizes = np.array([len(g) for g in grams], dtype=np.float32)
+        union = sizes[first[rows], None] + sizes[None, last[columns]] - common
+        linked = alive[np.ix_(rows, columns)] & (common.astype(np.float64) >= threshold * union.astype(np.float64))
+        i, j = np.nonzero(linked)
+        i, j = first[rows[i]], last[columns[j]]
+        n = np.bincount(i, minlength=len(block)) + np.bincount(j, minlength=len(block))
+        root = np.arange(len(block))
+        while True:  # the least member that links lead to, inside this task
+            lower = root.copy()
+            np.minimum.at(lower, i, root[j])
+            np.minimum.at(lower, j, root[i])
+            lower = lower[lower]
+            if (lower == root).all():
+                break
+            root = lower
+        keys, hit = table["key"].combine_chunks(), np.flatnonzero(n)
+        return pa.table([keys.take(pa.array(hit)), keys.take(pa.array(root[hit])), pa.array(n[hit])], schema=_ONE_WAY)
+
+    return compare
+
+
+_ONE_WAY = pa.schema([("key", pa.binary()), ("root", pa.binary()), ("n", pa.int64())])
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, digest (of the text), key (of the words), signature, bands."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return stored(rows.mapInArrow(_described, "doc_id long, digest long, key binary, signature binary, bands array<bigint>"), "signatures")
+
+
+def _ends(*edges: DataFrame) -> DataFrame:
+    return reduce(DataFrame.union, [e.select(F.col(c).alias("key")) for e in edges for c in e.columns]).distinct()
+
+
+def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """Of ``described`` rows: n_links by key, and links (a, b) enough to connect what is linked."""
+    named = rows.where("key IS NOT NULL")
+    banded = named.select("key", "bands").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "value"))
     # A band value found once leads nowhere; counting first keeps those rows out of the join.
-    shared = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "value")
+    shared = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
     met = stored(banded.join(shared, ["band", "value"]), "bands")
-    pairs = (
-        met.select("band", "value", F.col("key").alias("a"))
-        .join(met.select("band", "value", F.col("key").alias("b")), ["band", "value"])
-        .where("a < b")
-        .select("a", "b")
-        .distinct()
-    )
-    involved = met.select("key").distinct()
-    values = described.select("key", "signature").join(involved, "key", "left_semi").dropDuplicates(["key"])
+
+    crowds = stored(met.where(F.col("n") > FEW).select(F.col("key").alias("a"), F.col("least").alias("b")).where("a <> b").distinct(), "crowds")
+    inside = _ends(crowds)
+    clusters = stored(components(inside.select("key", F.struct("key").alias("label")), crowds).select("key", F.col("label.key").alias("cluster")), "clusters")
+
+    few = met.where(F.col("n") <= FEW).select("band", "value", "key")
+    pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), ["band", "value"]).where("a < b").select("a", "b").distinct()
+    own = lambda c: clusters.select(F.col("key").alias(c), F.col("cluster").alias(f"cluster_{c}"))
+    apart = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where("cluster_a IS NULL OR cluster_b IS NULL OR cluster_a <> cluster_b")
+    apart = stored(apart.select("a", "b"), "pairs")
+
+    values = stored(named.select("key", "digest", "signature").join(_ends(apart, inside), "key", "left_semi").dropDuplicates(["key"]), "values")
     side = lambda t, name, c: t.select(F.col("key").alias(name), F.col(c).alias(f"{c}_{name}"))
-    compared = pairs.join(side(values, "a", "signature"), "a").join(side(values, "b", "signature"), "b")
-    likely = stored(compared.mapInArrow(_pruned(threshold, tolerance), "a binary, b binary"), "likely")
-    ends = stored(likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct(), "ends")
-    texts = named.select("key", "text").join(small(ends), "key", "left_semi")
-    grams = stored(texts.mapInArrow(_gram_rows, "key binary, grams binary").dropDuplicates(["key"]), "grams")
+    held = apart.join(side(values, "a", "signature"), "a").join(side(values, "b", "signature"), "b")
+    likely = stored(held.mapInArrow(_pruned(threshold, tolerance), "a binary, b binary"), "likely")
+
+    wanted = stored(values.join(_ends(likely, inside), "key", "left_semi").select("digest").distinct(), "wanted")
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(small(wanted), "digest", "left_semi").select("text")
+    grams = stored(texts.mapInArrow(_gram_rows, "key binary, grams binary").where("key IS NOT NULL").dropDuplicates(["key"]), "grams")
     whole = likely.join(side(grams, "a", "grams"), "a").join(side(grams, "b", "grams"), "b")
-    return classes, stored(whole.mapInArrow(_verified(threshold), "a binary, b binary"), "links", rows=PAIR_ROWS)
+    linked = stored(whole.mapInArrow(_verified(threshold), "a binary, b binary"), "links", rows=PAIR_ROWS)
+
+    members = stored(clusters.withColumn("at", F.xxhash64("key")), "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    block = members.join(sizes, "cluster").select("cluster", "key", F.pmod("at", "blocks").alias("block"), "blocks")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = block.select("cluster", "key", "block", other).select(
+        "cluster", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    )
+    full = dealt.join(values.select("key", "signature"), "key").join(grams, "key")
+    kind = "key binary, root binary, n long"
+    crowd = stored(full.groupBy("cluster", "low", "high").applyInArrow(_compared(threshold, tolerance), kind), "crowd-links")
+
+    each = [linked.select(F.col(c).alias("key"), F.lit(1).cast("long").alias("n")) for c in ("a", "b")]
+    degrees = reduce(DataFrame.union, [*each, crowd.select("key", "n")]).groupBy("key").agg(F.sum("n").alias("n_links"))
+    edges = linked.union(crowd.select("key", "root").where("key <> root")).distinct()
+    return degrees, stored(edges, "links")
 
 
-def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, group (the least ``doc_id`` that links lead to, however far): connected parts of the link graph.
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """key, label: the least label that links lead to, however far.
 
-    ``nodes`` has key and doc_id, ``edges`` a and b. Labels spread along links
-    and jump through the labels found so far, so that chains take few rounds.
+    ``nodes`` has key and label (a struct that holds the key as ``key``),
+    ``edges`` a and b. Labels spread along links and jump through the labels
+    found so far, so that chains take few rounds.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    linked = nodes.join(both.select(F.col("a").alias("key")).distinct(), "key", "left_semi")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
-    labels = stored(linked.select("key", order.alias("label")), "labels")
-    changed = 1
+    labels, changed = stored(nodes, "labels"), 1
     while changed:
         near = both.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, F.col("key") == F.col("a")).select("key", "label", F.least("label", "near").alias("next"))
+        spread = labels.join(near, F.col("key") == F.col("a"), "left").select("key", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
         jumps = spread.select(F.col("key").alias("root"), F.col("next").alias("further"))
-        spread = (
-            spread.join(jumps, F.col("next.key") == F.col("root"), "left")
-            .select("key", "label", F.least("next", F.coalesce("further", "next")).alias("next"))
-        )
-        spread = stored(spread, "labels")
+        jumped = spread.join(jumps, F.col("next.key") == F.col("root"), "left")
+        spread = stored(jumped.select("key", "label", F.least("next", F.coalesce("further", "next")).alias("next")), "labels")
         changed = spread.where("next < label").limit(1).count()
         labels = spread.select("key", F.col("next").alias("label"))
-    return labels.select("key", F.col("label.doc_id").alias("group"))
+    return labels
+
+
+def grouped(docs: DataFrame, rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """A row per class: key, first (none, doc_id, digest of its first member), n_copies, n_links, group (``first`` of the group's)."""
+    degrees, edges = links(docs, rows, threshold, tolerance)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    classes = stored(rows.where("key IS NOT NULL").groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n_copies")), "classes")
+    label = F.struct("first.none", "first.doc_id", "first.digest", "key").alias("label")
+    parts = components(classes.join(_ends(edges), "key", "left_semi").select("key", label), edges)
+    top = F.struct("label.none", "label.doc_id", "label.digest").alias("group")
+    return stored(
+        classes.join(degrees, "key", "left")
+        .join(parts.select("key", top), "key", "left")
+        .select("key", "first", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group", "first").alias("group")),
+        "known",
+    )
 
 
 def joined(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -230,22 +342,15 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
     first one that links lead to, ``n_links`` the number of other texts that are
     similar, ``n_copies`` the documents with the same words, itself included.
     """
-    classes, linked = links(docs, threshold, tolerance)
-    ends = linked.select(F.col("a").alias("key")).union(linked.select(F.col("b").alias("key")))
-    degrees = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    known = (
-        classes.join(degrees, "key", "left")
-        .join(groups(classes, linked), "key", "left")
-        .select("key", F.coalesce("group", "doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    rows = described(docs)
+    known = grouped(docs, rows, threshold, tolerance)
     return (
-        _with_key(docs)
-        .drop("text")
-        .join(stored(known, "known"), "key", "left")
+        rows.select("doc_id", "key")
+        .join(known, "key", "left")
         .select(
             "doc_id",
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce("copy_id", "doc_id").alias("copy_id"),
+            F.coalesce("group.doc_id", "doc_id").alias("class_id"),
+            F.coalesce("first.doc_id", "doc_id").alias("copy_id"),
             F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
         )
@@ -253,19 +358,21 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """The documents with one of each group: the first by doc_id, all columns kept.
+    """The documents with one of each group, the first by doc_id, all columns kept.
 
-    Documents without words stay, one of each doc_id and text.
+    Documents without words stay. Of rows alike in doc_id and text one stays.
     """
-    classes, linked = links(docs, threshold, tolerance)
-    grouped = classes.join(groups(classes, linked), "key", "left")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    alone = grouped.where("group IS NULL").select("key", "doc_id")
-    best = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min(order).alias("first")).select("first.key", "first.doc_id")
-    kept = stored(alone.union(best).select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")), "kept")
-    same = (F.col("__key") == F.col("__own")) & F.col("__id").eqNullSafe(F.col("doc_id").cast("long"))
-    keyed = docs.withColumn("__own", _key())
-    worded = keyed.where("__own IS NOT NULL").join(kept, same, "left_semi")
-    rows = reduce(DataFrame.unionByName, [worded, keyed.where("__own IS NULL")])
-    return rows.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-
+    rows = described(docs)
+    known = grouped(docs, rows, threshold, tolerance)
+    ids = rows.groupBy("doc_id", "digest", "key").agg(F.count(F.lit(1)).alias("n"))
+    top = ids.join(known.select("key", "group"), "key", "left").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "n", "group")
+    stays = F.col("group").isNull() | (F.col("group.doc_id").eqNullSafe(F.col("__id")) & (F.col("group.digest") == F.col("__digest")))
+    judged = stored(top.select("__id", "__digest", "n", stays.alias("stays")), "judged")
+    gone = small(judged.where("NOT stays").select("__id", "__digest"))
+    again = judged.where("stays AND n > 1").select("__id", "__digest")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__digest"))
+    kept = docs.join(gone, same, "left_anti")
+    if not again.limit(1).count():
+        return kept
+    again = small(again)
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
