@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfscope.llm import ngram_jaccard, pow2_packing, quality_llr, template_decontam
 from shelfscope.llm.queries import WORD_VOCABULARY
@@ -19,7 +18,7 @@ from shelfscope.llm.tables import read, stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the likelihood ratio rejects."""
     model = quality_llr.fit(docs, read(spark, sf_dir, "labels"))
-    return quality_llr.judged(docs.withColumn("__text", F.col("text")), model, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality_llr.judged(docs, model, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
