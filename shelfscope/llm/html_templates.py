@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.tables import stored
+from shelfscope.llm.tables import small, stored
 from shelfscope.llm.words import slices, texts_of
 
 #: A subtree is template if it is on so many pages of its host, and on this share of them.
@@ -223,10 +223,10 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     inside = read.select("row", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("hash"))
     often = inside.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     template = stored(often.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "hash"), "template")
-    gone = inside.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
+    gone = stored(inside.join(small(template), ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")), "gone")
     kept = F.filter(F.arrays_zip("texts", "around"), lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("gone")), F.lit(False)))
     return (
-        read.join(gone, "row", "left")
+        read.join(small(gone), "row", "left")
         .withColumn("kept", F.transform(kept, lambda b: b["texts"]))
         .withColumn("text", F.array_join("kept", "\n"))
         .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.size("texts") - F.size("kept")).cast("long").alias("n_template"))
