@@ -57,7 +57,7 @@ def rotated(turns: DataFrame) -> DataFrame:
 
     conv_id, perspective, turn_index, turn, kind (assistant, user or system),
     name, rendered, char_start and char_end (in the dialogue, code points),
-    is_target, and for targets mask_start and mask_end.
+    is_target, mask_start and mask_end (an empty span at the end if no target).
     """
     numbered = _numbered(turns)
     speakers = numbered.where((F.col("name") != SYSTEM) & F.col("name").isNotNull()).select(F.col("conv_id").alias("conv"), F.col("name").alias("perspective")).distinct()
@@ -92,6 +92,6 @@ def rotated(turns: DataFrame) -> DataFrame:
         (end - length).alias("char_start"),
         end.alias("char_end"),
         target.alias("is_target"),
-        F.when(target, end - length + F.length("header")).alias("mask_start"),
-        F.when(target, end - 1).alias("mask_end"),
+        F.when(target, end - length + F.length("header")).otherwise(end).alias("mask_start"),
+        F.when(target, end - 1).otherwise(end).alias("mask_end"),
     )

@@ -103,8 +103,8 @@ placed AS (
   FROM rendered)
 SELECT conv_id, perspective, turn_index, turn, kind, name, rendered, char_end - length(rendered) AS char_start, char_end,
   kind = 'assistant' AS is_target,
-  CASE WHEN kind = 'assistant' THEN char_end - length(rendered) + length(header) END AS mask_start,
-  CASE WHEN kind = 'assistant' THEN char_end - 1 END AS mask_end
+  CASE WHEN kind = 'assistant' THEN char_end - length(rendered) + length(header) ELSE char_end END AS mask_start,
+  CASE WHEN kind = 'assistant' THEN char_end - 1 ELSE char_end END AS mask_end
 FROM placed
 """
 
