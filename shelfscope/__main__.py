@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +14,7 @@ from shelfscope.plans import packs, runner
 from shelfscope.schema import COLUMNS, PRODUCTS
 from shelfscope.session import build_session
 from shelfscope.sources import adhoc
-from shelfscope.sources.catalog_csv import csv_files, read_catalog
+from shelfscope.sources.catalog_csv import named_files, read_catalog
 from shelfscope.streaming import ingest, refresh
 
 
@@ -25,13 +24,12 @@ def table(spark: SparkSession, path: str) -> DataFrame:
 
 def load(spark: SparkSession, args: argparse.Namespace) -> None:
     for path in args.csv:
-        files = [path] if path.endswith(".csv") else csv_files(spark, path)
-        print(f"{append_products(read_catalog(spark, files), args.table)} rows from {path}")
+        print(f"{append_products(read_catalog(spark, named_files(spark, path)), args.table)} rows from {path}")
 
 
 def watch(spark: SparkSession, args: argparse.Namespace) -> None:
-    since = None if args.existing else datetime.now().astimezone()
-    files = ingest.stream_files(spark, args.folder, created_after=since)
+    known = None if args.existing else ingest.record_known(spark, args.folder, f"{args.home}/known_files")
+    files = ingest.stream_files(spark, args.folder, args.files_per_batch, known)
     trigger = {"processingTime": args.every}
     specs = {"pack": FilterSpec.from_json(args.filters_json)}
     refresh.start_refresh(files, specs, args.home, args.checkpoint, trigger).awaitTermination()
@@ -70,6 +68,7 @@ def arguments() -> argparse.ArgumentParser:
     watching = command(watch, "folder", "home", "checkpoint")
     watching.add_argument("--filters-json", default="{}", help="one filter spec")
     watching.add_argument("--every", default="10 seconds")
+    watching.add_argument("--files-per-batch", type=int, default=ingest.FILES_PER_BATCH)
     watching.add_argument("--existing", action="store_true", help="also take files that are there already")
     command(report, "table", "out").add_argument("--limit", type=int)
     packing = command(pack, "table", "out")

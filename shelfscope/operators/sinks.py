@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
+
+#: Quotes doubled, blanks kept, as common CSV readers expect.
+REPORT_TEXT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def append_products(rows: DataFrame, table: str) -> int:
@@ -24,6 +27,16 @@ def rows_per_partition(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("rows_inserted"))
 
 
+def _as_text(field: T.StructField) -> Column:
+    """Doubles in plain digits, as ``258495563.45``; a whole one as ``12.0``."""
+    value = F.col(field.name)
+    if not isinstance(field.dataType, T.DoubleType):
+        return value
+    digits = F.regexp_replace(value.cast("decimal(38,15)").cast("string"), r"(\.\d+?)0+$", "$1")
+    exact = digits.cast("double") == value
+    return F.when(exact, digits).otherwise(value.cast("string")).alias(field.name)
+
+
 def write_report(report: DataFrame, path: str, limit: int | None = None) -> bool:
     """One CSV file with a header, or no file for an empty result.
 
@@ -34,7 +47,7 @@ def write_report(report: DataFrame, path: str, limit: int | None = None) -> bool
     try:
         if rows.isEmpty():
             return False
-        rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        rows.select(*map(_as_text, rows.schema)).coalesce(1).write.mode("overwrite").options(**REPORT_TEXT).csv(path)
         return True
     finally:
         rows.unpersist()

@@ -182,8 +182,7 @@ def stream_refresh_packs(products: DataFrame, specs: packs.Specs) -> DataFrame:
     """Pack documents after the last file, as flat KPI rows."""
     home, query = _refreshed(products, specs)
     spark = products.sparkSession
-    cube = refresh.latest(spark, f"{home}/pack_cube", query)
-    top = refresh.latest(spark, f"{home}/pack_top", query)
+    cube, top = (refresh.latest(spark, f"{home}/{name}", query) for name in refresh.pack_states(specs))
     return flat_kpis(packs.assemble(cube, top, specs))
 
 

@@ -18,10 +18,16 @@ def select(spark: SparkSession, sql: str) -> DataFrame:
 
 
 def select_json(spark: SparkSession, sql: str) -> DataFrame:
-    """Each row as JSON text; a query that cannot run gives one ``{"error": ...}`` row."""
+    """Each row as JSON text; a query that cannot run gives one ``{"error": ...}`` row.
+
+    The query is run here, as some errors show only then; its rows are kept
+    on the executors, in memory or on disk, for whoever reads the result.
+    """
     try:
         rows = select(spark, sql)
-        return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row_json"))
+        found = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row_json")).persist()
+        found.count()
+        return found
     except PySparkException as error:
         message = F.struct(F.lit(str(error)).alias("error"))
         return spark.range(1).select(F.to_json(message).alias("row_json"))

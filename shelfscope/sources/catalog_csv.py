@@ -10,8 +10,10 @@ from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from pathlib import PurePosixPath
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamReader
@@ -33,6 +35,20 @@ Header = tuple[str, ...]
 Reader = DataFrameReader | DataStreamReader
 
 
+def named_files(spark: SparkSession, path: str) -> list[str]:
+    """The file itself, whatever its suffix, or the CSV files of a folder."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    found = spark.read.format("binaryFile").schema(schema).load(path).select("path").limit(2).collect()
+    if [PurePosixPath(r.path).name for r in found] == [PurePosixPath(path).name] or _hidden(path):
+        return [path]
+    return csv_files(spark, path)
+
+
+def _hidden(path: str) -> bool:
+    """Whether Spark's readers pass over a file of this name."""
+    return PurePosixPath(path).name.startswith(("_", "."))
+
+
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
     """CSV files lying directly in the folder. The files are listed, not read."""
     return [r.path for r in listing(spark.read, folder).select("path").collect()]
@@ -47,11 +63,15 @@ def listing(reader: Reader, folder: str) -> DataFrame:
 def read_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Typed products from one or more CSV files, whatever their column order.
 
-    Files are grouped by header line and each group is one splittable scan.
+    A file that is named is read whatever its suffix; one whose name Spark's
+    readers pass over is refused. Files are grouped by header line and each group is one splittable scan.
     Columns a file lacks are NULL, columns it has beyond the schema are ignored.
     """
     groups: dict[Header, list[str]] = defaultdict(list)
-    for path, header in read_headers(spark, [paths] if isinstance(paths, str) else list(paths)).items():
+    named = [paths] if isinstance(paths, str) else list(paths)
+    if hidden := [p for p in named if _hidden(p)]:
+        raise ValueError(f"names beginning with '_' or '.' cannot be read, rename {', '.join(hidden[:5])}")
+    for path, header in read_headers(spark, named).items():
         if header:
             groups[header].append(path)
         else:
@@ -95,11 +115,11 @@ def _open_first_line(file: str) -> str | None:
         system, name = fs.FileSystem.from_uri(file.replace("s3a://", "s3://", 1))
         with system.open_input_stream(name) as stream:
             return io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8").readline().rstrip("\r\n")
-    except (OSError, ValueError):
+    except (OSError, ValueError, pa.ArrowException):
         return None
 
 
-def scan_text(reader: Reader, header: Header, paths: str | Sequence[str]) -> DataFrame:
+def scan_text(reader: Reader, header: Header, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """All fields as text in columns ``_0, _1, ...``; overlong rows are left out.
 
     Short rows are padded with NULL. The reader marks both kinds alike and cuts
@@ -114,7 +134,8 @@ def scan_text(reader: Reader, header: Header, paths: str | Sequence[str]) -> Dat
     names = [f"_{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
     reader = reader.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT)
-    rows = reader.options(header=True, columnPruning=False, pathGlobFilter=GLOB, **CSV_TEXT).csv(paths)
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    rows = reader.options(header=True, columnPruning=False, **CSV_TEXT).csv(paths)
     return rows.filter(F.col(_CORRUPT).isNull() | _fits(F.col(_CORRUPT), len(header))).select(names)
 
 

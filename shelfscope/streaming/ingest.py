@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfscope.operators.sinks import overwrite_batch
 from shelfscope.schema import COLUMNS
-from shelfscope.sources.catalog_csv import Header, conform, listing, read_catalog, scan_text
+from shelfscope.sources.catalog_csv import GLOB, Header, conform, listing, read_catalog, scan_text
 
 FILES_PER_BATCH = 1  # files are taken one at a time unless told otherwise
 DRAIN = {"availableNow": True}  # trigger: work through what is there, then stop
@@ -21,7 +21,7 @@ def stream_products(
 ) -> DataFrame:
     """Typed products from files that all have the columns of ``header`` in that order."""
     reader = spark.readStream.option("maxFilesPerTrigger", files)
-    return conform(scan_text(reader, header, folder), header)
+    return conform(scan_text(reader, header, folder, GLOB), header)
 
 
 def start_ingest(rows: DataFrame, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -31,16 +31,29 @@ def start_ingest(rows: DataFrame, table: str, checkpoint: str, trigger: dict | N
 
 
 def stream_files(
-    spark: SparkSession, folder: str, files: int = FILES_PER_BATCH, created_after: datetime | None = None
+    spark: SparkSession, folder: str, files: int = FILES_PER_BATCH, known: str | None = None
 ) -> DataFrame:
-    """Paths of new files. ``created_after`` leaves out what lay there before.
+    """Paths of new files. ``known`` is a table of paths to leave out, see ``record_known``.
 
     Only the listing is streamed; nothing is read until a batch loads its files.
     """
-    found = listing(spark.readStream.option("maxFilesPerTrigger", files), folder)
-    if created_after is not None:
-        found = found.filter(F.col("modificationTime") > F.lit(created_after))
-    return found.select("path")
+    found = listing(spark.readStream.option("maxFilesPerTrigger", files), folder).select("path")
+    if known is None:
+        return found
+    return found.join(spark.read.schema("path string").parquet(known), "path", "left_anti")
+
+
+def record_known(spark: SparkSession, folder: str, table: str) -> str:
+    """Write down, at the first start only, which files are there already.
+
+    Names, not times: what arrives while nothing watches, or is moved in with an
+    old time stamp, is new.
+    """
+    try:
+        spark.read.parquet(table)
+    except AnalysisException:
+        listing(spark.read, folder).select("path").write.parquet(table)
+    return table
 
 
 def batch_paths(batch: DataFrame) -> Sequence[str]:

@@ -2,16 +2,20 @@
 
 Going over the whole table again after each file would cost more with every
 file. Here each batch reduces its own rows to a cube and a rated list, and adds
-them to those of the batch before: the work per file depends on the file, and
-the figures are exactly those of a full pass.
+them to the newest ones before it. A batch reads its own rows and the state,
+which grows with brands and bands, not with rows; the figures are exactly those
+of a full pass. The state of packs belongs to their specs: other specs start
+from all products loaded so far.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,10 +33,12 @@ def start_refresh(
 ) -> StreamingQuery:
     """Per batch of files: append the rows, bring the figures up to date, write the packs.
 
-    Below ``home`` lie ``products``, ``report_cube``, ``pack_cube``, ``pack_top``
-    and ``packs``, each with one folder per batch. All but the first hold the
-    state after that batch, so repeating a batch gives the same state again.
+    Below ``home`` lie ``products``, ``report_cube``, and, by fingerprint of the
+    specs, ``pack_cube-*``, ``pack_top-*``; further ``packs``; each with a folder
+    per batch that had files. All but the first hold the state after that batch,
+    so repeating a batch gives the same state again.
     """
+    cube, top = pack_states(specs)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -44,39 +50,63 @@ def start_refresh(
 
         steps = {
             "report_cube": (facts.build_cube, facts.merge_cubes),
-            "pack_cube": (lambda rows: packs.pack_cube(rows, specs), packs.merge_pack_cubes),
-            "pack_top": (lambda rows: packs.pack_top(rows, specs), lambda tops: packs.merge_pack_tops(tops, specs)),
+            cube: (lambda rows: packs.pack_cube(rows, specs), packs.merge_pack_cubes),
+            top: (lambda rows: packs.pack_top(rows, specs), lambda tops: packs.merge_pack_tops(tops, specs)),
         }
 
         @inheritable_thread_target(spark)
         def advance(name: str) -> DataFrame:
             build, merge = steps[name]
-            return _advance(build(fresh), f"{home}/{name}", batch_id, merge)
+            return _advance(fresh, build, f"{home}/{name}", f"{home}/products", batch_id, merge)
 
         with ThreadPoolExecutor(len(steps)) as pool:
             state = dict(zip(steps, pool.map(advance, steps)))
-        documents = packs.assemble(state["pack_cube"], state["pack_top"], specs)
+        documents = packs.assemble(state[cube], state[top], specs)
         write_packs(documents, f"{home}/packs/batch_id={batch_id}")
 
     writer = files.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or DRAIN)).start()
 
 
-def _advance(fresh: DataFrame, state: str, batch_id: int, merge: Merge) -> DataFrame:
-    """State of the batch before plus the fresh rows, written and read back."""
+def pack_states(specs: packs.Specs) -> tuple[str, str]:
+    """Folder names of the packs' state: other specs, other names."""
+    mark = hashlib.sha256(repr(sorted(specs.items())).encode()).hexdigest()[:16]
+    return f"pack_cube-{mark}", f"pack_top-{mark}"
+
+
+def _advance(fresh: DataFrame, build: Merge, state: str, table: str, batch_id: int, merge: Merge) -> DataFrame:
+    """The newest state before plus the fresh rows, written and read back; without one, a state of all rows so far."""
     spark = fresh.sparkSession
-    if batch_id > 0:
-        fresh = merge(spark.read.parquet(f"{state}/batch_id={batch_id - 1}").unionByName(fresh))
-    overwrite_batch(fresh, state, batch_id)
+    before = newest(spark, state, batch_id)
+    if before is None:
+        loaded = spark.read.parquet(table).where(F.col("batch_id") <= batch_id).drop("batch_id")
+        after = build(loaded)
+    else:
+        after = merge(before.unionByName(build(fresh)))
+    overwrite_batch(after, state, batch_id)
     return spark.read.parquet(f"{state}/batch_id={batch_id}")
 
 
+def newest(spark: SparkSession, state: str, before: int) -> DataFrame | None:
+    """The last state written by an earlier batch; batches without files write none.
+
+    The folders are looked at, not the rows, as a state may be empty.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(state)
+    except AnalysisException:
+        return None
+    last = files.where(F.col("batch_id") < before).agg(F.max("batch_id")).first()[0]
+    return None if last is None else spark.read.parquet(f"{state}/batch_id={last}")
+
+
 def latest(spark: SparkSession, state: str, query: StreamingQuery) -> DataFrame:
     """The state after the last batch the query has finished."""
     progress = query.lastProgress
-    if progress is None:
-        raise ValueError("no batch has finished yet")
-    return spark.read.parquet(f"{state}/batch_id={progress['batchId']}")
+    found = newest(spark, state, progress["batchId"] + 1) if progress else None
+    if found is None:
+        raise ValueError("no batch with files has finished yet")
+    return found
 
 
 def brand_counts(rows: DataFrame) -> DataFrame:

@@ -1,18 +1,22 @@
 """CSV loads in batch and as streams."""
 
+import csv
+import json
 import os
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from shelfscope.operators.sinks import append_products
+from shelfscope.operators.filters import FilterSpec
+from shelfscope.operators.sinks import append_products, write_report
 from shelfscope.plans import facts, packs, reports
 from shelfscope.plans.loading import write_csv
 from shelfscope.registry import SPECS
 from shelfscope.schema import COLUMNS, PRODUCTS
 from shelfscope.session import scratch_dir
-from shelfscope.sources.catalog_csv import csv_files, read_catalog, read_headers
+from shelfscope.sources.catalog_csv import csv_files, named_files, read_catalog, read_headers
+from shelfscope.sources.adhoc import select_json
 from shelfscope.streaming import ingest, refresh
 
 RAGGED = """﻿product_id,style_id,title,brand
@@ -99,15 +103,78 @@ def test_streams_take_new_files_once(spark, folder, tmp_path):
     assert drain() == [1, 2, 3]
 
 
-def test_stream_can_leave_out_what_was_there_before(spark, folder, tmp_path):
+def test_stream_leaves_out_what_was_there_at_its_first_start(spark, folder, tmp_path):
+    """By name: an old time stamp is no reason, and what comes while nothing runs is taken."""
     (folder / "old.csv").write_text("product_id\n1\n")
+    home, table = str(tmp_path / "home"), str(tmp_path / "t")
+
+    def run():
+        known = ingest.record_known(spark, str(folder), f"{home}/known")
+        files = ingest.stream_files(spark, str(folder), known=known)
+        ingest.start_ingest_by_name(files, table, str(tmp_path / "c")).awaitTermination()
+
+    run()
+    (folder / "moved.csv").write_text("product_id\n2\n")
     old = (datetime.now() - timedelta(hours=1)).timestamp()
-    os.utime(folder / "old.csv", (old, old))
-    (folder / "new.csv").write_text("product_id\n2\n")
-    since = datetime.now(timezone.utc) - timedelta(minutes=10)
-    files = ingest.stream_files(spark, str(folder), created_after=since)
-    ingest.start_ingest_by_name(files, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    assert [r.product_id for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [2]
+    os.utime(folder / "moved.csv", (old, old))
+    run()
+    assert [r.product_id for r in spark.read.parquet(table).collect()] == [2]
+
+
+def _refresh(spark, folder, tmp_path, specs, known=None):
+    files = ingest.stream_files(spark, str(folder), known=known)
+    query = refresh.start_refresh(files, specs, str(tmp_path / "home"), str(tmp_path / "c"))
+    query.awaitTermination()
+    states = (refresh.latest(spark, f"{tmp_path}/home/{n}", query) for n in refresh.pack_states(specs))
+    return {r.pack_id: r for r in packs.assemble(*states, specs).collect()}
+
+
+def test_refresh_survives_batches_without_files(spark, folder, tmp_path):
+    (folder / "old.csv").write_text("product_id,brand\n1,X\n")
+    known = ingest.record_known(spark, str(folder), str(tmp_path / "known"))
+    (folder / "new.csv").write_text("product_id,brand\n2,Y\n")
+    late = (datetime.now() + timedelta(hours=1)).timestamp()
+    os.utime(folder / "new.csv", (late, late))
+    specs = {"all": SPECS["everything"]}
+    assert _refresh(spark, folder, tmp_path, specs, known)["all"].kpis.products == 1
+    (folder / "newer.csv").write_text("product_id,brand\n3,Z\n4,Z\n")
+    os.utime(folder / "newer.csv", (late + 60, late + 60))
+    assert _refresh(spark, folder, tmp_path, specs, known)["all"].kpis.products == 3
+
+
+def test_other_specs_start_from_all_products(spark, folder, tmp_path):
+    (folder / "a.csv").write_text("product_id,brand\n1,X\n2,Y\n")
+    assert _refresh(spark, folder, tmp_path, {"pack": FilterSpec(brands=["X"])})["pack"].kpis.products == 1
+    (folder / "b.csv").write_text("product_id,brand\n3,Y\n4,Y\n5,X\n")
+    found = _refresh(spark, folder, tmp_path, {"pack": FilterSpec(brands=["Y"])})["pack"]
+    assert found.kpis.products == 3 and [b.brand for b in found.tables.brand_concentration] == ["Y"]
+
+
+def test_named_files_of_any_suffix(spark, folder):
+    for name in ("d.txt", "D.CSV", "plain"):
+        (folder / name).write_text("product_id\n7\n")
+        files = named_files(spark, str(folder / name))
+        assert [r.product_id for r in read_catalog(spark, files).collect()] == [7]
+    (folder / "_d.csv").write_text("product_id\n7\n")
+    with pytest.raises(ValueError, match="rename"):
+        read_catalog(spark, named_files(spark, str(folder / "_d.csv")))
+
+
+def test_report_file_reads_back_as_it_was(spark, tmp_path):
+    rows = [('a "q" b, x', 258495563.45), ("  blanks ", 12.0), (None, None), ("tiny", 1e-300), ("third", 1 / 3)]
+    report = spark.createDataFrame(rows, "title string, value double")
+    write_report(report, str(tmp_path / "r"))
+    (file,) = (tmp_path / "r").glob("*.csv")
+    text = file.read_text().splitlines()
+    assert text[:3] == ["title,value", '"a ""q"" b, x",258495563.45', "  blanks ,12.0"]
+    with open(file, newline="") as lines:
+        back = [(r[0] or None, float(r[1]) if r[1] else None) for r in list(csv.reader(lines))[1:]]
+    assert back == rows
+
+
+def test_errors_at_run_time_become_a_row(spark):
+    (row,) = select_json(spark, "SELECT raise_error('no') FROM range(3)").collect()
+    assert "no" in json.loads(row.row_json)["error"]
 
 
 def test_fixed_layout_stream_equals_batch(spark, folder, tmp_path):
@@ -137,7 +204,7 @@ def test_running_state_equals_a_full_pass(spark, products, tmp_path):
     for name, build in reports.AGGREGATES.items():
         assert build(facts.Cube(cube)).collect() == reports.report(name, table).collect(), name
     running = packs.assemble(
-        refresh.latest(spark, f"{home}/pack_cube", query), refresh.latest(spark, f"{home}/pack_top", query), specs
+        *(refresh.latest(spark, f"{home}/{n}", query) for n in refresh.pack_states(specs)), specs
     )
     full = packs.insight_packs(table, specs)
     assert sorted(running.collect(), key=str) == sorted(full.collect(), key=str)
@@ -158,13 +225,13 @@ def test_repeated_batch_leaves_the_state_as_it_was(spark, folder, tmp_path):
         return query
 
     run()
-    before = sorted(spark.read.parquet(f"{home}/pack_cube/batch_id=1").collect(), key=str)
+    before = sorted(spark.read.parquet(f"{home}/{refresh.pack_states({'all': SPECS['everything']})[0]}/batch_id=1").collect(), key=str)
     os.remove(tmp_path / "c" / "commits" / "1")  # as if the second batch had not been committed
     crc = tmp_path / "c" / "commits" / ".1.crc"
     if crc.exists():
         os.remove(crc)
     run()
-    assert sorted(spark.read.parquet(f"{home}/pack_cube/batch_id=1").collect(), key=str) == before
+    assert sorted(spark.read.parquet(f"{home}/{refresh.pack_states({'all': SPECS['everything']})[0]}/batch_id=1").collect(), key=str) == before
     assert spark.read.parquet(f"{home}/products").count() == 4
 
 

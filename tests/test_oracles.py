@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import DATA
+from shelfscope import registry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER"}
 
 
