@@ -15,7 +15,9 @@ from shelfscope.session import scratch_dir
 BROADCAST_ROWS = 200_000
 _LOCAL_BITS = 33
 #: Rows of an Arrow batch of whole texts.
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
+#: Bytes of a row group, which a writing task holds in memory.
+GROUP_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,7 +28,7 @@ def stored(df: DataFrame, purpose: str, rows: int = TEXT_ROWS) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cut lineage that outlives an executor."""
     path = scratch_dir(df.sparkSession, purpose)
     with batches_of(df.sparkSession, rows):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,6 +10,7 @@ fewer distinct chunks; all others go to the library as they are.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +43,11 @@ def _loosened(texts: pa.Array) -> pa.Array:
     return pc.if_else(plain, eased, texts)
 
 
+def _runs(chunks: list[str], n: int = 2000) -> Iterator[list[str]]:
+    """What is encoded at a time: the library's results take far more room than the ids."""
+    return (chunks[i : i + n] for i in range(0, len(chunks), n))
+
+
 class ChunkEncoder:
     """Encodes texts to ids, with an end id after each."""
 
@@ -59,12 +65,12 @@ class ChunkEncoder:
         known = self._known
         new = [c for c in chunks if c not in known]
         words = [c for c in new if c.isalpha() and max(c) <= "ÿ"]
-        if words and (found := self._of_words(words)):
-            known.update(found)
-            new = [c for c in new if c not in known]
-        if new:
-            found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(new, found, strict=True))
+        for some in _runs(words):
+            known.update(self._of_words(some))
+        new = [c for c in new if c not in known]
+        for some in _runs(new):
+            found = self._tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(some, found, strict=True))
         return [known[c] for c in chunks]
 
     def _of_words(self, words: list[str]) -> dict[str, bytes]:
@@ -89,6 +95,7 @@ class ChunkEncoder:
         ends = np.cumsum(counts)
         where = np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
         chunk_ends = bounds[1:] + np.arange(1, len(bounds))
+        pa.default_memory_pool().release_unused()
         return ids[where], np.concatenate([[0], ends[chunk_ends - 1]]).astype(np.int64)
 
 
