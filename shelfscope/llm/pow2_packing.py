@@ -78,8 +78,9 @@ def packed(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAP
     pieces = stored(texts.mapInArrow(_pieces(path, end_id, capacity), PIECES), "pieces")
     earlier = run_offsets(pieces, F.count(F.lit(1)), "bucket")
     sizes = pieces.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    longer = sizes.alias("a").join(sizes.alias("b"), F.col("b.bucket") > F.col("a.bucket"), "left")
-    base = longer.groupBy(F.col("a.bucket").alias("bucket")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
+    shorter = F.explode(F.sequence(F.lit(0), "bucket")).alias("at")
+    counted = F.when(F.col("at") < F.col("bucket"), F.col("n")).otherwise(0)
+    base = sizes.select("bucket", "n", shorter).groupBy(F.col("at").alias("bucket")).agg(F.sum(counted).alias("base"))
     firsts = stored(earlier.join(base, "bucket").select("bucket", "run", (F.col("base") + F.col("before")).cast("long").alias("first")), "firsts")
     return (
         pieces.join(small(firsts), ["bucket", "run"])

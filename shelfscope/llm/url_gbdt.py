@@ -102,13 +102,12 @@ def described(pages: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def suffix_rates(labelled: DataFrame) -> DataFrame:
+def suffix_rates(labelled: DataFrame, overall: float) -> DataFrame:
     """suffix kind, suffix, rate: the smoothed share of blocked urls among the labelled ones with this suffix."""
     blocked = (F.col("label") == "block").cast("double")
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in SUFFIXES))).alias("of")
     counts = labelled.select(blocked.alias("blocked"), kinds).groupBy("of.kind", "of.suffix").agg(F.sum("blocked").alias("blocked"), F.count(F.lit(1)).alias("n"))
-    overall = labelled.agg(F.avg(blocked).alias("overall"))
-    return counts.crossJoin(F.broadcast(overall)).select("kind", "suffix", ((F.col("blocked") + PRIOR * F.col("overall")) / (F.col("n") + PRIOR)).alias("rate"))
+    return counts.select("kind", "suffix", ((F.col("blocked") + PRIOR * overall) / (F.col("n") + PRIOR)).alias("rate"))
 
 
 def _with_rates(rows: DataFrame, rates: DataFrame, overall: float) -> DataFrame:
@@ -129,7 +128,7 @@ def judged(pages: DataFrame, rules=RULES, rows: int = TRAIN_ROWS) -> DataFrame:
     if len(kinds) < 2:
         return decided.union(free.select("page_id", "host", "path", "rule", F.lit("allow"), F.lit(None).cast("double")))
     overall = kinds["block"] / sum(kinds.values())
-    rates = stored(suffix_rates(labelled), "rates")
+    rates = stored(suffix_rates(labelled, overall), "rates")
     assembler = VectorAssembler(inputCols=[*FEATURES, *(f"{k}_rate" for k in SUFFIXES)], outputCol="features")
     chosen = labelled.orderBy(F.xxhash64("url"), "url", "page_id").limit(rows).coalesce(1)
     ready = assembler.transform(_with_rates(chosen, rates, overall)).select("features", (F.col("label") == "block").cast("double").alias("target"))
