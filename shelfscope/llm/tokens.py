@@ -75,7 +75,8 @@ class ChunkEncoder:
 
     def _of_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of plain words, encoded as one text and cut where a token ends a word; nothing if that doesn't come out."""
-        ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        (found,) = self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
         ends = np.flatnonzero(self._ends_word[ids]) + 1
         if len(ends) != len(words):
             return {}
@@ -86,17 +87,13 @@ class ChunkEncoder:
         """All ids one after the other, and where each text's begin and end."""
         values, bounds = split(_loosened(texts), blanks="\n")
         codes, distinct = coded(values)
-        pool = [*self._ids(distinct.to_pylist()), self._end]
-        lengths = np.fromiter(map(len, pool), dtype=np.int64, count=len(pool)) // 4
-        starts = np.cumsum(lengths) - lengths
-        ids = np.frombuffer(b"".join(pool), dtype="<u4")
-        codes = np.insert(codes, bounds[1:], len(pool) - 1)
-        counts = lengths[codes]
-        ends = np.cumsum(counts)
-        where = np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-        chunk_ends = bounds[1:] + np.arange(1, len(bounds))
+        pool = pa.array([*self._ids(distinct.to_numpy(zero_copy_only=False).tolist()), self._end], pa.large_binary())
+        laid = pool.take(pa.array(np.insert(codes, bounds[1:], len(pool) - 1)))
+        _, offsets, data = laid.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64, count=len(laid) + 1) // 4
+        ids = np.frombuffer(data, dtype="<u4", count=ends[-1]) if ends[-1] else np.zeros(0, "<u4")
         pa.default_memory_pool().release_unused()
-        return ids[where], np.concatenate([[0], ends[chunk_ends - 1]]).astype(np.int64)
+        return ids, ends[bounds + np.arange(len(bounds))]
 
 
 @lru_cache(maxsize=2)
