@@ -179,6 +179,29 @@ def per_pack(sql: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{name}' AS pack_id, * FROM ({rows})" for name, rows in sql.items())
 
 
+def document(shelf: str, rated: str, limit: int) -> str:
+    """Every value of a pack, section by section."""
+    text = {"brand", "band", "title", "bullet"}
+    sections = {
+        "kpis": (f"SELECT 1 AS position, * FROM ({pack_kpis(shelf)})", "avg_price avg_mrp avg_discount_pct no_discount_items products"),
+        "brand_concentration": (numbered(shares(shelf, 10), ordered("items DESC", "brand ASC")), "brand items share_pct"),
+        "discount_bands": (numbered(pack_bands(shelf), ordered("items DESC", "band ASC")), "band items"),
+        "top_discounted_rated": (numbered(pack_rated(rated, limit), BY_DISCOUNT), DISCOUNT_LIST.replace(",", " ")),
+        "bullets": (f"SELECT bullet_no AS position, bullet FROM ({pack_bullets(shelf)})", "bullet"),
+    }
+
+    def cell(f: str) -> str:
+        words, number = (f, "NULL") if f in text else ("NULL", f)
+        return f"{{'field': '{f}', 'text': CAST({words} AS VARCHAR), 'number': CAST({number} AS DOUBLE)}}"
+
+    def rows(section: str, sql: str, fields: str) -> str:
+        cells = ", ".join(map(cell, fields.split()))
+        return f"""SELECT '{section}' AS section, CAST(position AS BIGINT) AS position, v.field AS field, v.text AS "text", v.number AS "number"
+          FROM (SELECT position, unnest([{cells}]) AS v FROM ({sql}))"""
+
+    return " UNION ALL ".join(rows(name, sql, fields) for name, (sql, fields) in sections.items())
+
+
 # A CSV file cannot tell an empty text from a missing one.
 EMPTY_IS_NULL = "* REPLACE (nullif(title, '') AS title, nullif(brand, '') AS brand)"
 RELOADED = f"SELECT {COLUMNS} FROM (SELECT {EMPTY_IS_NULL} FROM products)"

@@ -220,6 +220,38 @@ def flat_bullets(documents: DataFrame) -> DataFrame:
     return rows.select("pack_id", (c("n") + 1).cast("bigint").alias("bullet_no"), "bullet")
 
 
+def flat_document(documents: DataFrame) -> DataFrame:
+    """Every value of the documents: section, position (from 1), field, and the value as text or as number."""
+    kinds = documents.schema
+    tables = kinds["tables"].dataType
+
+    def listed(table: str) -> Column:
+        fields = tables[table].dataType.elementType
+        return F.transform(c(f"tables.{table}"), lambda row, n: _cells(table, n + 1, row, fields))
+
+    kpis = F.array(_cells("kpis", F.lit(1), c("kpis"), kinds["kpis"].dataType))
+    said = F.transform("bullets", lambda x, n: F.array(_cell("bullets", n + 1, "bullet", x, None)))
+    return documents.select(F.inline(F.flatten(F.concat(kpis, *map(listed, tables.names), said))))
+
+
+def _cells(section: str, position: Column, row: Column, fields: T.StructType) -> Column:
+    def cell(f: T.StructField) -> Column:
+        is_text = isinstance(f.dataType, T.StringType)
+        return _cell(section, position, f.name, row[f.name] if is_text else None, None if is_text else row[f.name])
+
+    return F.array(*map(cell, fields))
+
+
+def _cell(section: str, position: Column, field: str, text: Column | None, number: Column | None) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"),
+        position.cast("bigint").alias("position"),
+        F.lit(field).alias("field"),
+        F.lit(text).cast("string").alias("text"),
+        F.lit(number).cast("double").alias("number"),
+    )
+
+
 def pack_documents(products: DataFrame, specs: dict[str, FilterSpec]) -> DataFrame:
     """Packs through their JSON files."""
     spark = products.sparkSession

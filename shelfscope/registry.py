@@ -97,7 +97,7 @@ def queries() -> dict[str, Query]:
     found["pack_discount_bands"] = _over(packs.pack_discount_bands, one)
     found["pack_top_discounted_rated"] = _over(packs.pack_top_discounted_rated, one)
     found["pack_bullets"] = _over(packs.pack_bullets, one)
-    found["insight_pack"] = _over(packs.insight_pack, one)
+    found["insight_pack"] = _over(lambda p: loading.flat_document(packs.insight_pack(p, one)))
     found["insight_packs_multi"] = _over(lambda p: loading.flat_kpis(packs.insight_packs(p, SPECS)))
     for table in oracles.PACK_TABLES:
         found[f"packs_{table}"] = _over(lambda p, t=table: loading.flat_table(packs.insight_packs(p, SPECS), t))
@@ -119,6 +119,7 @@ def oracle_sql() -> dict[str, str]:
     found["pack_discount_bands"] = oracles.pack_bands(shelf)
     found["pack_top_discounted_rated"] = oracles.pack_rated(rated, spec.rows)
     found["pack_bullets"] = oracles.pack_bullets(shelf)
+    found["insight_pack"] = oracles.document(shelf, rated, spec.rows)
     found["insight_packs_multi"] = oracles.per_pack(
         {
             name: f"SELECT *, CAST(CASE WHEN products > 0 THEN 4 ELSE 1 END AS BIGINT) AS sentences"
