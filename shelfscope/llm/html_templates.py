@@ -1,15 +1,18 @@
 """Operator 5, HTML extraction: site template removal.
 
 Pages are read into blocks of text, each with the hashes of the element
-subtrees it lies in. Hashes are counted per host; a subtree that recurs on many
-pages of its host is template, and its blocks go. Paragraphs and headings that
-stand in the article's own flow are no template however often they recur;
-containers (div, section, list, table and the like) can be.
-
-What names itself page furniture (menus, headers and footers outside the
-article, sidebars, forms, notices, adverts, comments) goes without counting, as
-it may differ from page to page. Where a page has an article or main element,
-its text is all that is read.
+subtrees it lies in: every element outside head and scripts, menus, adverts and
+footers and what surrounds an article included. Hashes are counted per host; a
+subtree that recurs on many pages of its host is template, and its blocks go.
+Paragraphs and headings that stand in the article's own flow, and the items and
+cells of its lists and tables, are no template however often they recur;
+containers (div, section, whole lists and tables and the like) can be.
+
+Rules by tag, class and article element help only with what differs from page
+to page and so can't be counted: what names itself page furniture (menus,
+headers and footers outside the article, sidebars, forms, notices, adverts,
+comments) goes, and where a page has an article or main element, its text alone
+is kept.
 
 Null, empty and blank pages have an empty text. Broken markup is read as far as
 it makes sense: unclosed elements end with their parents, an unclosed script or
@@ -23,16 +26,19 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.tables import small, stored
+from shelfscope.llm.tables import stored
 from shelfscope.llm.words import slices, texts_of
 
 #: A subtree is template if it is on so many pages of its host, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: Template subtrees that are handed to every task as an array; beyond it they are joined.
+SHARED_KEYS = 4_000_000
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -48,7 +54,7 @@ FURNITURE = frozenset("nav aside form footer dialog menu button select head".spl
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
-FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html br hr".split())
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html br hr li dt dd tr td th thead tbody tfoot caption figcaption".split())
 #: Elements that end an open paragraph.
 ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
@@ -64,10 +70,10 @@ MARKED = frozenset(
 
 
 class _Node:
-    __slots__ = ("name", "furniture", "in_article", "parts", "children", "label")
+    __slots__ = ("name", "furniture", "in_article", "holds_article", "parts", "label")
 
     def __init__(self, name: str, label: str, furniture: bool, in_article: bool):
-        self.name, self.label, self.furniture, self.in_article = name, label, furniture, in_article
+        self.name, self.label, self.furniture, self.in_article, self.holds_article = name, label, furniture, in_article, False
         self.parts: list[object] = []
 
 
@@ -128,7 +134,10 @@ def _tree(page: str) -> tuple[_Node, bool]:
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         inside = stack[-1].in_article
         node = _Node(name, " ".join([name, *words]), _furniture(name, words, hidden, inside), inside or name in ("article", "main"))
-        has_article |= name in ("article", "main") and not any(n.furniture for n in stack)
+        if name in ("article", "main") and not any(n.furniture for n in stack):
+            has_article = True
+            for holder in stack:
+                holder.holds_article = True
         stack[-1].parts.append(node)
         if not match["rest"].endswith("/") or name not in INLINE:
             stack.append(node)
@@ -153,60 +162,97 @@ def _hash(node: _Node, seen: dict[int, int]) -> int:
     return seen[id(node)]
 
 
-def blocks(page: str) -> list[tuple[str, list[int]]]:
-    """The page's text blocks outside known furniture, each with the hashes of the containers around it."""
+def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[list[int]]]:
+    """The page's own text blocks, each with the hashes of the subtrees around it, and those hashes of each block that goes by rule."""
     root, only_article = _tree(page)
     hashes: dict[int, int] = {}
     _hash(root, hashes)
     found: list[tuple[str, list[int]]] = []
+    ruled: list[list[int]] = []
     pieces: list[str] = []
 
-    def flush(around: tuple[int, ...]) -> None:
+    def flush(around: tuple[int, ...], by_rule: bool) -> None:
         if text := BLANKS.sub(" ", "".join(pieces)).strip():
-            found.append((text, list(around)))
+            if by_rule:
+                ruled.append(list(around))
+            else:
+                found.append((text, list(around)))
         pieces.clear()
 
-    # Each entry: a node, the place in its parts, the container hashes around it.
-    stack: list[list] = [[root, 0, ()]]
+    # Each entry: a node, the place in its parts, the subtree hashes around it, whether it lies in furniture.
+    stack: list[list] = [[root, 0, (), False]]
     while stack:
-        node, at, around = stack[-1]
+        node, at, around, furniture = stack[-1]
+        by_rule = furniture or (only_article and not node.in_article)
         if at == len(node.parts):
             stack.pop()
             if node.name not in INLINE:
-                flush(around)
+                flush(around, by_rule)
             continue
         stack[-1][1] += 1
         part = node.parts[at]
         if part is None:
-            flush(around)
+            flush(around, by_rule)
         elif isinstance(part, str):
-            if node.in_article or not only_article:
-                pieces.append(part)
-        elif part.furniture:
-            if part.name not in INLINE:
-                flush(around)
+            pieces.append(part)
+        elif part.name == "head" or (part.furniture and part.name in INLINE):
+            continue
         else:
             if part.name not in INLINE:
-                flush(around)
-            outside = not part.in_article and part.name not in ("body", "html")
-            container = part.name not in FLOW and part.name not in INLINE and part.name != "li"
-            inner = (*around, hashes[id(part)] - (1 << 63)) if container or (outside and part.name not in INLINE) else around
-            stack.append([part, 0, inner])
-    flush(())
-    return found
+                flush(around, by_rule)
+            inside = part.in_article and not (furniture or part.furniture)
+            counted = part.name not in INLINE and part.name not in ("body", "html") and not part.holds_article and not (inside and part.name in FLOW)
+            stack.append([part, 0, (*around, hashes[id(part)]) if counted else around, furniture or part.furniture])
+    flush((), only_article)
+    return found, ruled
 
 
-_PAGES = "page_id long, url string, host string, texts array<string>, around array<array<bigint>>"
+_PAGES = "page_id long, url string, host string, texts array<string>, around array<array<bigint>>, ruled array<array<bigint>>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))]
+    """The hashes are mixed with the host's, so that equal ones are of one host."""
+    nested = pa.list_(pa.list_(pa.int64()))
     for batch in batches:
         for part in slices(batch, "html"):
-            found = [blocks(p) for p in texts_of(part, "html").to_pylist()]
-            columns = [[[t for t, _ in f] for f in found], [[h for _, h in f] for f in found]]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host")), *arrays], names=["page_id", "url", "host", "texts", "around"])
+            texts, around, ruled = [], [], []
+            for host, page in zip(part.column("host").to_pylist(), texts_of(part, "html").to_pylist(), strict=True):
+                site = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
+                own, other = blocks(page)
+                texts.append([t for t, _ in own])
+                around.append([[(h ^ site) - (1 << 63) for h in hs] for _, hs in own])
+                ruled.append([[(h ^ site) - (1 << 63) for h in hs] for hs in other])
+            arrays = [pa.array(texts, pa.list_(pa.string())), pa.array(around, nested), pa.array(ruled, nested)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host")), *arrays], names=["page_id", "url", "host", "texts", "around", "ruled"])
+
+
+def _hit(lists: pa.Array, keys: np.ndarray) -> np.ndarray:
+    """Of each block of each page, in order: whether a subtree around it is template."""
+    blocks_of = lists.flatten()
+    values = np.asarray(blocks_of.flatten(), dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    hits = np.concatenate([[0], np.cumsum(keys[at] == values)]) if len(keys) else np.zeros(len(values) + 1, np.int64)
+    sizes = np.asarray(blocks_of.value_lengths(), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    return hits[ends] > hits[ends - sizes]
+
+
+_MARKED = "page_id long, url string, texts array<string>, own_hit array<boolean>, n_ruled int"
+
+
+def _marker(keys):
+    """Marks the own blocks that lie in template, and counts those that go by rule anyway."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = (_hit(batch.column(c), keys.value) for c in ("around", "ruled"))
+            texts, ruled = batch.column("texts"), np.asarray(batch.column("ruled").value_lengths(), dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.asarray(texts.value_lengths(), dtype=np.int64))])
+            total, at = np.concatenate([[0], np.cumsum(other)]), np.cumsum(ruled)
+            arrays = [texts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own)), pa.array(total[at] - total[at - ruled], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *arrays], names=["page_id", "url", "texts", "own_hit", "n_ruled"])
+
+    return marked
 
 
 def host_of(url: str = "url"):
@@ -220,14 +266,19 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     )
     read = stored(rows.mapInArrow(_read, _PAGES).withColumn("row", F.monotonically_increasing_id()), "blocks")
     sizes = read.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    inside = read.select("row", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("hash"))
+    inside = read.select("row", "host", F.explode(F.array_distinct(F.flatten(F.concat("around", "ruled")))).alias("hash"))
     often = inside.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    template = stored(often.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "hash"), "template")
-    gone = stored(inside.join(small(template), ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")), "gone")
-    kept = F.filter(F.arrays_zip("texts", "around"), lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("gone")), F.lit(False)))
+    template = stored(often.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("hash"), "template")
+    if template.count() <= SHARED_KEYS:
+        keys = read.sparkSession.sparkContext.broadcast(np.sort(template.toArrow()["hash"].to_numpy()))
+        marked = read.mapInArrow(_marker(keys), _MARKED)
+    else:
+        gone = inside.join(template, "hash").groupBy("row").agg(F.collect_set("hash").alias("gone"))
+        hit = lambda blocks: F.transform(blocks, lambda hs: F.coalesce(F.arrays_overlap(hs, F.col("gone")), F.lit(False)))
+        marked = read.join(gone, "row", "left").withColumns({"own_hit": hit("around"), "n_ruled": F.size(F.filter(hit("ruled"), lambda h: h))})
+    kept = F.transform(F.filter(F.arrays_zip("texts", "own_hit"), lambda b: ~b["own_hit"]), lambda b: b["texts"])
     return (
-        read.join(small(gone), "row", "left")
-        .withColumn("kept", F.transform(kept, lambda b: b["texts"]))
+        marked.withColumn("kept", kept)
         .withColumn("text", F.array_join("kept", "\n"))
-        .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.size("texts") - F.size("kept")).cast("long").alias("n_template"))
+        .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.size("texts") - F.size("kept") + F.col("n_ruled")).cast("long").alias("n_template"))
     )

@@ -61,6 +61,14 @@ def test_templates_go_and_furniture_goes(spark):
     assert html_templates.extracted(pages.limit(0)).count() == 0
 
 
+def test_counts_see_furniture_and_what_surrounds_articles(spark):
+    bodies = [f"<html><body><nav><a>menu</a></nav><div>join us</div><div><article><p>own {i}</p></article></div><footer>x</footer></body></html>" for i in range(6)]
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(bodies)], "page_id long, url string, html string")
+    rows = html_templates.extracted(pages).collect()
+    assert sorted((r.text, r.n_template) for r in rows) == [(f"own {i}", 3) for i in range(6)]
+    assert all(r.n_template > 0 for r in queries.op5_html_text(spark, "/root/testdata/sf0.01").where("url LIKE '%//tionsh.example.net/%'").collect())
+
+
 def test_url_rules_and_trees(spark):
     urls = [None, "no scheme", "x\nhttp://A.B.EXAMPLE.org/es/1", "http://example.org/en/12", "http://sub.ORG/x", "https://q.com/de/?a#b", "https://q.com/fr/1", "http://notexample.org/es/", "ftp://z.net", "http://org"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, label string")
