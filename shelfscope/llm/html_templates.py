@@ -2,8 +2,14 @@
 
 Pages are read into blocks of text, each with the hashes of the element
 subtrees it lies in: every element outside head and scripts, menus, adverts and
-footers and what surrounds an article included. Hashes are counted per host; a
-subtree that recurs on many pages of its host is template, and its blocks go.
+footers and what surrounds an article included. Hashes are counted per host,
+once for all pages with the same own text, as copies of a page make no template.
+A subtree that recurs on many different pages of its host is template, and its
+blocks go. The number asked for doesn't grow with the host, so the box of one
+section of a large host goes too. What holds an article is never template, and
+where all of an article would go, all of it stays. Near copies of a page whose
+words differ count as different pages.
+
 Paragraphs and headings that stand in the article's own flow, and the items and
 cells of its lists and tables, are no template however often they recur;
 containers (div, section, whole lists and tables and the like) can be.
@@ -16,7 +22,7 @@ is kept.
 
 Null, empty and blank pages have an empty text. Broken markup is read as far as
 it makes sense: unclosed elements end with their parents, an unclosed script or
-comment takes the rest. Repeated rows are counted once each and returned each.
+comment takes the rest. Repeated rows are counted once and returned each.
 Null hosts are a host of their own. Further columns are dropped.
 """
 
@@ -35,8 +41,8 @@ from pyspark.sql import functions as F
 from shelfscope.llm.tables import stored
 from shelfscope.llm.words import slices, texts_of
 
-#: A subtree is template if it is on so many pages of its host, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A subtree is template if it is on so many pages of its host that differ in their own text.
+LEAST_PAGES = 5
 #: Template subtrees that are handed to every task as an array; beyond it they are joined.
 SHARED_KEYS = 4_000_000
 TAG = re.compile(
@@ -162,11 +168,14 @@ def _hash(node: _Node, seen: dict[int, int]) -> int:
     return seen[id(node)]
 
 
-def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[list[int]]]:
-    """The page's own text blocks, each with the hashes of the subtrees around it, and those hashes of each block that goes by rule."""
+def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[list[int]], int, bool]:
+    """The page's own text blocks, each with the hashes of the subtrees around it; those hashes of each block that goes by rule.
+
+    Then a hash of all own text (of the page, if it has none), and whether it is an article's.
+    """
     root, only_article = _tree(page)
     hashes: dict[int, int] = {}
-    _hash(root, hashes)
+    whole = _hash(root, hashes)
     found: list[tuple[str, list[int]]] = []
     ruled: list[list[int]] = []
     pieces: list[str] = []
@@ -204,10 +213,11 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[list[int]]]:
             counted = part.name not in INLINE and part.name not in ("body", "html") and not part.holds_article and not (inside and part.name in FLOW)
             stack.append([part, 0, (*around, hashes[id(part)]) if counted else around, furniture or part.furniture])
     flush((), only_article)
-    return found, ruled
+    own = xxhash.xxh64_intdigest("\n".join(t for t, _ in found).encode("utf-8", "surrogatepass")) if found else whole
+    return found, ruled, own, only_article
 
 
-_PAGES = "page_id long, url string, host string, texts array<string>, around array<array<bigint>>, ruled array<array<bigint>>"
+_PAGES = "page_id long, url string, texts array<string>, around array<array<bigint>>, ruled array<array<bigint>>, own bigint, article boolean"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,15 +225,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nested = pa.list_(pa.list_(pa.int64()))
     for batch in batches:
         for part in slices(batch, "html"):
-            texts, around, ruled = [], [], []
+            texts, around, ruled, owns, articles = [], [], [], [], []
             for host, page in zip(part.column("host").to_pylist(), texts_of(part, "html").to_pylist(), strict=True):
                 site = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
-                own, other = blocks(page)
+                own, other, digest, article = blocks(page)
                 texts.append([t for t, _ in own])
                 around.append([[(h ^ site) - (1 << 63) for h in hs] for _, hs in own])
                 ruled.append([[(h ^ site) - (1 << 63) for h in hs] for hs in other])
-            arrays = [pa.array(texts, pa.list_(pa.string())), pa.array(around, nested), pa.array(ruled, nested)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host")), *arrays], names=["page_id", "url", "host", "texts", "around", "ruled"])
+                owns.append(digest - (1 << 63))
+                articles.append(article)
+            arrays = [pa.array(texts, pa.list_(pa.string())), pa.array(around, nested), pa.array(ruled, nested), pa.array(owns, pa.int64()), pa.array(articles, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *arrays], names=["page_id", "url", "texts", "around", "ruled", "own", "article"])
 
 
 def _hit(lists: pa.Array, keys: np.ndarray) -> np.ndarray:
@@ -237,7 +249,7 @@ def _hit(lists: pa.Array, keys: np.ndarray) -> np.ndarray:
     return hits[ends] > hits[ends - sizes]
 
 
-_MARKED = "page_id long, url string, texts array<string>, own_hit array<boolean>, n_ruled int"
+_MARKED = "page_id long, url string, texts array<string>, article boolean, own_hit array<boolean>, n_ruled int"
 
 
 def _marker(keys):
@@ -249,8 +261,8 @@ def _marker(keys):
             texts, ruled = batch.column("texts"), np.asarray(batch.column("ruled").value_lengths(), dtype=np.int64)
             ends = np.concatenate([[0], np.cumsum(np.asarray(texts.value_lengths(), dtype=np.int64))])
             total, at = np.concatenate([[0], np.cumsum(other)]), np.cumsum(ruled)
-            arrays = [texts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own)), pa.array(total[at] - total[at - ruled], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *arrays], names=["page_id", "url", "texts", "own_hit", "n_ruled"])
+            arrays = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own)), pa.array(total[at] - total[at - ruled], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "texts", "article")), *arrays], names=["page_id", "url", "texts", "article", "own_hit", "n_ruled"])
 
     return marked
 
@@ -259,16 +271,15 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"://([^/?#]*)", 1))
 
 
-def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """A row per page: page_id, url, text, n_chars, n_template (blocks that went as template)."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of().alias("host"), F.col("html").cast("string").alias("html")
     )
     read = stored(rows.mapInArrow(_read, _PAGES).withColumn("row", F.monotonically_increasing_id()), "blocks")
-    sizes = read.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    inside = read.select("row", "host", F.explode(F.array_distinct(F.flatten(F.concat("around", "ruled")))).alias("hash"))
-    often = inside.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    template = stored(often.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("hash"), "template")
+    inside = read.select("row", "own", F.explode(F.array_distinct(F.flatten(F.concat("around", "ruled")))).alias("hash"))
+    often = inside.select("hash", "own").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    template = stored(often.where(F.col("n") >= least_pages).select("hash"), "template")
     if template.count() <= SHARED_KEYS:
         keys = read.sparkSession.sparkContext.broadcast(np.sort(template.toArrow()["hash"].to_numpy()))
         marked = read.mapInArrow(_marker(keys), _MARKED)
@@ -276,7 +287,8 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
         gone = inside.join(template, "hash").groupBy("row").agg(F.collect_set("hash").alias("gone"))
         hit = lambda blocks: F.transform(blocks, lambda hs: F.coalesce(F.arrays_overlap(hs, F.col("gone")), F.lit(False)))
         marked = read.join(gone, "row", "left").withColumns({"own_hit": hit("around"), "n_ruled": F.size(F.filter(hit("ruled"), lambda h: h))})
-    kept = F.transform(F.filter(F.arrays_zip("texts", "own_hit"), lambda b: ~b["own_hit"]), lambda b: b["texts"])
+    left = F.transform(F.filter(F.arrays_zip("texts", "own_hit"), lambda b: ~b["own_hit"]), lambda b: b["texts"])
+    kept = F.when(F.col("article") & (F.size(left) == 0), F.col("texts")).otherwise(left)
     return (
         marked.withColumn("kept", kept)
         .withColumn("text", F.array_join("kept", "\n"))

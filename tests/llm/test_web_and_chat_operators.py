@@ -69,6 +69,18 @@ def test_counts_see_furniture_and_what_surrounds_articles(spark):
     assert all(r.n_template > 0 for r in queries.op5_html_text(spark, "/root/testdata/sf0.01").where("url LIKE '%//tionsh.example.net/%'").collect())
 
 
+def test_copies_make_no_template_and_a_large_host_has_sections(spark, monkeypatch):
+    copy = "<div id='page'><article><h1>Title</h1><section><p>All of it.</p></section></article></div>"
+    rows = [(i, f"http://a.example/{i}", copy) for i in range(9)] + [(i, f"http://a.example/{i}", f"<article><p>n {i}</p></article>") for i in range(9, 12)]
+    rows += [(i, f"http://b.example/{i}", f"<article>{'<div>Read sports</div>' * (i < 26)}<p>n {i}</p></article>") for i in range(20, 80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for keys in (html_templates.SHARED_KEYS, -1):
+        monkeypatch.setattr(html_templates, "SHARED_KEYS", keys)
+        found = {r.page_id: (r.text, r.n_template) for r in html_templates.extracted(pages).collect()}
+        assert [found[i] for i in range(9)] == [("Title\nAll of it.", 0)] * 9
+        assert all(found[i] == (f"n {i}", int(i in range(20, 26))) for i in (*range(9, 12), *range(20, 80)))
+
+
 def test_url_rules_and_trees(spark):
     urls = [None, "no scheme", "x\nhttp://A.B.EXAMPLE.org/es/1", "http://example.org/en/12", "http://sub.ORG/x", "https://q.com/de/?a#b", "https://q.com/fr/1", "http://notexample.org/es/", "ftp://z.net", "http://org"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, label string")
