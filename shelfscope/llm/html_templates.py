@@ -18,7 +18,8 @@ Rules by tag, class and article element help only with what differs from page
 to page and so can't be counted: what names itself page furniture (menus,
 headers and footers outside the article, sidebars, forms, notices, adverts,
 comments) goes, and where a page has an article or main element, its text alone
-is kept.
+is kept. Inside an article only whole names of unmistakable furniture count
+(MARKED_INSIDE); formulas are read as text, without their annotations.
 
 Null, empty and blank pages have an empty text. Broken markup is read as far as
 it makes sense: unclosed elements end with their parents, an unclosed script or
@@ -50,15 +51,18 @@ TAG = re.compile(
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HEADING = re.compile("h[1-6]")
 TOKEN = re.compile(r"[a-z0-9]+")
 BLANKS = re.compile(r"\s+")
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math object audio video canvas textarea title".split())
+RAW = frozenset("script style template noscript iframe svg annotation annotation-xml object audio video canvas textarea title".split())
 FURNITURE = frozenset("nav aside form footer dialog menu button select head".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts "
+    "mtable mtr mtd mlabeledtr mstyle mpadded mphantom menclose mfenced merror maction none".split()
 )
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html br hr li dt dd tr td th thead tbody tfoot caption figcaption".split())
 #: Elements that end an open paragraph.
@@ -66,7 +70,9 @@ ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
 ENDS_SELF = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-#: Words of class, id and role that mark page furniture.
+#: Whole names of class, id and role that mark furniture inside an article, where single words of names say nothing.
+MARKED_INSIDE = frozenset("ad ads advert adverts advertisement comments commentlist comment-list disqus_thread share share-buttons newsletter".split())
+#: Words of class, id and role that mark page furniture outside articles.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal "
     "newsletter subscribe subscription signup login share sharing social related recommended sidebar side widget nav navbar navigation menu menubar "
@@ -83,11 +89,13 @@ class _Node:
         self.parts: list[object] = []
 
 
-def _furniture(name: str, words: list[str], hidden: bool, in_article: bool) -> bool:
+def _furniture(name: str, names: str, words: list[str], hidden: bool, in_article: bool) -> bool:
     if name in FURNITURE or hidden:
         return True
     if name == "header" and not in_article:
         return True
+    if in_article:
+        return not HEADING.fullmatch(name) and any(n in MARKED_INSIDE for n in names.split())
     return name not in ("article", "main", "body", "html") and any(w in MARKED for w in words)
 
 
@@ -126,7 +134,7 @@ def _tree(page: str) -> tuple[_Node, bool]:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             if not match["rest"].rstrip().endswith("/") or name in ("script", "style"):
                 at = stop.end() if stop else len(page)
-            stack[-1].parts.append(" " if name in ("svg", "math") else None)
+            stack[-1].parts.append(" " if name == "svg" else "" if name.startswith("annotation") else None)
             continue
         if name in ENDS_P:
             close_open({"p"}, ("div", "section", "article", "main", "td", "th", "li", "blockquote", "body", "figure"))
@@ -136,10 +144,11 @@ def _tree(page: str) -> tuple[_Node, bool]:
             stack[-1].parts.append(None if name in ("br", "hr") else "")
             continue
         found = {a.lower(): (x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(match["rest"])}
-        words = TOKEN.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower())
+        names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
+        words = TOKEN.findall(names)
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         inside = stack[-1].in_article
-        node = _Node(name, " ".join([name, *words]), _furniture(name, words, hidden, inside), inside or name in ("article", "main"))
+        node = _Node(name, " ".join([name, *words]), _furniture(name, names, words, hidden, inside), inside or name in ("article", "main"))
         if name in ("article", "main") and not any(n.furniture for n in stack):
             has_article = True
             for holder in stack:

@@ -81,6 +81,16 @@ def test_copies_make_no_template_and_a_large_host_has_sections(spark, monkeypatc
         assert all(found[i] == (f"n {i}", int(i in range(20, 26))) for i in (*range(9, 12), *range(20, 80)))
 
 
+def test_articles_keep_text_under_common_names(spark):
+    body = (
+        "<article><div class='post-header'><h1>Head</h1></div><section id='related-work'>a</section><p class='notice-of-motion'>b</p>"
+        "<div class='search-results social-science'>c</div><p title='hidden' data-class='ad'>so <math><mi>E</mi><mo>=</mo><mi>m</mi>"
+        "<annotation>E=m</annotation></math> holds</p><div class='share'>s</div><div class='box newsletter'>n</div><div class='ad'>x</div></article>"
+    )
+    pages = spark.createDataFrame([(1, "http://h.example/1", page(body))], "page_id long, url string, html string")
+    assert html_templates.extracted(pages).head().text == "Head\na\nb\nc\nso E=m holds"
+
+
 def test_url_rules_and_trees(spark):
     urls = [None, "no scheme", "x\nhttp://A.B.EXAMPLE.org/es/1", "http://example.org/en/12", "http://sub.ORG/x", "https://q.com/de/?a#b", "https://q.com/fr/1", "http://notexample.org/es/", "ftp://z.net", "http://org"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, label string")
