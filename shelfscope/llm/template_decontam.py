@@ -2,19 +2,24 @@
 
 Texts and benchmark items are cut into words of letters or digits. A unit after
 a number, a number and a capitalised word become typed placeholders, one for
-one, all else lower case. Windows of eight such words are hash-joined with the
-windows of the items. Where the windows of one item lie at one distance from
-those of a text (an occurrence), the words behind the placeholders are held
-against each other: each value of the item must stand for one value in the
-text throughout. So a question asked with other numbers and names is caught,
-and a text that merely has the same shape is not. A text is contaminated by an
-item if its consistent occurrences cover at least half of the item's windows.
-
-Only DataFrame functions are used. Windows with fewer than four plain words are
-left out on the side of the items, as they say too little; items without any
-window match nothing. Null and empty texts are clean. Repeated rows get the
-same verdict; a row with a null doc_id is judged by its text. Further columns
-are kept by ``cleaned`` and dropped by ``judged``.
+one, all else lower case. Windows of eight such words, and of eight plain words
+in lower case, are hash-joined with those of the items. Each distance at which
+windows of an item and of a text meet (an occurrence) is then compared word by
+word, whatever the text's case: a plain word of the item must be the same in
+lower case, a number stand for a number, a unit for a unit, a name for any
+word. A value of the item stands for the word most often behind it; a slot that
+holds another word costs the windows around it. Windows equal word for word
+count whatever their slots. So a question asked with other numbers and names is
+caught, and a text that merely has the same shape is not. A text is
+contaminated by an item if its occurrences cover at least half of the item's
+windows.
+
+Only DataFrame functions are used. Windows with fewer than four plain words say
+too little and count only where all words are equal. A text in another case
+that also has other names is seen where one window holds no name. Null and
+empty texts are clean. Repeated rows get the same verdict; a row with a null
+doc_id is judged by its text. Further columns are kept by ``cleaned`` and
+dropped by ``judged``.
 """
 
 from __future__ import annotations
@@ -53,14 +58,20 @@ def _split(words: Column) -> Column:
     return F.split(words, " ", -1)
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of all windows of the template, in order. The words are bound once, not split anew for each window."""
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, not anew wherever a lambda names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _windows(words: Column, width: int = WINDOW) -> Column:
+    """Place and hash of all windows."""
 
     def hashed(own: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(own) - F.lit(WINDOW - 1))
-        return F.when(F.size(own) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(own, i, WINDOW))))
+        starts = F.sequence(F.lit(0), F.size(own) - F.lit(width))
+        return F.when(F.size(own) >= width, F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(own, i + 1, width)).alias("hash"))))
 
-    return F.element_at(F.transform(F.array(words), hashed), 1)
+    none = F.array().cast("array<struct<at:int,hash:bigint>>")
+    return F.coalesce(_bound(words, hashed), none)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -70,55 +81,77 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The items' windows (hash, item_id, place) and the items (item_id, n_windows, slots)."""
-    words = items.select(F.col("item_id").cast("long").alias("item_id"), plain("text").alias("raw")).distinct()
-    both = words.select("item_id", _split(F.col("raw")).alias("raw"), _split(template(F.col("raw"))).alias("words"))
-    literal = lambda w: F.size(F.filter(w, lambda x: ~x.startswith("#")))
-    windows = (
-        both.where(F.size("words") >= WINDOW)
-        .select("item_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.lit(WINDOW))).alias("place"))
-        .select("item_id", "place", F.slice("words", F.col("place") + 1, WINDOW).alias("window"))
-        .where(literal(F.col("window")) >= LITERALS)
-        .select(F.xxhash64("window").alias("hash"), "item_id", "place")
+    """The items' windows (hash, item, place) and the items (item, item_id, kinds, low, telling: the places of windows with enough plain words)."""
+    raw = items.select(F.col("item_id").cast("long").alias("item_id"), plain("text").alias("raw")).where("raw <> ''").distinct()
+    cut = raw.select("item_id", F.col("item_id").alias("item"), _split(template(F.col("raw"))).alias("kinds"), _split(F.lower("raw")).alias("low")).dropDuplicates(["item"])
+    slots = lambda w: F.filter(w, lambda x: ~x.startswith("#"))
+    starts = F.sequence(F.lit(0), F.size("kinds") - F.lit(WINDOW))
+    telling = F.when(F.size("kinds") >= WINDOW, F.filter(starts, lambda p: F.size(slots(F.slice("kinds", p + 1, WINDOW))) >= LITERALS))
+    whole = stored(cut.withColumn("telling", F.coalesce(telling, F.array().cast("array<int>"))), "items")
+    held = F.filter(_windows(F.col("kinds")), lambda w: F.array_contains("telling", w["at"]))
+    windows = whole.select("item", F.inline(F.concat(held, _windows(F.col("low"))))).select("hash", "item", F.col("at").alias("place"))
+    return stored(windows.distinct(), "item-windows"), whole
+
+
+def _compared(aligned: DataFrame) -> DataFrame:
+    """``soft``, ``exact``: places of windows that agree up to their slots, and word for word; ``same``: 1 for each equal word, else 0."""
+    at = F.transform(
+        "low",
+        lambda low, i: F.struct(
+            F.element_at("kinds", i + 1).alias("kind"), low.alias("value"), F.get("own", i).alias("word"), F.get("own_kinds", i).alias("own_kind")
+        ),
+    )
+    fits = lambda s: F.when(s["kind"] == NAME, s["own_kind"] != NUMBER).otherwise(s["kind"] == s["own_kind"])
+    equal = lambda s: F.coalesce(s["value"] == s["word"], F.lit(False))
+    slot = lambda s: s["kind"].startswith("#") & F.coalesce(equal(s) | fits(s), F.lit(False))
+    pair = lambda s: F.struct(s["kind"], s["value"], s["word"])
+    ranked = _bound(
+        F.transform(F.filter("at", slot), pair),
+        lambda pairs: F.transform(
+            F.array_distinct(pairs),
+            lambda p, i: F.struct(p["kind"].alias("kind"), p["value"].alias("value"), p["word"].alias("word"), F.size(F.filter(pairs, lambda q: q == p)).alias("n"), i.alias("i")),
+        ),
     )
-    windows = stored(windows.distinct(), "item-windows")
-    sizes = windows.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
-    slot = F.filter(
-        F.transform(F.col("words"), lambda w, i: F.struct(i.alias("place"), w.alias("kind"), F.element_at("raw", i + 1).alias("value"))),
-        lambda s: s["kind"].startswith("#"),
+    beaten = lambda r, q: (q["kind"] == r["kind"]) & (q["value"] == r["value"]) & ((q["n"] > r["n"]) | ((q["n"] == r["n"]) & (q["i"] < r["i"])))
+    chosen = F.transform(F.filter("ranked", lambda r: ~F.exists("ranked", lambda q: beaten(r, q))), pair)
+    agrees = lambda s: F.when(s["kind"].startswith("#"), slot(s) & F.array_contains("chosen", pair(s))).otherwise(equal(s))
+    line = lambda test: F.array_join(F.transform("at", lambda s: F.when(test(s), "1").otherwise("0")), "")
+    marked = aligned.withColumn("at", at).withColumn("ranked", ranked).withColumn("chosen", chosen).select(
+        "doc_id", "digest", "item", "item_id", "telling", line(equal).alias("same"), line(agrees).alias("agree")
     )
-    slots = both.select("item_id", slot.alias("slots")).dropDuplicates(["item_id"])
-    return windows, stored(slots.join(sizes, "item_id"), "items")
+    width = F.least(F.length("same"), F.lit(WINDOW))
+    whole = lambda flags, p: F.substr(flags, p + 1, width) == F.repeat(F.lit("1"), width)
+    return marked.select(
+        "doc_id", "digest", "item", "item_id", "same", F.size("telling").alias("n_soft"), (F.length("same") - width + 1).alias("n_exact"),
+        F.filter("telling", lambda p: whole(F.col("agree"), p) | whole(F.col("same"), p)).alias("soft"),
+        F.filter(F.sequence(F.lit(0), F.length("same") - width), lambda p: whole(F.col("same"), p)).alias("exact"),
+    )
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, digest (of the text), item_id and the share of the item's windows found, where that is enough."""
-    windows, sizes = _item_windows(items)
+    windows, whole = _item_windows(items)
     keyed = _keys(docs)
-    placed = keyed.select("doc_id", "digest", F.posexplode(_windows(_split(template(plain("text"))))).alias("at", "hash"))
-    met = placed.join(small(windows), "hash")
-    found = (
-        met.groupBy("doc_id", "digest", "item_id", (F.col("at") - F.col("place")).alias("shift"))
-        .agg(F.collect_set("place").alias("places"))
-        .join(small(sizes), "item_id")
-    )
-    found = stored(found, "occurrences")
-    whole = found.groupBy("doc_id", "digest", "item_id").agg(F.sum(F.size("places")).alias("n"), F.first("n_windows").alias("of"))
-    enough = whole.where(F.col("n") >= COVERAGE * F.col("of")).select("doc_id", "digest", "item_id")
+    raw = keyed.select("doc_id", "digest", plain("text").alias("raw"))
+    found = F.concat(_windows(_split(template(F.col("raw")))), _windows(_split(F.lower("raw"))))
+    met = raw.select("doc_id", "digest", F.inline(found)).join(small(windows), "hash")
+    shifts = stored(met.select("doc_id", "digest", "item", (F.col("at") - F.col("place")).alias("shift")).distinct(), "occurrences")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
-    likely = found.join(enough, same(found, enough) & (found["item_id"] == enough["item_id"]), "left_semi")
-    texts = stored(enough.select("doc_id", "digest").distinct(), "likely")
+    texts = stored(shifts.select("doc_id", "digest").distinct(), "likely")
     wanted = keyed.join(small(texts), same(keyed, texts), "left_semi").dropDuplicates(["doc_id", "digest"])
-    raw = wanted.select("doc_id", "digest", _split(plain("text")).alias("raw"))
-    both = likely.join(raw, same(likely, raw)).select(likely["*"], raw["raw"])
-    held = F.filter("slots", lambda s: F.exists("places", lambda p: s["place"].between(p, p + (WINDOW - 1))))
-    pairs = F.transform(held, lambda s: F.struct(s["kind"], s["value"], F.element_at("raw", (s["place"] + F.col("shift") + 1).cast("int"))))
-    checked = both.withColumn("pairs", F.array_distinct(pairs)).where(
-        F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["kind"], s["value"]))))
+    cut = wanted.select("doc_id", "digest", plain("text").alias("raw")).select(
+        "doc_id", "digest", _split(F.lower("raw")).alias("all_low"), _split(template(F.col("raw"))).alias("all_kinds")
+    )
+    likely = shifts.join(small(whole), "item")
+    beside = lambda words: F.transform("low", lambda _, i: F.get(words, i + F.col("shift")))
+    aligned = likely.join(cut, same(likely, cut)).select(likely["*"], beside("all_low").alias("own"), beside("all_kinds").alias("own_kinds"))
+    compared = _compared(stored(aligned, "aligned"))
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
+    shares = compared.groupBy("doc_id", "digest", "item").agg(
+        F.first("item_id").alias("item_id"),
+        F.greatest(F.try_divide(union("soft"), F.first("n_soft")), union("exact") / F.first("n_exact")).alias("coverage"),
     )
-    covered = checked.select("doc_id", "digest", "item_id", "n_windows", F.explode("places").alias("place"))
-    share = F.countDistinct("place") / F.first("n_windows")
-    return covered.groupBy("doc_id", "digest", "item_id").agg(share.alias("coverage")).where(F.col("coverage") >= COVERAGE)
+    return shares.where(F.col("coverage") >= COVERAGE).select("doc_id", "digest", "item_id", "coverage")
 
 
 def judged(docs: DataFrame, items: DataFrame) -> DataFrame:

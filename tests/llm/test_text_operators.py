@@ -133,6 +133,14 @@ def test_decontamination_sees_templates_and_slots(spark):
     assert template_decontam.judged(documents(spark, texts), items.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_sees_copies_in_another_case_and_with_a_changed_slot(spark):
+    long = "The first lamp stands near an old wall and gives light to 12 people. What if The second lamp falls over and 12 people have to leave the room at once?"
+    items = spark.createDataFrame([(1, ITEM), (2, long)], "item_id long, text string")
+    texts = [ITEM.lower(), ITEM.upper(), long.replace("The second", "This second"), long.replace("12 people have", "13 people have"), ASKED.lower(), long[: len(long) // 3]]
+    rows = {r.doc_id: r.item_ids for r in template_decontam.judged(documents(spark, texts), items).collect()}
+    assert [rows[i] for i in range(6)] == [[1], [1], [2], [2], [1], []]
+
+
 def test_decontamination_query_finds_every_planted_item(spark):
     docs = {r.doc_id: " ".join(re.findall(r"[^\W_]+", r.text)).lower() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     items = {r.item_id: " ".join(re.findall(r"[^\W_]+", r.text)).lower() for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
