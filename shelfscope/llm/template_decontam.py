@@ -12,13 +12,16 @@ holds another word costs the windows around it. Windows equal word for word
 count whatever their slots. So a question asked with other numbers and names is
 caught, and a text that merely has the same shape is not. A text is
 contaminated by an item if its occurrences cover at least half of the item's
-windows.
+windows, or if it has fifty words in a row from the item, word for word. Items
+of fewer than eight words are one window, to be found word for word.
 
 Only DataFrame functions are used. Windows with fewer than four plain words say
 too little and count only where all words are equal. A text in another case
 that also has other names is seen where one window holds no name. Null and
 empty texts are clean. Repeated rows get the same verdict; a row with a null
-doc_id is judged by its text. Further columns are kept by ``cleaned`` and
+doc_id is judged by its text. An item_id with several texts is contaminating by
+each of them; items without an item_id count as one in n_items and are not in
+item_ids. Further columns are kept by ``cleaned`` and
 dropped by ``judged``.
 """
 
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from shelfscope.llm.tables import small, stored
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+#: So many words in a row, word for word, are contamination whatever their share of the item.
+RUN = 50
 NUMBER, UNIT, NAME = "#number", "#unit", "#name"
 # Words that count as units when they follow a number.
 UNITS = (
@@ -81,15 +86,16 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The items' windows (hash, item, place) and the items (item, item_id, kinds, low, telling: the places of windows with enough plain words)."""
+    """The items' windows (hash, item, place) and the items (item: a hash of item_id and text, item_id, kinds, low, telling: the places of windows with enough plain words)."""
     raw = items.select(F.col("item_id").cast("long").alias("item_id"), plain("text").alias("raw")).where("raw <> ''").distinct()
-    cut = raw.select("item_id", F.col("item_id").alias("item"), _split(template(F.col("raw"))).alias("kinds"), _split(F.lower("raw")).alias("low")).dropDuplicates(["item"])
+    cut = raw.select("item_id", F.xxhash64("item_id", "raw").alias("item"), _split(template(F.col("raw"))).alias("kinds"), _split(F.lower("raw")).alias("low"))
     slots = lambda w: F.filter(w, lambda x: ~x.startswith("#"))
     starts = F.sequence(F.lit(0), F.size("kinds") - F.lit(WINDOW))
     telling = F.when(F.size("kinds") >= WINDOW, F.filter(starts, lambda p: F.size(slots(F.slice("kinds", p + 1, WINDOW))) >= LITERALS))
     whole = stored(cut.withColumn("telling", F.coalesce(telling, F.array().cast("array<int>"))), "items")
     held = F.filter(_windows(F.col("kinds")), lambda w: F.array_contains("telling", w["at"]))
-    windows = whole.select("item", F.inline(F.concat(held, _windows(F.col("low"))))).select("hash", "item", F.col("at").alias("place"))
+    short = F.when(F.size("low") < WINDOW, F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("low").alias("hash"))))
+    windows = whole.select("item", F.inline(F.concat(held, F.coalesce(short, _windows(F.col("low")))))).select("hash", "item", F.col("at").alias("place"))
     return stored(windows.distinct(), "item-windows"), whole
 
 
@@ -123,6 +129,7 @@ def _compared(aligned: DataFrame) -> DataFrame:
     whole = lambda flags, p: F.substr(flags, p + 1, width) == F.repeat(F.lit("1"), width)
     return marked.select(
         "doc_id", "digest", "item", "item_id", "same", F.size("telling").alias("n_soft"), (F.length("same") - width + 1).alias("n_exact"),
+        F.contains("same", F.lit("1" * RUN)).alias("run"),
         F.filter("telling", lambda p: whole(F.col("agree"), p) | whole(F.col("same"), p)).alias("soft"),
         F.filter(F.sequence(F.lit(0), F.length("same") - width), lambda p: whole(F.col("same"), p)).alias("exact"),
     )
@@ -133,7 +140,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows, whole = _item_windows(items)
     keyed = _keys(docs)
     raw = keyed.select("doc_id", "digest", plain("text").alias("raw"))
-    found = F.concat(_windows(_split(template(F.col("raw")))), _windows(_split(F.lower("raw"))))
+    widths = [r[0] for r in whole.select(F.size("low")).where(F.size("low") < WINDOW).distinct().collect()]
+    found = F.concat(_windows(_split(template(F.col("raw")))), *(_windows(_split(F.lower("raw")), n) for n in (WINDOW, *sorted(widths))))
     met = raw.select("doc_id", "digest", F.inline(found)).join(small(windows), "hash")
     shifts = stored(met.select("doc_id", "digest", "item", (F.col("at") - F.col("place")).alias("shift")).distinct(), "occurrences")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
@@ -150,8 +158,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     shares = compared.groupBy("doc_id", "digest", "item").agg(
         F.first("item_id").alias("item_id"),
         F.greatest(F.try_divide(union("soft"), F.first("n_soft")), union("exact") / F.first("n_exact")).alias("coverage"),
+        F.max("run").alias("run"),
     )
-    return shares.where(F.col("coverage") >= COVERAGE).select("doc_id", "digest", "item_id", "coverage")
+    return shares.where((F.col("coverage") >= COVERAGE) | F.col("run")).select("doc_id", "digest", "item_id", "coverage")
 
 
 def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -159,7 +168,7 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
     by_text = stored(
         leaks(docs, items)
         .groupBy("doc_id", "digest")
-        .agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage")),
+        .agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"), F.max("coverage").alias("coverage")),
         "leaks",
     )
     keyed = _keys(docs).drop("text")
@@ -167,7 +176,7 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
     return keyed.join(by_text, same, "left").select(
         keyed["doc_id"],
         F.col("item_ids").isNotNull().alias("contaminated"),
-        F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.size("item_ids") + F.col("unnamed"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
     )

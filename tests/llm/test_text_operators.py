@@ -141,6 +141,23 @@ def test_decontamination_sees_copies_in_another_case_and_with_a_changed_slot(spa
     assert [rows[i] for i in range(6)] == [[1], [1], [2], [2], [1], []]
 
 
+def test_decontamination_finds_short_unnamed_and_long_items(spark):
+    rng = random.Random(5)
+    book = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + k % 26)}" for k in range(500)]
+    quoted = "a stranger asked the same question to a man on the street one morning"
+    items = [(1, "What is the capital of France?"), (2, "1 2 3 4 5 6 7 8 9 Rome Paris"), (None, quoted), (3, " ".join(book)), (4, "one text of the item that nobody has quoted at all"), (4, "another text for item 4 with 12 green apples in a box for Maria")]
+    texts = [
+        "so: what is the capital of france, then?", "numbers 1 2 3 4 5 6 7 8 9 rome paris end", f"they say {quoted} .", " ".join(book[100:300]),
+        "and Another text for item 4 with 12 green apples in a box for Maria .", "what is the capital of", " ".join(book[100:140]),
+    ]
+    docs, table = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    rows = {r.doc_id: (r.contaminated, r.n_items, r.item_ids) for r in template_decontam.judged(docs, table).collect()}
+    assert [rows[i] for i in range(7)] == [(True, 1, [1]), (True, 1, [2]), (True, 1, []), (True, 1, [3]), (True, 1, [4]), (False, 0, []), (False, 0, [])]
+    clean = template_decontam.cleaned(docs, table)
+    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["5", "6", "6", "None"]
+    assert template_decontam.judged(docs.limit(0), table).count() == 0 and template_decontam.judged(docs, table.limit(0)).where("contaminated").count() == 0
+
+
 def test_decontamination_query_finds_every_planted_item(spark):
     docs = {r.doc_id: " ".join(re.findall(r"[^\W_]+", r.text)).lower() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     items = {r.item_id: " ".join(re.findall(r"[^\W_]+", r.text)).lower() for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
