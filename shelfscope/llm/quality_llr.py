@@ -28,11 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfscope.llm.tables import lines_up, run_offsets, small, stored
 from shelfscope.llm.words import coded, slices, split, texts_of
 
 BUCKETS = 1 << 16
-#: Trusted documents that are taken at most, the first by hash of their id.
-TRUSTED = 20_000
 #: Share of the trusted documents that may fall below the threshold, and what is taken off it as slack.
 TAIL, SLACK = 0.001, 0.02
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
@@ -121,11 +120,11 @@ class Model:
     threshold: float
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """At most ``most`` ids of documents labelled good and not toxic, the first by hash, and the half each is in."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled good and not toxic, and the half each is in."""
     agreed = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = agreed.where("doc_id IS NOT NULL AND quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
+    return good.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +146,20 @@ def _ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return shares[0] - shares[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> Model:
-    """Counts over all documents, then the threshold from the scores of the trusted ones.
+def _ranked(scores: DataFrame, rank: int) -> float:
+    """The score with so many below it, by a sort over many tasks."""
+    lined = stored(lines_up(scores, F.col("score")), "scores-in-order")
+    at = lined.join(run_offsets(lined, F.count(F.lit(1))), "run").where(F.col("before") + F.col("at") == rank)
+    return float(at.select("score").head()[0])
 
-    What reaches the driver is bounded: one row per bucket, and the scores of
-    at most ``most`` trusted documents.
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Counts over all documents, then the threshold from the scores of all trusted ones.
+
+    What reaches the driver is bounded: one row per bucket, and one score.
     """
     spark = docs.sparkSession
-    good = F.broadcast(trusted_ids(labels, most))
+    good = small(stored(trusted_ids(labels), "trusted"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marked = texts.join(good, "doc_id", "left").select("text", F.coalesce("half", F.lit(2)).alias("half"))
     names = ("raw", "target_0", "target_1")
@@ -181,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(both[halves, np.arange(len(halves))][long])], names=["score"])
 
     own = texts.join(good, "doc_id").dropDuplicates(["doc_id"]).select("text", "half")
-    scores = np.sort(own.mapInArrow(scored, "score double").toArrow()["score"].to_numpy())
-    threshold = float(scores[int(TAIL * len(scores))]) - SLACK if len(scores) else 0.0
+    scores = stored(own.mapInArrow(scored, "score double"), "scores")
+    n = scores.count()
+    threshold = _ranked(scores, int(TAIL * n)) - SLACK if n else 0.0
     return Model(_ratios(targets[0] + targets[1], raw), threshold)
 
 

@@ -39,6 +39,13 @@ def test_quality_odd_rows(spark, odd):
     assert quality_llr.judged(empty, quality_llr.fit(empty, labels)).count() == 0
 
 
+def test_quality_trusts_all_trusted_documents(spark):
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality_llr.trusted_ids(labels).count() == 30_000
+    scores = spark.range(5_000).selectExpr("CAST((id * 7919) % 5000 AS double) AS score")
+    assert [quality_llr._ranked(scores, k) for k in (0, 5, 4_999)] == [0.0, 5.0, 4_999.0]
+
+
 def jaccard(texts):
     def grams(text):
         words = text.lower().split()
