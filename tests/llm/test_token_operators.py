@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
-from conftest import DOCS, ODD_TEXTS, SMALL
+from llm_samples import DOCS, ODD_TEXTS, SMALL, odd  # noqa: F401
 from shelfscope.llm import dac_codes, pow2_packing, queries, token_counts
 from shelfscope.llm.tokens import ChunkEncoder, tokenizer
 

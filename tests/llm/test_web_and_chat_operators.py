@@ -4,7 +4,7 @@ import html
 import re
 
 import duckdb
-from conftest import DOCS, SMALL
+from llm_samples import DOCS, SMALL, odd  # noqa: F401
 from pyspark.sql import functions as F
 from shelfscope.llm import hash_ring, html_templates, perspectives, queries, url_gbdt
 
