@@ -14,6 +14,7 @@ from shelfscope.llm import (
     perspectives,
     pow2_packing,
     quality_llr,
+    rns_negatives,
     template_decontam,
     token_counts,
     url_gbdt,
@@ -66,6 +67,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op11_rns_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rns_negatives.mined(read(spark, sf_dir, "embeddings"), noisy)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +85,7 @@ QUERIES = {
         op8_ngram_jaccard,
         op9_pow2_packing,
         op10_token_counts,
+        op11_rns_negatives,
     )
 }
 
@@ -108,4 +115,27 @@ SELECT conv_id, perspective, turn_index, turn, kind, name, rendered, char_end -
 FROM placed
 """
 
-ORACLES = {"op7_perspectives": _PERSPECTIVES}
+# All pairs of anchors and rows; a vector with a null, infinite or NaN component has no finite sum of squares.
+_NEGATIVES = """
+WITH codes AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS row_id, a.label = r.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM codes a JOIN codes r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, row_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, row_id) AS n
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE n <= 10
+"""
+
+ORACLES = {"op7_perspectives": _PERSPECTIVES, "op11_rns_negatives": _NEGATIVES}
