@@ -10,6 +10,7 @@ from shelfscope.llm import (
     dac_codes,
     hash_ring,
     html_templates,
+    lockstep_alignment,
     ngram_jaccard,
     perspectives,
     pow2_packing,
@@ -21,7 +22,7 @@ from shelfscope.llm import (
 )
 from shelfscope.llm.tables import read
 
-WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_VOCABULARY, BYTE_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,11 @@ def op11_rns_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rns_negatives.mined(read(spark, sf_dir, "embeddings"), noisy)
 
 
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = map(public_tokenizers.path, (BYTE_VOCABULARY, PIECE_VOCABULARY))
+    return lockstep_alignment.linked(read(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +92,7 @@ QUERIES = {
         op9_pow2_packing,
         op10_token_counts,
         op11_rns_negatives,
+        op12_lockstep_alignment,
     )
 }
 
