@@ -17,6 +17,7 @@ from shelfscope.llm import (
     quality_llr,
     rns_negatives,
     template_decontam,
+    tfidf_votes,
     token_counts,
     url_gbdt,
 )
@@ -78,6 +79,12 @@ def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lockstep_alignment.linked(read(spark, sf_dir, "documents"), a, b)
 
 
+def op13_tfidf_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = tfidf_votes.fit(docs, read(spark, sf_dir, "labels"))
+    return tfidf_votes.scored(docs, model).withColumn("held_out", tfidf_votes.held_out())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +100,7 @@ QUERIES = {
         op10_token_counts,
         op11_rns_negatives,
         op12_lockstep_alignment,
+        op13_tfidf_votes,
     )
 }
 
