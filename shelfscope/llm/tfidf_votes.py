@@ -44,10 +44,12 @@ WORD = re.compile(r"[^\W_]+")
 #: Labelled rows that are looked at, at most; a fifth of them calibrates, the others are examples.
 LABELLED = 32_000
 CALIBRATION = 5
-#: Words of the index, at most, and what each must show: examples that hold it, and surprise (G2, p about 1e-6).
+#: Words of the index, at most, and what each must show: examples that hold it, surprise (G2, p about 1e-6), and how
+#: often the overall toxic share (or its inverse) its examples have. Common words differ a little, but tell nothing.
 VOCABULARY = 20_000
 LEAST_EXAMPLES = 5
 LEAST_SURPRISE = 24.0
+LEAST_LIFT = 3.0
 #: Postings of the index, at most: what bounds its size. Examples beyond are left out, in the order of their draw.
 POSTINGS = 3_000_000
 BLOCK = 64
@@ -243,7 +245,9 @@ def telling_words(bags: DataFrame) -> list[str]:
     cells = [(c("toxic"), c("n") * share), (c("n") - c("toxic"), c("n") * (1 - share))]
     cells += [(total.toxic - c("toxic"), rest * share), (rest - total.toxic + c("toxic"), rest * (1 - share))]
     surprise = 2 * sum((part(seen, expected) for seen, expected in cells), F.lit(0.0))
+    lift = c("toxic") / (c("n") * share)
     told = held.withColumn("surprise", F.round(surprise, 6)).where(c("surprise") >= LEAST_SURPRISE)
+    told = told.where((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))
     return [r.word for r in told.orderBy(c("surprise").desc(), "word").limit(VOCABULARY).collect()]
 
 
