@@ -52,6 +52,7 @@ REMEMBERED = 150_000
 ENCODED = 2_000
 #: Every character that some Unicode version or library takes for white space.
 BLANK = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+BLANKS = frozenset(x for x in map(chr, range(0x10000)) if re.match(f"[{BLANK}]", x))
 TWO_BLANKS = re.compile(f"[{BLANK}] | [{BLANK}]")
 CHUNK_START = re.compile(f"(?<=[^{BLANK}])(?= )")
 SPACE = "\u2581"
@@ -110,15 +111,14 @@ class Tokenizers:
         self.b_bytes = [
             bytes([int(p[3:-1], 16)]) if self._b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)
         ]
-        self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self._a_pool, self._b_pool = (pa.array(t, pa.large_binary()) for t in (self.a_bytes, self.b_bytes))
         self._space = self._b.piece_to_id(SPACE)
         self._forget()
 
     def _forget(self) -> None:
         self._known: dict[str, int] = {}
-        self._a_ids: list[bytes] = []
-        self._b_ids: list[bytes] = []
+        self._a_learnt, self._b_learnt = _Learnt(), _Learnt()
         self._spells: list[bool] = []
 
     def _chunks(self, text: str) -> list[str]:
@@ -129,15 +129,40 @@ class Tokenizers:
         return [" " + x for x in text.split(" ")]
 
     def _learn(self, chunks: list[str]) -> None:
-        a = self._a.encode_batch_fast(chunks, add_special_tokens=False)
-        b = self._b.encode([x[1:] for x in chunks], num_threads=1)
-        for chunk, found, bs in zip(chunks, a, b, strict=True):
-            raw, as_ = chunk.encode(), found.ids
-            bs = [self._space] if chunk == " " else bs
-            self._known[chunk] = len(self._spells)
-            self._a_ids.append(np.array(as_, "<u4").tobytes())
-            self._b_ids.append(np.array(bs, "<u4").tobytes())
-            self._spells.append(b"".join(map(self.a_bytes.__getitem__, as_)) == raw == b"".join(map(self.b_bytes.__getitem__, bs)))
+        alone = [x for x in chunks if not self.in_chunks or SPACE in x or x[-1] in BLANKS]
+        others = set(alone)
+        together = [x for x in chunks if x not in others]
+        for i in range(0, len(together), ENCODED):
+            some = together[i : i + ENCODED]
+            if not self._learn_together(some):
+                alone += some
+        for chunk in alone:
+            a = self._a.encode(chunk, add_special_tokens=False).ids
+            b = [self._space] if chunk == " " else self._b.encode(chunk[1:])
+            spelt = [b"".join(map(t.__getitem__, ids)) for t, ids in ((self.a_bytes, a), (self.b_bytes, b))]
+            self._keep([chunk], [len(a)], a, [len(b)], b, spelt == [chunk.encode()] * 2)
+
+    def _learn_together(self, chunks: list[str]) -> bool:
+        """Encode chunks as one text, which is cut where they end; False if the tokens don't spell it."""
+        text = "".join(chunks)
+        ends, raw, found = np.cumsum([len(x.encode()) for x in chunks]), text.encode(), []
+        a = self._a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        for ids, sizes, pool in ((a, self.a_sizes, self._a_pool), (self._b.encode(text[1:]), self.b_sizes, self._b_pool)):
+            ids = np.array(ids, np.int64)
+            token_ends = np.cumsum(sizes[ids])
+            after = np.searchsorted(token_ends, ends) + 1
+            spelt = pool.take(pa.array(ids)).buffers()[2]
+            if after[-1] > len(ids) or (token_ends[after - 1] != ends).any() or spelt.to_pybytes()[: token_ends[-1]] != raw:
+                return False
+            found += [np.diff(after, prepend=0), ids]
+        self._keep(chunks, *found, True)
+        return True
+
+    def _keep(self, chunks: list[str], a_sizes, a_ids, b_sizes, b_ids, spells: bool) -> None:
+        self._known.update(zip(chunks, range(len(self._spells), len(self._spells) + len(chunks))))
+        self._spells += [spells] * len(chunks)
+        self._a_learnt.add(a_sizes, a_ids)
+        self._b_learnt.add(b_sizes, b_ids)
 
     def encode(self, texts: list[str]) -> Encoded:
         """Ids by both of " " + text; none where the tokens of either don't spell it."""
@@ -150,9 +175,7 @@ class Tokenizers:
             if text:
                 chunks += self._chunks(text)
             ends.append(len(chunks))
-        new = [x for x in dict.fromkeys(chunks) if x not in known]
-        for i in range(0, len(new), ENCODED):
-            self._learn(new[i : i + ENCODED])
+        self._learn([x for x in dict.fromkeys(chunks) if x not in known])
         codes = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
         ends = np.array(ends)
         spells = np.concatenate([[0], np.cumsum(~np.array(self._spells, bool)[codes])])
@@ -160,19 +183,29 @@ class Tokenizers:
             codes[ends[d] : ends[d + 1]] = -1
         kept = codes >= 0
         ends = np.concatenate([[0], np.cumsum(kept)])[ends]
-        a, a_bounds = _laid(self._a_ids, codes[kept], ends)
-        b, b_bounds = _laid(self._b_ids, codes[kept], ends)
+        a, a_bounds = self._a_learnt.laid(codes[kept], ends)
+        b, b_bounds = self._b_learnt.laid(codes[kept], ends)
         return Encoded(a, b, a_bounds, b_bounds)
 
 
-def _laid(pool: list[bytes], codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the coded chunks one after the other, and where those of each document end."""
-    ids = np.frombuffer(b"".join(pool), "<u4")
-    sizes = np.array([len(x) // 4 for x in pool], np.int64)
-    places = np.cumsum(sizes) - sizes
-    mine = sizes[codes]
-    after = np.concatenate([[0], np.cumsum(mine)])
-    return ids[np.repeat(places[codes] - after[:-1], mine) + np.arange(after[-1])].astype(np.int64), after[ends]
+class _Learnt:
+    """The ids of chunks by their codes."""
+
+    def __init__(self) -> None:
+        self._sizes, self._ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, sizes, ids) -> None:
+        self._sizes.append(np.asarray(sizes, np.int64))
+        self._ids.append(np.asarray(ids, np.int64))
+
+    def laid(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the coded chunks one after the other, and where those of each document end."""
+        self._sizes, self._ids = [np.concatenate(self._sizes)], [np.concatenate(self._ids)]
+        sizes = self._sizes[0]
+        mine = sizes[codes]
+        after = np.concatenate([[0], np.cumsum(mine)])
+        places = np.repeat((np.cumsum(sizes) - sizes)[codes] - after[:-1], mine) + np.arange(after[-1])
+        return self._ids[0][places], after[ends]
 
 
 @lru_cache(maxsize=2)
