@@ -6,6 +6,8 @@ decimals), and two-digit roundings are integer divisions, half up.
 
 from __future__ import annotations
 
+from shelfscope.operators.filters import FilterSpec
+
 PRODUCTS = """
 WITH priced AS (
   SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_brand, p_size, l_quantity, l_tax, l_returnflag,
@@ -179,6 +181,57 @@ def per_pack(sql: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{name}' AS pack_id, * FROM ({rows})" for name, rows in sql.items())
 
 
+def spec_rows(specs: dict[str, FilterSpec]) -> str:
+    """Filter specs as a table; a clause that is not given is NULL or an empty list."""
+
+    def value(x: object) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, (tuple, list)):
+            return f"[{', '.join(map(value, x))}]::VARCHAR[]"
+        return f"'{x}'" if isinstance(x, str) else str(x)
+
+    def row(name: str, s: FilterSpec) -> str:
+        ranges = [b for r in (s.price_between, s.mrp_between, s.img_count_between) for b in r or (None, None)]
+        relation = "=" if s.only_no_discount else "<" if s.only_discounted else None
+        title = s.title_pattern if s.title_ilike else None
+        bounds = [s.min_discount, s.max_discount, *ranges, s.min_rating, s.max_rating, s.min_reviews, s.rows]
+        return f"({', '.join(map(value, [name, s.brands, s.exclude_brands, title, relation, *bounds]))})"
+
+    columns = (
+        "pack_id, only_brands, no_brands, pattern, relation, d0, d1, p0, p1, m0, m1, i0, i1, r0, r1, reviews, length"
+    )
+    return f"(VALUES {', '.join(row(*x) for x in specs.items())}) AS s({columns})"
+
+
+def _within(x: str, low: str, high: str) -> str:
+    return f"({low} IS NULL OR {x} >= {low}) AND ({high} IS NULL OR {x} <= {high})"
+
+
+SHELF_CLAUSES = f"""(len(only_brands) = 0 OR list_contains(only_brands, brand))
+  AND (len(no_brands) = 0 OR NOT list_contains(no_brands, brand))
+  AND (pattern IS NULL OR title ILIKE pattern)
+  AND (relation IS NULL OR relation = '=' AND price = mrp OR relation = '<' AND price < mrp)
+  AND {_within('discount_percent', 'd0', 'd1')} AND {_within('price', 'p0', 'p1')}
+  AND {_within('mrp', 'm0', 'm1')} AND {_within('img_count', 'i0', 'i1')}"""
+RATING_CLAUSES = f"{_within('rating', 'r0', 'r1')} AND (reviews IS NULL OR rating_total >= reviews)"
+
+
+def many_kpis(specs: dict[str, FilterSpec]) -> str:
+    return f"""SELECT pack_id, coalesce({avg2('price')}, 0) AS avg_price, coalesce({avg2('mrp')}, 0) AS avg_mrp,
+      coalesce({avg2('discount_percent')}, 0) AS avg_discount_pct,
+      coalesce({n_where('price = mrp')}, 0) AS no_discount_items, COUNT(product_id) AS products,
+      CAST(CASE WHEN COUNT(product_id) > 0 THEN 4 ELSE 1 END AS BIGINT) AS sentences
+      FROM {spec_rows(specs)} LEFT JOIN products ON {SHELF_CLAUSES} GROUP BY pack_id"""
+
+
+def many_rated(specs: dict[str, FilterSpec]) -> str:
+    return f"""SELECT pack_id, {DISCOUNT_LIST}, CAST(position AS INTEGER) AS position FROM (
+      SELECT s.pack_id, length, products.*, row_number() OVER (PARTITION BY pack_id ORDER BY {BY_DISCOUNT}) AS position
+      FROM {spec_rows(specs)} JOIN products ON {SHELF_CLAUSES} AND {RATING_CLAUSES} AND rating_total > 0)
+      WHERE position <= length"""
+
+
 def document(shelf: str, rated: str, limit: int) -> str:
     """Every value of a pack, section by section."""
     text = {"brand", "band", "title", "bullet"}

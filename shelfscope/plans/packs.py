@@ -2,22 +2,22 @@
 
 One pack answers four questions about the rows that match a ``FilterSpec``.
 KPIs, brands and bands ignore the rating clauses; only the rated list obeys
-them. Many packs share two scans: every row is tagged with the packs it
-matches and partially aggregated on the spot, so the shuffle carries one row
-per (pack, brand, band), and the rated lists are cut where they are read.
+them. Many packs share three scans: an index of the specs gives every row the
+set of packs it matches, rows are counted per set, and only these counts, and
+the rows near the top of some list, are spread over their packs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfscope.functions import exact
 from shelfscope.functions.sentences import bullets
 from shelfscope.operators.filters import FilterSpec, predicate
+from shelfscope.operators.spec_index import WORD, SpecIndex, Specs, in_runs
 from shelfscope.operators.toplist import asc, by, desc, top_rows_per_group
 from shelfscope.plans.facts import Cube, Facts, Rows
 from shelfscope.plans.reports import (
@@ -27,12 +27,12 @@ from shelfscope.plans.reports import (
     discount_bands,
     kpi_columns,
 )
+from shelfscope.sources.local_rows import local_rows
 
 c = F.col
 BRANDS = 10
 KPIS = ["avg_price", "avg_mrp", "avg_discount_pct", "no_discount_items", "products"]
 MEASURES = ("price", "mrp", "discount_percent")
-Specs = Mapping[str, FilterSpec]
 
 # Which columns a grouping-sets row leaves out, as bits (pack_id, brand, discount_band).
 _PER_BRAND, _PER_BAND, _PER_PACK = 0b001, 0b010, 0b011
@@ -81,26 +81,24 @@ def pack_bullets(products: DataFrame, spec: FilterSpec) -> DataFrame:
 # --- many packs ---------------------------------------------------------------------
 
 
-def _tagged(products: DataFrame, packs: Mapping[str, Column]) -> DataFrame:
-    """Each row once per pack it matches, with ``pack_id``. No join: specs are literals."""
-    matching = products.filter(reduce(or_, packs.values()))
-    tags = F.array(*(F.when(rule, F.lit(name)) for name, rule in packs.items()))
-    return matching.withColumn("pack_id", F.explode(tags)).filter(c("pack_id").isNotNull())
-
-
 def pack_cube(products: DataFrame, specs: Specs, include_rating: bool = False) -> DataFrame:
     """Counts and moments per (pack, brand, band); cubes of disjoint inputs may be unioned."""
-    rows = _tagged(products, {name: predicate(s, include_rating) for name, s in specs.items()})
-    return _grouped(Rows(rows))
+
+    def cube(run: Specs) -> DataFrame:
+        index = SpecIndex(products.sparkSession, run, include_rating)
+        per_set = _grouped(Rows(index.tagged(products)), index.names)
+        return index.named(_grouped(Cube(index.spread(per_set)), ["pack_no"]))
+
+    return reduce(DataFrame.unionByName, map(cube, in_runs(specs)))
 
 
 def merge_pack_cubes(cubes: DataFrame) -> DataFrame:
     """One cube from the union of several."""
-    return _grouped(Cube(cubes))
+    return _grouped(Cube(cubes), ["pack_id"])
 
 
-def _grouped(facts: Facts) -> DataFrame:
-    return facts.frame.groupBy("pack_id", "brand", facts.key("discount_band").alias("discount_band")).agg(
+def _grouped(facts: Facts, packs: list[str]) -> DataFrame:
+    return facts.frame.groupBy(*packs, "brand", facts.key("discount_band").alias("discount_band")).agg(
         facts.items().alias("items"),
         facts.flagged("no_discount_items").alias("no_discount_items"),
         *(column for m in MEASURES for column in facts.moments(m).named(m)),
@@ -115,23 +113,57 @@ def _discount_bucket() -> Column:
 
 def pack_top(products: DataFrame, specs: Specs) -> DataFrame:
     """The rated list of every pack, ranked from 1."""
-    rated = c("rating_total") > 0
-    rows = _tagged(products, {name: predicate(s, include_rating=True) & rated for name, s in specs.items()})
-    most = max(s.rows for s in specs.values())
-    rows = rows.select("pack_id", *DISCOUNT_LIST)
-    return _to_length(top_rows_per_group(rows, "pack_id", _deepest_discount_first(), most, _discount_bucket()), specs)
+
+    def top(run: Specs) -> DataFrame:
+        index = SpecIndex(products.sparkSession, run, include_rating=True)
+        rated = index.tagged(products.filter(c("rating_total") > 0)).withColumn("bucket", _discount_bucket())
+        near = _near_the_top(rated.select(*DISCOUNT_LIST, "bucket", *index.names), index)
+        listed = index.named(index.spread(near)).select("pack_id", *DISCOUNT_LIST)
+        return _to_length(_ranked(listed, run), run)
+
+    return reduce(DataFrame.unionByName, map(top, in_runs(specs)))
+
+
+def _near_the_top(rows: DataFrame, index: SpecIndex) -> DataFrame:
+    """Rows that may be among the first of a pack, with only the packs for which that holds.
+
+    Counting rows per set of packs and bucket needs no sort. A pack needs the
+    buckets up to the one that completes its list, however many rows are in it.
+    """
+    spark = rows.sparkSession
+    sizes = index.spread(rows.groupBy("bucket", *index.names).agg(F.count("*").alias("n")))
+    sizes = sizes.groupBy("pack_no", "bucket").agg(F.sum("n").alias("n"))
+    lengths = [(n, s.rows) for n, s in enumerate(index.specs)]
+    sizes = sizes.join(F.broadcast(local_rows(spark, lengths, "pack_no int, length int")), "pack_no")
+    before = Window.partitionBy("pack_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    needed = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(c("before") < c("length"))
+
+    def word(i: int) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), c("pack_no") % WORD)
+        return F.bit_or(F.when(F.floor(c("pack_no") / WORD) == i, bit).otherwise(F.lit(0).cast("bigint")))
+
+    wanted = needed.groupBy("bucket").agg(*(word(i).alias(f"__wanted{i}") for i in range(index.width)))
+    # A row per bucket: whole percents.
+    both = rows.join(F.broadcast(wanted), "bucket")
+    kept = [c(n).bitwiseAND(c(f"__wanted{i}")).alias(n) for i, n in enumerate(index.names)]
+    return both.select(*DISCOUNT_LIST, *kept).filter(index.any(index.names))
 
 
 def merge_pack_tops(tops: DataFrame, specs: Specs) -> DataFrame:
     """One rated list per pack from the union of several; these are short already."""
+    return _to_length(_ranked(tops.drop("position"), specs, lanes=False), specs)
+
+
+def _ranked(rows: DataFrame, specs: Specs, lanes: bool = True) -> DataFrame:
     most = max(s.rows for s in specs.values())
-    order = _deepest_discount_first()
-    return _to_length(top_rows_per_group(tops.drop("position"), "pack_id", order, most, lanes=False), specs)
+    return top_rows_per_group(rows, "pack_id", _deepest_discount_first(), most, lanes=lanes)
 
 
 def _to_length(ranked: DataFrame, specs: Specs) -> DataFrame:
     """Each pack's own number of rows."""
-    return ranked.filter(reduce(or_, ((c("pack_id") == n) & (c("position") <= s.rows) for n, s in specs.items())))
+    lengths = [(name, s.rows) for name, s in specs.items()]
+    table = local_rows(ranked.sparkSession, lengths, "pack_id string, length int")
+    return ranked.join(F.broadcast(table), "pack_id").filter(c("position") <= c("length")).drop("length")
 
 
 def _summary(cube: DataFrame) -> DataFrame:
@@ -162,7 +194,7 @@ def _summary(cube: DataFrame) -> DataFrame:
 
 def figures(cube: DataFrame, specs: Specs) -> DataFrame:
     """KPIs, brands, bands and findings of every pack, also of packs that match nothing."""
-    names = cube.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, specs))).alias("pack_id"))
+    names = local_rows(cube.sparkSession, [(n,) for n in specs], "pack_id string")
     found = names.join(_summary(cube), "pack_id", "left")
     none = F.lit(0).cast("bigint")
     zeros = {"no_discount_items": none, "products": none}
@@ -209,5 +241,8 @@ def insight_packs(products: DataFrame, specs: Specs, include_rating: bool = Fals
 
 
 def insight_pack(products: DataFrame, spec: FilterSpec, include_rating: bool = False) -> DataFrame:
-    """The nested document ``(kpis, tables, bullets)`` of one spec."""
-    return insight_packs(products, {"pack": spec}, include_rating).drop("pack_id")
+    """The nested document ``(kpis, tables, bullets)`` of one spec: filter and aggregate, filter and keep the top."""
+    name = F.lit("pack").alias("pack_id")
+    cube = _grouped(_slice(products, spec, include_rating), [name])
+    top = pack_top_discounted_rated(products, spec).select(name, "*")
+    return assemble(cube, _ranked(top, {"pack": spec}, lanes=False), {"pack": spec}).drop("pack_id")

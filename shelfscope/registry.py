@@ -86,6 +86,34 @@ SPECS = {name: spec for name, (spec, _, _) in SLICES.items()}
 ONE = "discounted_well_rated"
 
 
+def generated(n: int) -> dict[str, FilterSpec]:
+    """Filter specs by rule, every clause in many combinations and with many bounds."""
+
+    def spec(i: int) -> FilterSpec:
+        brands = [f"Brand#{1 + (i + k * k) % 26}" for k in range(1 + i % 4)]
+        return FilterSpec(
+            brands=brands if i % 3 == 0 else (),
+            exclude_brands=[*brands, ""] if i % 3 == 1 else (),
+            min_discount=7 * (i % 4) if i % 2 else None,
+            max_discount=28 + 7 * (i % 5) + i % 3 if i % 5 else None,
+            price_between=(100.0 * (i % 9), 1200.0 + 37.5 * (i % 17)) if i % 4 == 1 else None,
+            mrp_between=(900.25 + i, 900.25 + 3 * i) if i % 7 == 2 else None,
+            img_count_between=(i % 3, 4 + i % 3) if i % 6 == 2 else None,
+            title_ilike=("ring", "RED%", "%w_l%", "light", "%een%tin%")[i % 5] if i % 7 == 3 else None,
+            only_no_discount=i % 13 == 5,
+            only_discounted=i % 11 == 7,
+            min_rating=i % 8 / 2 if i % 4 == 3 else None,
+            max_rating=5 - i % 5 / 2 if i % 6 == 1 else None,
+            min_reviews=3 * i % 90 if i % 5 == 2 else None,
+            top_limit=i % 13,
+        )
+
+    return {f"spec{i:04}": spec(i) for i in range(n)}
+
+
+MANY = generated(130)
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {n: _over(partial(reports.report, n)) for n in reports.NAMES}
     found |= {n: _over(partial(dashboard.panel, n)) for n in dashboard.PANELS}
@@ -102,6 +130,8 @@ def queries() -> dict[str, Query]:
     for table in oracles.PACK_TABLES:
         found[f"packs_{table}"] = _over(lambda p, t=table: loading.flat_table(packs.insight_packs(p, SPECS), t))
     found["packs_bullets"] = _over(lambda p: loading.flat_bullets(packs.insight_packs(p, SPECS)))
+    found["packs_generated"] = _over(lambda p: loading.flat_kpis(packs.insight_packs(p, MANY)))
+    found["packs_generated_rated"] = _over(lambda p: packs.pack_top(p, MANY))
     found["pack_documents"] = _over(loading.pack_documents, SPECS)
     found |= {name: _over(build) for name, build in loading.LOADING.items()}
     found["stream_refresh_packs"] = _over(loading.stream_refresh_packs, SPECS)
@@ -148,6 +178,8 @@ def oracle_sql() -> dict[str, str]:
     found["packs_bullets"] = oracles.per_pack(
         {name: oracles.pack_bullets(shelf) for name, (_, shelf, _) in SLICES.items()}
     )
+    found["packs_generated"] = oracles.many_kpis(MANY)
+    found["packs_generated_rated"] = oracles.many_rated(MANY)
     found["pack_documents"] = found["packs_brand_concentration"]
     found |= oracles.LOADING
     found["stream_refresh_packs"] = found["insight_packs_multi"]
