@@ -22,7 +22,7 @@ from operator import and_
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from shelfscope.operators.filters import FilterSpec
+from shelfscope.operators.filters import FilterSpec, predicate
 from shelfscope.sources.local_rows import local_rows
 
 c = F.col
@@ -30,6 +30,8 @@ Specs = Mapping[str, FilterSpec]
 WORD = 64
 #: Specs of one index, which bounds its tables; more of them take further passes over the rows.
 MOST_SPECS = 1024
+#: Specs up to which each is asked on its own.
+FEW_SPECS = 16
 #: Brands up to which a list of them is worth pushing to the scan.
 PUSHED_BRANDS = 100
 
@@ -99,7 +101,7 @@ class SpecIndex:
     """The set of matching specs of each row, as word columns ``names``; specs are numbered in their order."""
 
     def __init__(self, spark: SparkSession, specs: Specs, include_rating: bool) -> None:
-        self.spark, self.specs = spark, list(specs.values())
+        self.spark, self.specs, self._include_rating = spark, list(specs.values()), include_rating
         self.packs = list(specs)
         self._intervals = [x for x in SHELF + (RATING if include_rating else []) if self._bounds(x)]
         self.width = -(-len(self.specs) // WORD)
@@ -167,6 +169,8 @@ class SpecIndex:
     def tagged(self, rows: DataFrame) -> DataFrame:
         """The rows with the word columns; rows without a spec have none but zeros, as far as they are not left out."""
         kept, parts = rows.columns, []
+        if len(self.specs) <= FEW_SPECS:
+            return self._asked_directly(rows)
         rows = rows.filter(self._hull())
         for n, x in enumerate(self._intervals):
             bounds = self._bounds(x)
@@ -188,6 +192,12 @@ class SpecIndex:
         words = [reduce(Column.bitwiseAND, column) for column in zip(*(parts or everything))]
         return rows.select(*kept, *(w.cast("bigint").alias(n) for w, n in zip(words, self.names)))
 
+    def _asked_directly(self, rows: DataFrame) -> DataFrame:
+        """The same from one predicate per spec, which scans understand and which is cheaper while it is short."""
+        rules = [predicate(s, self._include_rating) for s in self.specs]
+        bits = reduce(Column.bitwiseOR, (F.when(r, 1 << i).otherwise(0) for i, r in enumerate(rules)))
+        return rows.filter(reduce(Column.__or__, rules)).select("*", bits.cast("bigint").alias(self.names[0]))
+
     def _looked_up(self, rows: DataFrame, bits: np.ndarray, prefix: str) -> tuple[DataFrame, list[Column]]:
         """The words of the entry that ``<prefix>at`` points to; the last one is that of NULL."""
         at, names = f"{prefix}at", [f"{prefix}{i}" for i in range(self.width)]
