@@ -31,6 +31,11 @@ def _unmarked(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def _unmarked_name(name: Column) -> Column:
+    """On one line, and with nothing that could end the header."""
+    return F.replace(_unmarked(F.translate(name, "\r\n", "  ")), F.lit("|>"), F.lit("| >"))
+
+
 def _header(kind: Column, name: Column) -> Column:
     return F.when(kind == "user", F.concat(F.lit("<|user name="), name, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>\n")))
 
@@ -41,7 +46,7 @@ def _numbered(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
-        F.when(F.length(name) > 0, _unmarked(name)).alias("name"),
+        F.when(F.length(name) > 0, _unmarked_name(name)).alias("name"),
         _unmarked(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
     )
     lined = stored(lines_up(rows, F.col("conv_id"), F.col("turn"), F.col("name"), F.col("text")), "turns")

@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     own = texts.join(good, "doc_id").dropDuplicates(["doc_id"]).select("text", "half")
     scores = stored(own.mapInArrow(scored, "score double"), "scores")
     n = scores.count()
-    threshold = _ranked(scores, int(TAIL * n)) - SLACK if n else 0.0
+    threshold = _ranked(scores, int(TAIL * n)) - SLACK if n else float("-inf")
     return Model(_ratios(targets[0] + targets[1], raw), threshold)
 
 

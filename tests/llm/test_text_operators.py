@@ -182,3 +182,12 @@ def test_pipeline_keeps_whole_documents_and_takes_effect(spark):
         if name != "packing":
             assert now.columns == docs.columns and now.exceptAll(docs).count() == 0
     assert docs.count() > counts[0] > counts[1] > counts[2] and corpus_pipeline.run(spark, SMALL).count() == counts[3]
+
+
+def test_quality_keeps_all_when_no_trusted_document_is_long_enough(spark):
+    texts = [f"short trusted text {i}" for i in range(5)] + [f"a sound document {i} of more than twenty words that nobody has labelled and which "
+             f"goes on about one thing and another for a while {i}" for i in range(40)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    rows = quality_llr.judged(docs, quality_llr.fit(docs, labels)).collect()
+    assert all(r.kept == (not r.base_failed) for r in rows) and sum(r.kept for r in rows) >= 40
