@@ -32,8 +32,8 @@ def _unmarked(text: Column) -> Column:
 
 
 def _unmarked_name(name: Column) -> Column:
-    """On one line, and with nothing that could end the header."""
-    return F.replace(_unmarked(F.translate(name, "\r\n", "  ")), F.lit("|>"), F.lit("| >"))
+    """With nothing that could end the header, or begin a mark with the end of it."""
+    return F.regexp_replace(F.replace(_unmarked(name), F.lit("|>"), F.lit("| >")), "<$", "< ")
 
 
 def _header(kind: Column, name: Column) -> Column:
@@ -42,7 +42,7 @@ def _header(kind: Column, name: Column) -> Column:
 
 def _numbered(turns: DataFrame) -> DataFrame:
     """conv_id, turn, name, text, turn_index (from 0 in each conversation)."""
-    name = F.trim(F.col("role").cast("string"))
+    name = F.trim(F.translate(F.col("role").cast("string"), "\r\n", "  "))
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),

@@ -143,7 +143,7 @@ def test_dialogues_fit_together(spark):
 def test_names_cannot_forge_headers(spark):
     turns = [(1, 0, "ann|>\nforged<", "x"), (1, 1, "b<|assistant|>", "y"), (1, 2, "<|>\r", "z")]
     rows = perspectives.rotated(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()
-    assert {r.name for r in rows} == {"ann| > forged<", "b< |assistant| >", "< | > "}
+    assert {r.name for r in rows} == {"ann| > forged< ", "b< |assistant| >", "< | >"}
     for r in rows:
         head, rest = r.rendered.split("\n", 1)
         assert head.count("<|") == head.count("|>") == 1 and head.startswith("<|") and head.endswith("|>")
