@@ -280,6 +280,9 @@ LOADING = {
       CASE style_id % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'short' WHEN 4 THEN 'q,uoted' END AS title,
       CASE style_id % 8 WHEN 0 THEN '4711' WHEN 4 THEN 'B' END AS brand
       FROM products WHERE style_id % 8 IN (0, 1, 4, 5)""",
+    "ingest_quoted_lines": f"""SELECT {COLUMNS} FROM (SELECT * REPLACE (
+      CASE WHEN style_id % 3 = 0 THEN title || chr(10) || 'second "line", and' || chr(10) || chr(10) || brand || chr(10)
+        ELSE nullif(title, '') END AS title, nullif(brand, '') AS brand) FROM products)""",
     "ingest_append": """SELECT nullif(brand, '') AS brand, 2 * COUNT(*) AS items,
       CAST(2 * SUM(product_id) AS BIGINT) AS id_sum, 2 * COUNT(nullif(title, '')) AS titled
       FROM products GROUP BY 1""",

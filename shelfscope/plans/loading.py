@@ -99,6 +99,18 @@ def ingest_ragged_rows(products: DataFrame) -> DataFrame:
     return loaded(spark, folder).select("product_id", "style_id", "title", "brand")
 
 
+def ingest_quoted_lines(products: DataFrame) -> DataFrame:
+    """Titles that go on over line breaks, with quotes and commas in them, beside files that have none."""
+    spark = products.sparkSession
+    folder = scratch_dir(spark, "csv")
+    broken = c("style_id") % 3 == 0
+    title = F.concat(c("title"), F.lit('\nsecond "line", and\n\n'), c("brand"), F.lit("\n"))
+    wide = [*COLUMNS[2:], *COLUMNS[:2]]
+    write_csv(products.filter(broken).withColumn("title", title).select(wide), folder)
+    write_csv(products.filter(~F.coalesce(broken, F.lit(False))), folder)
+    return loaded(spark, folder)
+
+
 def _appended_twice(products: DataFrame) -> DataFrame:
     spark = products.sparkSession
     source = loaded(spark, write_csv(products, scratch_dir(spark, "csv")))
@@ -269,6 +281,7 @@ LOADING: dict[str, Callable[[DataFrame], DataFrame]] = {
         ingest_missing_columns,
         ingest_coercion,
         ingest_ragged_rows,
+        ingest_quoted_lines,
         ingest_append,
         ingest_row_count,
         report_csv,

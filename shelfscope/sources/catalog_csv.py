@@ -6,11 +6,13 @@ import csv
 import io
 import logging
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -60,28 +62,50 @@ def listing(reader: Reader, folder: str) -> DataFrame:
     return reader.format("binaryFile").schema(schema).option("pathGlobFilter", GLOB).load(folder)
 
 
-def read_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_catalog(spark: SparkSession, paths: str | Sequence[str], quoted_lines: bool = True) -> DataFrame:
     """Typed products from one or more CSV files, whatever their column order.
 
     A file that is named is read whatever its suffix; one whose name Spark's
     readers pass over is refused. Files are grouped by header line and each group is one splittable scan.
+    Files that have line breaks inside quotes are found by a count of quotes and
+    read whole, each in one task; ``quoted_lines=False`` spares the count where
+    no file has any.
     Columns a file lacks are NULL, columns it has beyond the schema are ignored.
     """
-    groups: dict[Header, list[str]] = defaultdict(list)
+    groups: dict[tuple[Header, bool], list[str]] = defaultdict(list)
     named = [paths] if isinstance(paths, str) else list(paths)
     if hidden := [p for p in named if _hidden(p)]:
         raise ValueError(f"names beginning with '_' or '.' cannot be read, rename {', '.join(hidden[:5])}")
+    whole = with_quoted_lines(spark, named) if quoted_lines and named else set()
     for path, header in read_headers(spark, named).items():
         if header:
-            groups[header].append(path)
+            groups[header, _place(path) in whole].append(path)
         else:
             log.warning("%s is empty", path)
     if not groups:
         return spark.createDataFrame([], PRODUCTS)
-    scans = (conform(scan_text(spark.read, header, members), header) for header, members in groups.items())
+    scans = (conform(scan_text(spark.read, header, members, whole=w), header) for (header, w), members in groups.items())
     return reduce(DataFrame.unionByName, scans)
 
 
+def with_quoted_lines(spark: SparkSession, files: Sequence[str]) -> set[str]:
+    """Places of the files that have a line break inside quotes.
+
+    Such a break leaves an odd number of quotes on its line, and doubled quotes
+    count twice. Lines are looked at where they are read; a name per such file
+    comes to the driver.
+    """
+    lines = spark.read.text(list(files)).select("value", F.col("_metadata.file_path").alias("path"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = lines.filter(quotes % 2 == 1).select("path").distinct()
+    return {_place(unquote(r.path)) for r in odd.collect()}
+
+
+def _place(path: str) -> str:
+    """A path without what may be written in several ways: scheme and number of slashes."""
+    return "/" + re.sub(r"^\w+:", "", path).lstrip("/")
+
+
 def read_headers(spark: SparkSession, files: Sequence[str]) -> dict[str, Header]:
     """Header of each file; only first lines are read.
 
@@ -119,7 +143,9 @@ def _open_first_line(file: str) -> str | None:
         return None
 
 
-def scan_text(reader: Reader, header: Header, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
+def scan_text(
+    reader: Reader, header: Header, paths: str | Sequence[str], glob: str | None = None, whole: bool = False
+) -> DataFrame:
     """All fields as text in columns ``_0, _1, ...``; overlong rows are left out.
 
     Short rows are padded with NULL. The reader marks both kinds alike and cuts
@@ -129,13 +155,14 @@ def scan_text(reader: Reader, header: Header, paths: str | Sequence[str], glob:
     being pruned to the mark alone, which the reader refuses.)
 
     Lines must be parsed whole even where few columns are asked for: a pruned
-    parse takes overlong rows for good ones.
+    parse takes overlong rows for good ones. With ``whole`` a file is not split,
+    and a row goes on over line breaks inside quotes.
     """
     names = [f"_{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
     reader = reader.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    rows = reader.options(header=True, columnPruning=False, **CSV_TEXT).csv(paths)
+    rows = reader.options(header=True, columnPruning=False, multiLine=whole, **CSV_TEXT).csv(paths)
     return rows.filter(F.col(_CORRUPT).isNull() | _fits(F.col(_CORRUPT), len(header))).select(names)
 
 

@@ -15,6 +15,7 @@ from shelfscope.plans.loading import write_csv
 from shelfscope.registry import SPECS
 from shelfscope.schema import COLUMNS, PRODUCTS
 from shelfscope.session import scratch_dir
+from shelfscope.sources import catalog_csv
 from shelfscope.sources.catalog_csv import csv_files, named_files, read_catalog, read_headers
 from shelfscope.sources.adhoc import select_json
 from shelfscope.streaming import ingest, refresh
@@ -267,3 +268,19 @@ def test_files_a_task_cannot_open_are_left_to_the_session_reader(folder):
     assert _open_first_line(f"file:{folder}/a.csv") == "product_id,brand"
     assert _open_first_line(f"file:{folder}/missing.csv") is None
     assert _open_first_line("nosuch://bucket/a.csv") is None
+
+
+def test_only_files_with_quoted_line_breaks_are_read_whole(spark, tmp_path):
+    plain, broken, odd = (str(tmp_path / n) for n in ("plain.csv", "bro ken%20x.csv", "odd.csv"))
+    for path, text in (
+        (plain, 'product_id,title\n1,"a ""quoted"" word"\n2,b\n'),
+        (broken, 'product_id,title\n3,"two\nlines"\n4,"three\n\n""lines"", and",extra\n5,"x,\n"\n'),
+        (odd, 'product_id,title\n6,5" screen\n7,c\n'),
+    ):
+        with open(path, "w") as f:
+            f.write(text)
+    assert catalog_csv.with_quoted_lines(spark, [plain, broken, odd]) == {catalog_csv._place(p) for p in (broken, odd)}
+    rows = catalog_csv.read_catalog(spark, [plain, broken, odd]).select("product_id", "title").collect()
+    assert sorted(map(tuple, rows)) == [(1, 'a "quoted" word'), (2, "b"), (3, "two\nlines"), (5, "x,\n"), (6, '5" screen'), (7, "c")]
+    plan = catalog_csv.read_catalog(spark, [plain, broken])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2
