@@ -1,14 +1,16 @@
 """What the aggregate reports are made of, read from rows or from a cube.
 
 ``Rows`` aggregates the catalogue directly: one scan per report, only the
-columns it needs. ``Cube`` reads the same figures from ``build_cube``, which
-holds one row per brand and band combination (at most 600 per brand): one scan
-then answers every aggregate report, and cubes of separate loads add up.
+columns it needs. ``Levels`` reads the same figures from ``build_levels``: all of
+them by brand, and those asked by band for the at most 600 combinations of bands.
+That is answered by two narrow aggregates instead of one per report, and levels of
+separate loads add up. Brands and bands are never combined.
+``Cube`` is for figures kept by several keys at once, as those of packs are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -66,6 +68,10 @@ class Rows:
     def __init__(self, products: DataFrame) -> None:
         self.frame = products
 
+    def by(self, key: str) -> DataFrame:
+        """What to group by this key."""
+        return self.frame
+
     def key(self, name: str) -> Column:
         return KEYS[name]()
 
@@ -88,6 +94,9 @@ class Cube:
     def __init__(self, cube: DataFrame) -> None:
         self.frame = cube
 
+    def by(self, key: str) -> DataFrame:
+        return self.frame
+
     def key(self, name: str) -> Column:
         return c(name)
 
@@ -104,22 +113,44 @@ class Cube:
         return exact.merged(name)
 
 
-Facts = Rows | Cube
+class Levels(Cube):
+    """Figures kept by brand (``level`` is "brand") and by the bands together ("bands").
+
+    Each level covers all rows, so what has no key is added up from the brands.
+    """
+
+    def __init__(self, levels: DataFrame) -> None:
+        self.levels = levels
+        super().__init__(self.by("brand"))
+
+    def by(self, key: str) -> DataFrame:
+        return self.levels.where(c("level") == ("brand" if key == "brand" else "bands"))
+
+
+Facts = Rows | Cube | Levels
+BANDS = [k for k in KEYS if k != "brand"]
+#: What the reports ask by band, beside counts.
+BAND_VALUES = ["discount_percent", "rating_nonzero"]
 
 
-def build_cube(products: DataFrame) -> DataFrame:
-    return _grouped(Rows(products))
+def build_levels(products: DataFrame) -> DataFrame:
+    facts = Rows(products)
+    brands = products.groupBy("brand").agg(*_figures(facts, FLAGS, VALUES))
+    bands_ = products.groupBy(*(facts.key(k).alias(k) for k in BANDS)).agg(*_figures(facts, (), BAND_VALUES))
+    both = zip(("brand", "bands"), (brands, bands_))
+    by_brand, by_bands = (rows.select(F.lit(level).alias("level"), "*") for level, rows in both)
+    return by_brand.unionByName(by_bands, allowMissingColumns=True)
 
 
-def merge_cubes(cubes: DataFrame) -> DataFrame:
-    """One cube from the union of several."""
-    return _grouped(Cube(cubes))
+def merge_levels(levels: DataFrame) -> DataFrame:
+    """One table of levels from the union of several."""
+    return levels.groupBy("level", *KEYS).agg(*_figures(Cube(levels), FLAGS, VALUES))
 
 
-def _grouped(facts: Facts) -> DataFrame:
-    return facts.frame.groupBy(*(facts.key(k).alias(k) for k in KEYS)).agg(
+def _figures(facts: Facts, flags: Iterable[str], values: Iterable[str]) -> list[Column]:
+    return [
         facts.items().alias("items"),
-        *(facts.flagged(f).alias(f) for f in FLAGS),
+        *(facts.flagged(f).alias(f) for f in flags),
         facts.ratings().alias("total_ratings"),
-        *(column for v in VALUES for column in facts.moments(v).named(v)),
-    )
+        *(column for v in values for column in facts.moments(v).named(v)),
+    ]

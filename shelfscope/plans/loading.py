@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfscope.operators import sinks
 from shelfscope.operators.filters import FilterSpec
 from shelfscope.plans import packs, reports
-from shelfscope.plans.facts import Cube
+from shelfscope.plans.facts import Levels
 from shelfscope.schema import COLUMNS, PRODUCTS
 from shelfscope.session import scratch_dir
 from shelfscope.sources import adhoc
@@ -199,10 +199,10 @@ def stream_refresh_packs(products: DataFrame, specs: packs.Specs) -> DataFrame:
 
 
 def stream_refresh_reports(products: DataFrame, specs: packs.Specs) -> DataFrame:
-    """A report from the running cube."""
+    """A report from the running levels."""
     home, query = _refreshed(products, specs)
-    cube = refresh.latest(products.sparkSession, f"{home}/report_cube", query)
-    return reports.price_bucket_distribution(Cube(cube))
+    levels = refresh.latest(products.sparkSession, f"{home}/report_levels", query)
+    return reports.price_bucket_distribution(Levels(levels))
 
 
 def stream_brand_counts(products: DataFrame) -> DataFrame:

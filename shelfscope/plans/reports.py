@@ -1,6 +1,6 @@
 """The sixteen fixed catalogue reports.
 
-Aggregate reports take ``Facts`` and so run on the rows or on a shared cube;
+Aggregate reports take ``Facts`` and so run on the rows or on shared levels;
 top lists and the sample always read the rows.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfscope.functions import exact
 from shelfscope.operators.shares import with_share
 from shelfscope.operators.toplist import asc, by, desc, sample_rows, top_rows
-from shelfscope.plans.facts import Cube, Facts, Rows
+from shelfscope.plans.facts import Facts, Levels, Rows
 
 c = F.col
 RATED_LIST = ["product_id", "title", "brand", "rating", "rating_total", "price", "mrp", "discount_percent"]
@@ -32,7 +32,7 @@ def kpi_columns(facts: Facts) -> list[Column]:
 
 
 def _by(facts: Facts, key: str, label: str, *figures: Column) -> DataFrame:
-    return facts.frame.groupBy(facts.key(key).alias(label)).agg(*figures)
+    return facts.by(key).groupBy(facts.key(key).alias(label)).agg(*figures)
 
 
 def _biggest_first(rows: DataFrame, label: str) -> DataFrame:
@@ -159,8 +159,8 @@ LISTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 NAMES = [*AGGREGATES, *LISTS]
 
 
-def report(name: str, products: DataFrame, cube: DataFrame | None = None) -> DataFrame:
-    """One report from the rows, or an aggregate one from a cube of them where that is given."""
+def report(name: str, products: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """One report from the rows, or an aggregate one from levels of them where those are given."""
     if name in LISTS:
         return LISTS[name](products)
-    return AGGREGATES[name](Rows(products) if cube is None else Cube(cube))
+    return AGGREGATES[name](Rows(products) if levels is None else Levels(levels))

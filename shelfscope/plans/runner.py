@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor, wait
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import PySparkException
@@ -20,7 +20,7 @@ AT_ONCE = 4  # small jobs that share the cluster while others wait for their las
 
 def collect_all(products: DataFrame) -> dict[str, list]:
     """Rows of every report. All of them are short: bands, single rows and top lists."""
-    return _each(products, lambda name, cube: reports.report(name, products, cube).collect())
+    return _each(products, lambda name, levels: reports.report(name, products, levels).collect())
 
 
 def write_all(products: DataFrame, folder: str, limit: int | None = None) -> dict[str, str]:
@@ -30,9 +30,9 @@ def write_all(products: DataFrame, folder: str, limit: int | None = None) -> dic
     with its message and the others go on.
     """
 
-    def write(name: str, cube: DataFrame) -> str:
+    def write(name: str, levels: DataFrame) -> str:
         try:
-            saved = write_report(reports.report(name, products, cube), f"{folder}/{name}", limit)
+            saved = write_report(reports.report(name, products, levels), f"{folder}/{name}", limit)
             return "saved" if saved else "no rows"
         except PySparkException as error:
             log.error("%s: %s", name, error)
@@ -42,11 +42,19 @@ def write_all(products: DataFrame, folder: str, limit: int | None = None) -> dic
 
 
 def _each(products: DataFrame, work: Callable[[str, DataFrame], object]) -> dict:
-    """Run the work for every report; those from the cube share one scan of the products."""
-    cube = facts.build_cube(products).persist(StorageLevel.MEMORY_AND_DISK)
+    """Run the work for every report, the lists while the levels that the others share are built."""
+    levels = facts.build_levels(products).persist(StorageLevel.MEMORY_AND_DISK)
+    tag = inheritable_thread_target(products.sparkSession)
+
+    def shared(name: str, ready: Future) -> object:
+        wait([ready])
+        return work(name, levels)
+
     try:
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            tagged = inheritable_thread_target(products.sparkSession)(lambda name: work(name, cube))
-            return dict(zip(reports.NAMES, pool.map(tagged, reports.NAMES)))
+            ready = pool.submit(tag(levels.count))
+            jobs = {name: pool.submit(tag(lambda name: work(name, levels)), name) for name in reports.LISTS}
+            jobs |= {name: pool.submit(tag(shared), name, ready) for name in reports.AGGREGATES}
+            return {name: jobs[name].result() for name in reports.NAMES}
     finally:
-        cube.unpersist()
+        levels.unpersist()

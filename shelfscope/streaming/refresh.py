@@ -33,7 +33,7 @@ def start_refresh(
 ) -> StreamingQuery:
     """Per batch of files: append the rows, bring the figures up to date, write the packs.
 
-    Below ``home`` lie ``products``, ``report_cube``, and, by fingerprint of the
+    Below ``home`` lie ``products``, ``report_levels``, and, by fingerprint of the
     specs, ``pack_cube-*``, ``pack_top-*``; further ``packs``; each with a folder
     per batch that had files. All but the first hold the state after that batch,
     so repeating a batch gives the same state again.
@@ -49,7 +49,7 @@ def start_refresh(
         fresh = spark.read.parquet(f"{home}/products/batch_id={batch_id}")
 
         steps = {
-            "report_cube": (facts.build_cube, facts.merge_cubes),
+            "report_levels": (facts.build_levels, facts.merge_levels),
             cube: (lambda rows: packs.pack_cube(rows, specs), packs.merge_pack_cubes),
             top: (lambda rows: packs.pack_top(rows, specs), lambda tops: packs.merge_pack_tops(tops, specs)),
         }

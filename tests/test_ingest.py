@@ -201,9 +201,9 @@ def test_running_state_equals_a_full_pass(spark, products, tmp_path):
 
     table = spark.read.parquet(f"{home}/products").select(COLUMNS)
     assert table.count() == products.count()
-    cube = refresh.latest(spark, f"{home}/report_cube", query)
+    levels = refresh.latest(spark, f"{home}/report_levels", query)
     for name, build in reports.AGGREGATES.items():
-        assert build(facts.Cube(cube)).collect() == reports.report(name, table).collect(), name
+        assert build(facts.Levels(levels)).collect() == reports.report(name, table).collect(), name
     running = packs.assemble(
         *(refresh.latest(spark, f"{home}/{n}", query) for n in refresh.pack_states(specs)), specs
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA
 from shelfscope.plans import dashboard, facts, packs, reports
-from shelfscope.plans.facts import Cube
+from shelfscope.plans.facts import Levels
 from shelfscope.plans.loading import flat_table
 from shelfscope.registry import SPECS, SLICES
 from shelfscope.schema import PRODUCTS
@@ -22,8 +22,8 @@ def one(df):
 
 
 @pytest.fixture(scope="module")
-def cube(products):
-    return facts.build_cube(products).persist()
+def levels(products):
+    return facts.build_levels(products).persist()
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +58,19 @@ def test_markdown_agrees_with_averages(products):
     assert one(reports.report("total_markdown_value", priced))["total_markdown_value"] == pytest.approx(expected, rel=1e-5)
 
 
+def test_levels_hold_a_row_per_brand_and_per_bands(products, levels):
+    brands = products.select("brand").distinct().count()
+    kinds = {r.level: r["count"] for r in levels.groupBy("level").count().collect()}
+    assert kinds["brand"] == brands and 0 < kinds["bands"] <= 600
+
+
+def test_levels_of_parts_add_up(products, levels):
+    parts = [facts.build_levels(products.filter(F.col("style_id") % 3 == k)) for k in range(3)]
+    merged = facts.merge_levels(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    plain = [c for c, kind in merged.dtypes if kind != "double"]
+    assert sorted(merged.select(plain).collect(), key=str) == sorted(levels.select(plain).collect(), key=str)
+
+
 def test_zero_band_is_not_the_no_discount_count(spark):
     values = {"product_id": 1, "price": 999.99, "mrp": 1000.0, "discount_percent": 0.0}
     shelf = spark.createDataFrame([tuple(values.get(n) for n in PRODUCTS.names)], PRODUCTS)
@@ -68,24 +81,24 @@ def test_zero_band_is_not_the_no_discount_count(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], PRODUCTS)
     kpis = {"avg_price": None, "avg_mrp": None, "avg_discount_pct": None, "no_discount_items": None}
-    cube = facts.build_cube(empty)
-    for found in (reports.report("core_kpis", empty), reports.core_kpis(Cube(cube))):
+    levels = facts.build_levels(empty)
+    for found in (reports.report("core_kpis", empty), reports.core_kpis(Levels(levels))):
         assert one(found) == kpis
-    for found in (reports.report("row_counts", empty), reports.row_counts(Cube(cube))):
+    for found in (reports.report("row_counts", empty), reports.row_counts(Levels(levels))):
         assert one(found) == {"products": 0, "brands": 0}
     assert reports.report("brand_concentration_top20", empty).collect() == []
     assert one(packs.pack_core_kpis(empty, SPECS["everything"])) == {k: 0 for k in packs.KPIS}
 
 
 @pytest.mark.parametrize("name", reports.AGGREGATES)
-def test_cube_gives_the_same_report(products, cube, name):
-    assert reports.AGGREGATES[name](Cube(cube)).collect() == reports.report(name, products).collect()
+def test_levels_give_the_same_report(products, levels, name):
+    assert reports.AGGREGATES[name](Levels(levels)).collect() == reports.report(name, products).collect()
 
 
 @pytest.mark.parametrize("name", dashboard.AGGREGATES)
-def test_cube_gives_the_same_panel(products, cube, name):
+def test_levels_give_the_same_panel(products, levels, name):
     expected = dashboard.panel(name, products).collect()
-    assert sorted(dashboard.AGGREGATES[name](Cube(cube)).collect(), key=str) == sorted(expected, key=str)
+    assert sorted(dashboard.AGGREGATES[name](Levels(levels)).collect(), key=str) == sorted(expected, key=str)
 
 
 @pytest.mark.parametrize("name", SPECS)
