@@ -18,12 +18,16 @@ Rules by tag, class and article element help only with what differs from page
 to page and so can't be counted: what names itself page furniture (menus,
 headers and footers outside the article, sidebars, forms, notices, adverts,
 comments) goes, and where a page has an article or main element, its text alone
-is kept. Inside an article only whole names of unmistakable furniture count
-(MARKED_INSIDE); formulas are read as text, without their annotations.
+is kept. A class, id or role says so only if each of its words names furniture or
+layout (``cookie-notice``, ``ad-slot``, not ``side-effects``); inside an article one
+of them must also be unmistakable (INSIDE). Formulas are read as text, without
+their annotations.
 
 Null, empty and blank pages have an empty text. Broken markup is read as far as
 it makes sense: unclosed elements end with their parents, an unclosed script or
-comment takes the rest. Repeated rows are counted once and returned each.
+comment takes the rest, a tag that never ends is text. Time and memory grow with a
+page's length, however its tags nest or break, as each subtree names only the one
+around it. Repeated rows are counted once and returned each.
 Null hosts are a host of their own. Further columns are dropped.
 """
 
@@ -31,7 +35,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +53,8 @@ from shelfscope.llm.words import slices, texts_of
 LEAST_PAGES = 5
 #: Template subtrees that are handed to every task as an array; beyond it they are joined.
 SHARED_KEYS = 4_000_000
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+MARKS = re.compile("[>\"']")
+NAME = re.compile(r"[A-Za-z][^\s/>\"']*")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HEADING = re.compile("h[1-6]")
 TOKEN = re.compile(r"[a-z0-9]+")
@@ -70,9 +74,15 @@ ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
 ENDS_SELF = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-#: Whole names of class, id and role that mark furniture inside an article, where single words of names say nothing.
-MARKED_INSIDE = frozenset("ad ads advert adverts advertisement comments commentlist comment-list disqus_thread share share-buttons newsletter".split())
-#: Words of class, id and role that mark page furniture outside articles.
+#: What a name of class, id or role must also hold to mark furniture inside an article.
+INSIDE = frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies comment comments commentlist disqus share sharing newsletter related".split())
+#: Words that say where or how something stands, and change nothing about what it is.
+LAYOUT = frozenset(
+    "site page main top bottom left right upper lower inner outer primary secondary global local mobile desktop sticky fixed wrapper wrap container content "
+    "box block area section region zone slot unit row col column bar panel list item items link links button buttons form field thread post posts article articles "
+    "stories text icon icons overlay modal message wide small large count toggle".split()
+)
+#: Words of class, id and role that mark page furniture.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal "
     "newsletter subscribe subscription signup login share sharing social related recommended sidebar side widget nav navbar navigation menu menubar "
@@ -82,81 +92,155 @@ MARKED = frozenset(
 
 
 class _Node:
-    __slots__ = ("name", "furniture", "in_article", "holds_article", "parts", "label")
+    __slots__ = ("name", "furniture", "in_furniture", "in_article", "holds_article", "parts", "label")
 
-    def __init__(self, name: str, label: str, furniture: bool, in_article: bool):
+    def __init__(self, name: str, label: str, furniture: bool, in_furniture: bool, in_article: bool):
         self.name, self.label, self.furniture, self.in_article, self.holds_article = name, label, furniture, in_article, False
+        self.in_furniture = furniture or in_furniture
         self.parts: list[object] = []
 
 
-def _furniture(name: str, names: str, words: list[str], hidden: bool, in_article: bool) -> bool:
+class _TagEnds:
+    """Where tags end: the first ``>`` outside quotes. Each mark of the page is looked at once, whatever asks."""
+
+    def __init__(self, page: str):
+        found = list(MARKS.finditer(page))
+        self.places, self.kinds = [m.start() for m in found], [m[0] for m in found]
+        #: Of a quote, the number of the next one of its kind.
+        self.pairs = [-1] * len(found)
+        following = {}
+        for k in range(len(found) - 1, -1, -1):
+            if (kind := self.kinds[k]) != ">":
+                self.pairs[k] = following.get(kind, -1)
+                following[kind] = k
+        self.ends: dict[int, int] = {}
+
+    def after(self, at: int) -> int:
+        """The place of that ``>``, or -1."""
+        k, way = bisect_left(self.places, at), []
+        while True:
+            if k >= len(self.places):
+                end = -1
+            elif k in self.ends:
+                end = self.ends[k]
+            elif self.kinds[k] == ">":
+                end = self.places[k]
+            else:
+                way.append(k)
+                k = self.pairs[k] + 1 or len(self.places)
+                continue
+            for passed in way:
+                self.ends[passed] = end
+            return end
+
+
+def _marks(names: str, inside: bool) -> bool:
+    for name in names.split():
+        words = TOKEN.findall(name)
+        if all(w in MARKED or w in INSIDE or w in LAYOUT or w.isdigit() for w in words) and any(w in (INSIDE if inside else MARKED) for w in words):
+            return True
+    return False
+
+
+def _furniture(name: str, names: str, hidden: bool, in_article: bool) -> bool:
     if name in FURNITURE or hidden:
         return True
     if name == "header" and not in_article:
         return True
-    if in_article:
-        return not HEADING.fullmatch(name) and any(n in MARKED_INSIDE for n in names.split())
-    return name not in ("article", "main", "body", "html") and any(w in MARKED for w in words)
+    if in_article:  # words of a line name themselves comments where code is coloured
+        return name not in INLINE and not HEADING.fullmatch(name) and _marks(names, True)
+    return name not in ("article", "main", "body", "html") and _marks(names, False)
+
+
+class _Open:
+    """The open elements, and where those of each name stand."""
+
+    def __init__(self, root: _Node):
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: _Node) -> None:
+        self.places[node.name].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def innermost(self, names: Iterable[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, names: Iterable[str], within: Iterable[str] = ()) -> None:
+        """Close the innermost element of these names, if one is open and none of ``within`` lies further in."""
+        place = self.innermost(names)
+        if place and place >= self.innermost(within):
+            for node in self.nodes[place:]:
+                self.places[node.name].pop()
+            del self.nodes[place:]
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    for match in re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).finditer(page, at):
+        return page.find(">", match.end()) + 1 or len(page)
+    return len(page)
 
 
 def _tree(page: str) -> tuple[_Node, bool]:
     """The page's elements and texts, and whether it has an article or main element."""
-    root = _Node("html", "", False, False)
-    stack, at, has_article = [root], 0, False
-    add = lambda text: stack[-1].parts.append(html.unescape(text)) if text else None
-
-    def close(index: int) -> None:
-        del stack[index:]
-
-    def close_open(names: frozenset | set, stop: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                close(k)
-                return
-            if stack[k].name in stop:
-                return
-
-    while match := TAG.search(page, at):
-        add(page[at : match.start()])
-        at = match.end()
-        if match["cdata"] is not None:
-            stack[-1].parts.append(match["cdata"])
-        if match["name"] is None:
+    root = _Node("html", "", False, False, False)
+    opened, ends, at, seen, has_article = _Open(root), _TagEnds(page), 0, 0, False
+    add = lambda part: opened.nodes[-1].parts.append(part)
+
+    def text(end: int) -> None:
+        if at < end:
+            add(html.unescape(page[at:end]))
+
+    while (start := page.find("<", seen)) >= 0:
+        seen = start + 1
+        if page.startswith(("<!", "<?"), start):
+            text(start)
+            cdata = page.startswith("<![CDATA[", start)
+            begin, mark = (start + 9, "]]>") if cdata else (start + 4, "-->") if page.startswith("<!--", start) else (start, ">")
+            stop = page.find(mark, begin)
+            if cdata:
+                add(page[begin : stop if stop >= 0 else len(page)])
+            at = seen = stop + len(mark) if stop >= 0 else len(page)
             continue
-        name = match["name"].lower()
-        if match["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    close(k)
-                    break
+        closing = page.startswith("/", seen)
+        begin = seen + closing
+        if not page[begin : begin + 1].isascii() or not page[begin : begin + 1].isalpha() or (stop := ends.after(begin)) < 0:
+            continue
+        text(start)
+        at = seen = stop + 1
+        match = NAME.match(page, begin, stop)
+        name, rest = match[0].lower(), page[match.end() : stop]
+        if closing:
+            opened.close((name,))
             continue
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if not match["rest"].rstrip().endswith("/") or name in ("script", "style"):
-                at = stop.end() if stop else len(page)
-            stack[-1].parts.append(" " if name == "svg" else "" if name.startswith("annotation") else None)
+            if not rest.rstrip().endswith("/") or name in ("script", "style"):
+                at = seen = _raw_end(page, name, at)
+            add(" " if name == "svg" else "" if name.startswith("annotation") else None)
             continue
         if name in ENDS_P:
-            close_open({"p"}, ("div", "section", "article", "main", "td", "th", "li", "blockquote", "body", "figure"))
+            opened.close(("p",), ("div", "section", "article", "main", "td", "th", "li", "blockquote", "body", "figure"))
         if name in ENDS_SELF:
-            close_open(set(ENDS_SELF[name].split()), ("ul", "ol", "dl", "table", "select"))
+            opened.close(ENDS_SELF[name].split(), ("ul", "ol", "dl", "table", "select"))
         if name in VOID:
-            stack[-1].parts.append(None if name in ("br", "hr") else "")
+            add(None if name in ("br", "hr") else "")
             continue
-        found = {a.lower(): (x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(match["rest"])}
+        found = {a.lower(): (x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(rest)}
         names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
-        words = TOKEN.findall(names)
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        inside = stack[-1].in_article
-        node = _Node(name, " ".join([name, *words]), _furniture(name, names, words, hidden, inside), inside or name in ("article", "main"))
-        if name in ("article", "main") and not any(n.furniture for n in stack):
+        around = opened.nodes[-1]
+        main = name in ("article", "main")
+        label = " ".join([name, *TOKEN.findall(names)])
+        node = _Node(name, label, _furniture(name, names, hidden, around.in_article), around.in_furniture, around.in_article or main)
+        if main and not around.in_furniture:
             has_article = True
-            for holder in stack:
+            for holder in reversed(opened.nodes):
+                if holder.holds_article:  # and so do those around it
+                    break
                 holder.holds_article = True
-        stack[-1].parts.append(node)
-        if not match["rest"].endswith("/") or name not in INLINE:
-            stack.append(node)
-    add(page[at:])
+        add(node)
+        if not rest.endswith("/") or name not in INLINE:
+            opened.push(node)
+    text(len(page))
     return root, has_article
 
 
@@ -177,100 +261,114 @@ def _hash(node: _Node, seen: dict[int, int]) -> int:
     return seen[id(node)]
 
 
-def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[list[int]], int, bool]:
-    """The page's own text blocks, each with the hashes of the subtrees around it; those hashes of each block that goes by rule.
+class Blocks(NamedTuple):
+    """A page's own text blocks, those that go by rule, and the subtrees around them.
 
-    Then a hash of all own text (of the page, if it has none), and whether it is an article's.
+    ``at`` and ``ruled`` hold, of each block, the number of the subtree it lies in
+    (-1: none); ``outer`` that of the subtree around each subtree, always a lower one.
     """
+
+    texts: list[str]
+    at: list[int]
+    ruled: list[int]
+    hashes: list[int]
+    outer: list[int]
+    own: int  # a hash of all own text (of the page, if it has none)
+    article: bool
+
+
+def blocks(page: str) -> Blocks:
     root, only_article = _tree(page)
-    hashes: dict[int, int] = {}
-    whole = _hash(root, hashes)
-    found: list[tuple[str, list[int]]] = []
-    ruled: list[list[int]] = []
+    seen: dict[int, int] = {}
+    whole = _hash(root, seen)
+    texts, ats, ruled, hashes, outer = [], [], [], [], []
     pieces: list[str] = []
 
-    def flush(around: tuple[int, ...], by_rule: bool) -> None:
+    def flush(inside: int, by_rule: bool) -> None:
         if text := BLANKS.sub(" ", "".join(pieces)).strip():
             if by_rule:
-                ruled.append(list(around))
+                ruled.append(inside)
             else:
-                found.append((text, list(around)))
+                texts.append(text)
+                ats.append(inside)
         pieces.clear()
 
-    # Each entry: a node, the place in its parts, the subtree hashes around it, whether it lies in furniture.
-    stack: list[list] = [[root, 0, (), False]]
+    # Each entry: a node, the place in its parts, the number of the subtree it lies in, whether it lies in furniture.
+    stack: list[list] = [[root, 0, -1, False]]
     while stack:
-        node, at, around, furniture = stack[-1]
+        node, at, inside, furniture = stack[-1]
         by_rule = furniture or (only_article and not node.in_article)
         if at == len(node.parts):
             stack.pop()
             if node.name not in INLINE:
-                flush(around, by_rule)
+                flush(inside, by_rule)
             continue
         stack[-1][1] += 1
         part = node.parts[at]
         if part is None:
-            flush(around, by_rule)
+            flush(inside, by_rule)
         elif isinstance(part, str):
             pieces.append(part)
         elif part.name == "head" or (part.furniture and part.name in INLINE):
             continue
         else:
             if part.name not in INLINE:
-                flush(around, by_rule)
-            inside = part.in_article and not (furniture or part.furniture)
-            counted = part.name not in INLINE and part.name not in ("body", "html") and not part.holds_article and not (inside and part.name in FLOW)
-            stack.append([part, 0, (*around, hashes[id(part)]) if counted else around, furniture or part.furniture])
-    flush((), only_article)
-    own = xxhash.xxh64_intdigest("\n".join(t for t, _ in found).encode("utf-8", "surrogatepass")) if found else whole
-    return found, ruled, own, only_article
+                flush(inside, by_rule)
+            own_flow = part.in_article and not (furniture or part.furniture) and part.name in FLOW
+            if part.name not in INLINE and part.name not in ("body", "html") and not part.holds_article and not own_flow:
+                hashes.append(seen[id(part)])
+                outer.append(inside)
+                inside = len(hashes) - 1
+            stack.append([part, 0, inside, furniture or part.furniture])
+    flush(-1, only_article)
+    own = xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) if texts else whole
+    return Blocks(texts, ats, ruled, hashes, outer, own, only_article)
 
 
-_PAGES = "page_id long, url string, texts array<string>, around array<array<bigint>>, ruled array<array<bigint>>, own bigint, article boolean"
+_PAGES = "page_id long, url string, texts array<string>, at array<int>, ruled array<int>, hashes array<bigint>, outer array<int>, own bigint, article boolean"
+_KINDS = {"texts": pa.list_(pa.string()), "at": pa.list_(pa.int32()), "ruled": pa.list_(pa.int32()), "hashes": pa.list_(pa.int64()), "outer": pa.list_(pa.int32()), "own": pa.int64(), "article": pa.bool_()}
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hashes are mixed with the host's, so that equal ones are of one host."""
-    nested = pa.list_(pa.list_(pa.int64()))
     for batch in batches:
         for part in slices(batch, "html"):
-            texts, around, ruled, owns, articles = [], [], [], [], []
+            found = []
             for host, page in zip(part.column("host").to_pylist(), texts_of(part, "html").to_pylist(), strict=True):
                 site = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
-                own, other, digest, article = blocks(page)
-                texts.append([t for t, _ in own])
-                around.append([[(h ^ site) - (1 << 63) for h in hs] for _, hs in own])
-                ruled.append([[(h ^ site) - (1 << 63) for h in hs] for hs in other])
-                owns.append(digest - (1 << 63))
-                articles.append(article)
-            arrays = [pa.array(texts, pa.list_(pa.string())), pa.array(around, nested), pa.array(ruled, nested), pa.array(owns, pa.int64()), pa.array(articles, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *arrays], names=["page_id", "url", "texts", "around", "ruled", "own", "article"])
-
-
-def _hit(lists: pa.Array, keys: np.ndarray) -> np.ndarray:
-    """Of each block of each page, in order: whether a subtree around it is template."""
-    blocks_of = lists.flatten()
-    values = np.asarray(blocks_of.flatten(), dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    hits = np.concatenate([[0], np.cumsum(keys[at] == values)]) if len(keys) else np.zeros(len(values) + 1, np.int64)
-    sizes = np.asarray(blocks_of.value_lengths(), dtype=np.int64)
-    ends = np.cumsum(sizes)
-    return hits[ends] > hits[ends - sizes]
+                read = blocks(page)
+                found.append(read._replace(hashes=[(h ^ site) - (1 << 63) for h in read.hashes], own=read.own - (1 << 63)))
+            arrays = [pa.array([getattr(b, c) for b in found], kind) for c, kind in _KINDS.items()]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *arrays], names=["page_id", "url", *_KINDS])
 
 
 _MARKED = "page_id long, url string, texts array<string>, article boolean, own_hit array<boolean>, n_ruled int"
 
 
 def _marker(keys):
-    """Marks the own blocks that lie in template, and counts those that go by rule anyway."""
+    """Marks the own blocks that lie in template, and counts those that go by rule anyway.
+
+    Template are the sorted ``keys`` (a broadcast), or each page's own ``gone`` where they are joined.
+    """
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = (_hit(batch.column(c), keys.value) for c in ("around", "ruled"))
-            texts, ruled = batch.column("texts"), np.asarray(batch.column("ruled").value_lengths(), dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.asarray(texts.value_lengths(), dtype=np.int64))])
-            total, at = np.concatenate([[0], np.cumsum(other)]), np.cumsum(ruled)
-            arrays = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own)), pa.array(total[at] - total[at - ruled], pa.int32())]
+            own_hit, n_ruled = [], []
+            for row in range(batch.num_rows):
+                values = np.asarray(batch.column("hashes")[row].values, dtype=np.int64)
+                if keys is not None:
+                    template = keys.value
+                else:
+                    template = np.sort(np.array(batch.column("gone")[row].as_py() or [], dtype=np.int64))
+                hit = [False] * len(values)
+                if len(template) and len(values):
+                    hit = (template[np.minimum(np.searchsorted(template, values), len(template) - 1)] == values).tolist()
+                for k, around in enumerate(batch.column("outer")[row].as_py()):
+                    hit[k] = hit[k] or (around >= 0 and hit[around])
+                hit.append(False)  # of what lies in no subtree, -1
+                own_hit.append([hit[k] for k in batch.column("at")[row].as_py()])
+                n_ruled.append(sum(hit[k] for k in batch.column("ruled")[row].as_py()))
+            arrays = [pa.array(own_hit, pa.list_(pa.bool_())), pa.array(n_ruled, pa.int32())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "texts", "article")), *arrays], names=["page_id", "url", "texts", "article", "own_hit", "n_ruled"])
 
     return marked
@@ -286,7 +384,7 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of().alias("host"), F.col("html").cast("string").alias("html")
     )
     read = stored(rows.mapInArrow(_read, _PAGES).withColumn("row", F.monotonically_increasing_id()), "blocks")
-    inside = read.select("row", "own", F.explode(F.array_distinct(F.flatten(F.concat("around", "ruled")))).alias("hash"))
+    inside = read.select("row", "own", F.explode(F.array_distinct("hashes")).alias("hash"))
     often = inside.select("hash", "own").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     template = stored(often.where(F.col("n") >= least_pages).select("hash"), "template")
     if template.count() <= SHARED_KEYS:
@@ -294,8 +392,7 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
         marked = read.mapInArrow(_marker(keys), _MARKED)
     else:
         gone = inside.join(template, "hash").groupBy("row").agg(F.collect_set("hash").alias("gone"))
-        hit = lambda blocks: F.transform(blocks, lambda hs: F.coalesce(F.arrays_overlap(hs, F.col("gone")), F.lit(False)))
-        marked = read.join(gone, "row", "left").withColumns({"own_hit": hit("around"), "n_ruled": F.size(F.filter(hit("ruled"), lambda h: h))})
+        marked = read.join(gone, "row", "left").mapInArrow(_marker(None), _MARKED)
     left = F.transform(F.filter(F.arrays_zip("texts", "own_hit"), lambda b: ~b["own_hit"]), lambda b: b["texts"])
     kept = F.when(F.col("article") & (F.size(left) == 0), F.col("texts")).otherwise(left)
     return (

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import duckdb
 from llm_samples import DOCS, SMALL, odd  # noqa: F401
@@ -91,6 +92,43 @@ def test_articles_keep_text_under_common_names(spark):
     assert html_templates.extracted(pages).head().text == "Head\na\nb\nc\nso E=m holds"
 
 
+def test_hostile_pages_take_time_by_their_length():
+    n = 50_000
+    pages = {
+        "<a " * 350_000: None,
+        "x <p title='" + "y" * 1_000_000: None,
+        "<a<b" * 250_000: None,
+        '<a "b" ' * 150_000 + "'": None,
+        "</b>" * 250_000 + "end": ["end"],
+        "<div>" * n + "deep": ["deep"],
+        "<div>t" * n: ["t"] * n,
+        "<p><td>" + "<h1>" * n + "deep": ["deep"],
+        "<span>" * n + "</b>" * n + "<p>a": ["a"],
+        "<article>" * n + "deep": ["deep"],
+        "<svg/>" * 150_000 + "end": ["end"],
+        "<title></title " * 100_000 + "end": [],
+    }
+    for page, texts in pages.items():
+        begin = time.perf_counter()
+        found = html_templates.blocks(page)
+        assert time.perf_counter() - begin < 10, page[:20]
+        assert found.texts == ([" ".join(page.split())] if texts is None else texts), page[:20]
+        assert len(found.hashes) == len(found.outer) <= n + 2 and all(o < k for k, o in enumerate(found.outer))
+
+
+def test_names_count_whole():
+    inside = "<article><p>a</p>{}<p>z</p></article>"
+    for name in ("comment", "ad-slot", "cookie-notice", "related-posts", "comment-list", "x ads", "comment-12"):
+        assert html_templates.blocks(inside.format(f"<div class='{name}'>b</div>")).texts == ["a", "z"], name
+    for name in ("related-work", "notice-of-motion", "search-results", "social-science", "post-header"):
+        assert html_templates.blocks(inside.format(f"<div id='{name}'>b</div>")).texts == ["a", "b", "z"], name
+    assert html_templates.blocks(inside.format("<pre>x <span class='token comment'># y</span></pre>")).texts == ["a", "x # y", "z"]
+    for name in ("side-effects", "search-results", "header-bidding-study"):
+        assert html_templates.blocks(f"<section class='{name}'>b</section>").texts == ["b"], name
+    for name in ("site-footer", "sidebar left", "main-nav", "cookie-banner", "top-bar-menu"):
+        assert html_templates.blocks(f"<p>a</p><div class='{name}'>b</div>").texts == ["a"], name
+
+
 def test_url_rules_and_trees(spark):
     urls = [None, "no scheme", "x\nhttp://A.B.EXAMPLE.org/es/1", "http://example.org/en/12", "http://sub.ORG/x", "https://q.com/de/?a#b", "https://q.com/fr/1", "http://notexample.org/es/", "ftp://z.net", "http://org"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, label string")
