@@ -255,22 +255,24 @@ def _ends(*edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """Of ``described`` rows: n_links by key, and links (a, b) enough to connect what is linked."""
     named = rows.where("key IS NOT NULL")
-    banded = named.select("key", "bands").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "value"))
+    banded = named.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("value"))  # a value tells its band
     # A band value found once leads nowhere; counting first keeps those rows out of the join.
-    shared = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
-    met = stored(banded.join(shared, ["band", "value"]), "bands")
+    shared = banded.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
+    met = stored(banded.join(shared, "value"), "bands")
 
     crowds = stored(met.where(F.col("n") > FEW).select(F.col("key").alias("a"), F.col("least").alias("b")).where("a <> b").distinct(), "crowds")
     inside = _ends(crowds)
     clusters = stored(components(inside.select("key", F.struct("key").alias("label")), crowds).select("key", F.col("label.key").alias("cluster")), "clusters")
 
-    few = met.where(F.col("n") <= FEW).select("band", "value", "key")
-    pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), ["band", "value"]).where("a < b").select("a", "b").distinct()
+    few = met.where(F.col("n") <= FEW).select("value", "key")
+    pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), "value").where("a < b").select("a", "b").distinct()
     own = lambda c: clusters.select(F.col("key").alias(c), F.col("cluster").alias(f"cluster_{c}"))
     apart = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where("cluster_a IS NULL OR cluster_b IS NULL OR cluster_a <> cluster_b")
     apart = stored(apart.select("a", "b"), "pairs")
 
-    values = stored(named.select("key", "digest", "signature").join(_ends(apart, inside), "key", "left_semi").dropDuplicates(["key"]), "values")
+    # Signatures of texts that met none need not move where the others are few.
+    ends = small(stored(_ends(apart, inside), "ends"))
+    values = stored(named.select("key", "digest", "signature").join(ends, "key", "left_semi").dropDuplicates(["key"]), "values")
     side = lambda t, name, c: t.select(F.col("key").alias(name), F.col(c).alias(f"{c}_{name}"))
     held = apart.join(side(values, "a", "signature"), "a").join(side(values, "b", "signature"), "b")
     likely = stored(held.mapInArrow(_pruned(threshold, tolerance), "a binary, b binary"), "likely")
