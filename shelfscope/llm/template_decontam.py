@@ -13,7 +13,9 @@ count whatever their slots. So a question asked with other numbers and names is
 caught, and a text that merely has the same shape is not. A text is
 contaminated by an item if its occurrences cover at least half of the item's
 windows, or if it has fifty words in a row from the item, word for word. Items
-of fewer than eight words are one window, to be found word for word.
+of fewer than eight words are one window, to be found word for word; items of
+fewer than twelve letters and digits say nothing and are left out. Very long
+texts are hashed word by word once, in memory that grows with their words.
 
 Only DataFrame functions are used. Windows with fewer than four plain words say
 too little and count only where all words are equal. A text in another case
@@ -27,6 +29,8 @@ dropped by ``judged``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,8 @@ from shelfscope.llm.tables import small, stored
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
 #: So many words in a row, word for word, are contamination whatever their share of the item.
 RUN = 50
+#: Items with fewer letters and digits ("yes", "the") would be found in nearly every text; they are left out.
+LEAST_CHARS = 12
 NUMBER, UNIT, NAME = "#number", "#unit", "#name"
 # Words that count as units when they follow a number.
 UNITS = (
@@ -68,15 +74,22 @@ def _bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _windows(words: Column, width: int = WINDOW) -> Column:
-    """Place and hash of all windows."""
+def _hashed(words: Column) -> Column:
+    """A hash of each word; the windows are made of these, so that no word is copied or hashed twice."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _windows(hashes: str, width: int = WINDOW) -> Column:
+    """The hash of the window that begins at each word, from the column of word hashes; NULL where the text ends before."""
+    n = F.size(hashes)
+    if width != WINDOW:
+        own = F.col(hashes)
+        return F.transform(own, lambda x, i: F.when(i + width <= n, F.xxhash64(x, *(F.get(own, i + k) for k in range(1, width)))))
 
-    def hashed(own: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(own) - F.lit(width))
-        return F.when(F.size(own) >= width, F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(own, i + 1, width)).alias("hash"))))
+    def doubled(own: Column, by: int) -> Column:
+        return F.transform(own, lambda x, i: F.when(i + 2 * by <= n, F.xxhash64(x, F.get(own, i + by))))
 
-    none = F.array().cast("array<struct<at:int,hash:bigint>>")
-    return F.coalesce(_bound(words, hashed), none)
+    return _bound(_bound(doubled(F.col(hashes), 1), lambda two: doubled(two, 2)), lambda four: doubled(four, 4))
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -87,15 +100,20 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 def _item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The items' windows (hash, item, place) and the items (item: a hash of item_id and text, item_id, kinds, low, telling: the places of windows with enough plain words)."""
-    raw = items.select(F.col("item_id").cast("long").alias("item_id"), plain("text").alias("raw")).where("raw <> ''").distinct()
+    telling_text = F.length(F.regexp_replace("raw", " ", "")) >= LEAST_CHARS
+    raw = items.select(F.col("item_id").cast("long").alias("item_id"), plain("text").alias("raw")).where(telling_text).distinct()
     cut = raw.select("item_id", F.xxhash64("item_id", "raw").alias("item"), _split(template(F.col("raw"))).alias("kinds"), _split(F.lower("raw")).alias("low"))
     slots = lambda w: F.filter(w, lambda x: ~x.startswith("#"))
     starts = F.sequence(F.lit(0), F.size("kinds") - F.lit(WINDOW))
     telling = F.when(F.size("kinds") >= WINDOW, F.filter(starts, lambda p: F.size(slots(F.slice("kinds", p + 1, WINDOW))) >= LITERALS))
     whole = stored(cut.withColumn("telling", F.coalesce(telling, F.array().cast("array<int>"))), "items")
-    held = F.filter(_windows(F.col("kinds")), lambda w: F.array_contains("telling", w["at"]))
-    short = F.when(F.size("low") < WINDOW, F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("low").alias("hash"))))
-    windows = whole.select("item", F.inline(F.concat(held, F.coalesce(short, _windows(F.col("low")))))).select("hash", "item", F.col("at").alias("place"))
+    hashed = whole.select("item", "telling", _hashed(F.col("kinds")).alias("kinds"), _hashed(F.col("low")).alias("low"))
+    held = hashed.select("item", "telling", F.posexplode(_windows("kinds")).alias("place", "hash")).where(F.array_contains("telling", F.col("place")))
+    parts = [held.select("hash", "item", "place"), hashed.select("item", F.posexplode(_windows("low")).alias("place", "hash")).select("hash", "item", "place")]
+    for width in range(1, WINDOW):
+        short = hashed.where(F.size("low") == width)
+        parts.append(short.select(F.element_at(_windows("low", width), 1).alias("hash"), "item", F.lit(0).alias("place")))
+    windows = reduce(DataFrame.union, parts).where("hash IS NOT NULL")
     return stored(windows.distinct(), "item-windows"), whole
 
 
@@ -141,8 +159,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = _keys(docs)
     raw = keyed.select("doc_id", "digest", plain("text").alias("raw"))
     widths = [r[0] for r in whole.select(F.size("low")).where(F.size("low") < WINDOW).distinct().collect()]
-    found = F.concat(_windows(_split(template(F.col("raw")))), *(_windows(_split(F.lower("raw")), n) for n in (WINDOW, *sorted(widths))))
-    met = raw.select("doc_id", "digest", F.inline(found)).join(small(windows), "hash")
+    hashed = raw.select("doc_id", "digest", _hashed(_split(template(F.col("raw")))).alias("kinds"), _hashed(_split(F.lower("raw"))).alias("low"))
+    found = F.concat(_windows("kinds"), *(_windows("low", n) for n in (WINDOW, *sorted(widths))))
+    spread = hashed.select("doc_id", "digest", F.size("low").alias("n"), F.posexplode(found).alias("pos", "hash"))
+    met = spread.select("doc_id", "digest", (F.col("pos") % F.col("n")).alias("at"), "hash").join(small(windows), "hash")
     shifts = stored(met.select("doc_id", "digest", "item", (F.col("at") - F.col("place")).alias("shift")).distinct(), "occurrences")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
     texts = stored(shifts.select("doc_id", "digest").distinct(), "likely")

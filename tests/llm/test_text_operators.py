@@ -5,6 +5,9 @@ import re
 
 import corpus_pipeline
 from llm_samples import DOCS, SMALL, documents, odd  # noqa: F401
+import pytest
+from pyspark.sql import functions as F
+
 from shelfscope.llm import ngram_jaccard, quality_llr, queries, template_decontam
 
 
@@ -165,6 +168,26 @@ def test_decontamination_finds_short_unnamed_and_long_items(spark):
     assert template_decontam.judged(docs.limit(0), table).count() == 0 and template_decontam.judged(docs, table.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_leaves_out_items_that_say_nothing(spark):
+    items = spark.createDataFrame([(1, "the"), (2, "Yes, no."), (3, "a bc def ghi jk l"), (4, "what is 3 plus 4")], "item_id long, text string")
+    texts = ["the answer is yes no", "A bc; def ghi jk l", "so what is 3 plus 4", "what is 3 plus", None]
+    rows = {r.doc_id: r.item_ids for r in template_decontam.judged(documents(spark, texts), items).collect()}
+    assert [rows[i] for i in range(5)] == [[], [3], [4], [], []]
+
+
+@pytest.mark.parametrize("width", [1, 3, 7, 8])
+def test_window_hashes_tell_windows_apart(spark, width):
+    rng = random.Random(width)
+    rows = [(k, [rng.choice("ab") for _ in range(n)]) for k, n in enumerate([0, 1, 7, 8, 9, 40, 300])]
+    hashed = spark.createDataFrame(rows, "k int, words array<string>").select("words", template_decontam._hashed(F.col("words")).alias("h"))
+    seen = {}
+    for words, found in hashed.select("words", template_decontam._windows("h", width)).collect():
+        assert [x is None for x in found] == [i + width > len(words) for i in range(len(words))]
+        for i, x in enumerate(found[: max(0, len(words) - width + 1)]):
+            assert seen.setdefault(tuple(words[i : i + width]), x) == x
+    assert len(set(seen.values())) == len(seen) > 1
+
+
 def test_decontamination_query_finds_every_planted_item(spark):
     docs = {r.doc_id: " ".join(re.findall(r"[^\W_]+", r.text)).lower() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     items = {r.item_id: " ".join(re.findall(r"[^\W_]+", r.text)).lower() for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
