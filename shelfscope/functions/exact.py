@@ -1,29 +1,34 @@
 """Sums and averages of DOUBLE columns that do not depend on the order of rows.
 
 Adding doubles gives a result that changes with the partitioning, and at 10^12
-rows the change reaches the second decimal. Values are therefore added up as
-whole numbers and whole millionths, both BIGINT, which costs about as much as
-adding doubles. Where a group holds a value too large for that (or an infinity),
-or a sum leaves 64 bits, the plain double sum answers instead: no row is lost.
+rows the change reaches the second decimal. Each value is therefore split by
+size into four whole numbers (lanes), all added up as BIGINT: millions, ones,
+millionths and millionths of these. A lane holds less than a million per row,
+so no sum of fewer than 9 * 10^12 rows leaves 64 bits. Values are taken at what
+a double tells for certain: twelve decimals below 1,000, six below 10^9, two
+beyond. Those from 10^12 on, infinities and NaN have no lanes; their plain sum
+is added to that of the others.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
 
-SCALE = 1_000_000
-PEAK = 1e9  # below this a double still tells millionths apart
+MILLION = 1e6
+FINE, MEDIUM, FAR = 1e3, 1e9, 1e12  # up to these: twelve decimals, six, two
 
 
 class Moments(NamedTuple):
-    """What has to be kept of a column so that groups can be merged later."""
+    """What has to be kept of a column so that groups can be merged later: four lanes, what has none, the number of values."""
 
+    mega: Column
     whole: Column
-    rest: Column
-    total: Column
-    peak: Column
+    micro: Column
+    pico: Column
+    far: Column
     n: Column
 
     def named(self, prefix: str) -> list[Column]:
@@ -32,43 +37,51 @@ class Moments(NamedTuple):
 
 def moments(x: Column) -> Moments:
     """Aggregates over raw rows."""
-    near = F.when(F.abs(x) < PEAK, x)
-    whole = F.rint(near)
-    rest = F.rint((near - whole) * SCALE)
-    return _checked(F.try_sum(whole.cast("bigint")), F.try_sum(rest.cast("bigint")), F.sum(x), F.max(F.abs(x)), F.count(x))
+    size = F.abs(x)
+    near = F.when(size < FAR, x)
+    ones = near % MILLION  # without rounding, like the differences below
+    whole = F.rint(ones)
+    rest = ones - whole
+    micro = F.when(size < MEDIUM, F.rint(rest * MILLION)).otherwise(F.rint(rest * 100) * 10_000)
+    pico = F.when(size < FINE, F.rint((rest - micro / MILLION) * MILLION * MILLION))
+    lanes = ((near - ones) / MILLION, whole, micro, pico)
+    return Moments(*(F.sum(lane.cast("bigint")) for lane in lanes), F.sum(F.when(~(size < FAR), x)), F.count(x))
 
 
 def merged(prefix: str) -> Moments:
     """Aggregates over rows that already carry the moments of ``prefix``."""
-    whole, rest, total, peak, n = (F.col(f"{prefix}_{f}") for f in Moments._fields)
-    return _checked(F.try_sum(whole), F.try_sum(rest), F.sum(total), F.max(peak), F.sum(n))
-
-
-def _checked(whole: Column, rest: Column, total: Column, peak: Column, n: Column) -> Moments:
-    """A sum that did not fit shows as an infinite peak, also after merging."""
-    lost = (n > 0) & (whole.isNull() | rest.isNull())
-    return Moments(whole, rest, total, F.when(lost, F.lit(float("inf"))).otherwise(peak), n)
+    return Moments(*(F.sum(f"{prefix}_{f}") for f in Moments._fields))
 
 
 def mean(m: Moments, digits: int | None = 2) -> Column:
     """Average as DOUBLE, NULL without values; ``digits=None`` leaves it unrounded."""
     n = F.nullif(m.n, F.lit(0))
-    plain = m.total / n
+    plain = _added(m) / n
     if digits is None:
-        return F.when(m.peak < PEAK, (_units(m) / F.lit(SCALE)).cast("double") / n).otherwise(plain)
-    exact = F.round(_units(m) / (n.cast("decimal(20,0)") * SCALE), digits).cast("double")
-    return F.when(m.peak < PEAK, exact).otherwise(F.round(plain, digits))
+        return plain
+    exact = F.round(_near(m) / n.cast("decimal(20,0)"), digits).cast("double")
+    return F.when(m.far.isNull() & exact.isNotNull(), exact).otherwise(F.round(plain, digits))
 
 
 def total(m: Moments, digits: int = 2) -> Column:
     """Sum as DOUBLE rounded half up, NULL without values."""
-    exact = F.round(_units(m) / F.lit(SCALE), digits).cast("double")
-    return F.when(m.peak < PEAK, exact).otherwise(F.round(m.total, digits))
+    exact = F.round(_near(m), digits).cast("double")
+    return F.when(m.far.isNull() & exact.isNotNull(), exact).otherwise(F.round(_added(m), digits))
+
+
+def _near(m: Moments) -> Column:
+    """The lanes as a decimal; NULL without values or from 10^24 on."""
+    mega, whole, micro, pico = (F.coalesce(lane, F.lit(0)).cast("decimal(20,0)") for lane in m[:4])
+    large = (mega * F.lit(int(MILLION)) + whole).try_cast("decimal(36,12)")
+    small = micro * F.lit(Decimal("0.000001")) + pico * F.lit(Decimal("0.000000000001"))
+    return F.when(m.n > 0, large + small)
 
 
-def _units(m: Moments) -> Column:
-    """The sum in whole millionths."""
-    return (m.whole.cast("decimal(20,0)") * SCALE + m.rest).cast("decimal(30,0)")
+def _added(m: Moments) -> Column:
+    """All of it as DOUBLE. Lanes are whole numbers, so their order does not matter here either."""
+    mega, whole, micro, pico = (F.coalesce(lane, F.lit(0)).cast("double") for lane in m[:4])
+    lanes = F.coalesce(_near(m).cast("double"), mega * MILLION + whole + (micro / MILLION + pico / MILLION / MILLION))
+    return F.when(m.n > 0, lanes + F.coalesce(m.far, F.lit(0.0)))
 
 
 def avg(name: str, digits: int | None = 2) -> Column:

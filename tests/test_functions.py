@@ -118,16 +118,40 @@ def test_merged_moments_equal_direct_ones(spark):
         assert merged == pytest.approx(split.agg(exact.avg("x")).first()[0], rel=1e-12)
 
 
-def test_sums_that_leave_64_bits_fall_back(spark):
+def test_sums_beyond_the_decimal_range(spark):
+    big = 4 * 10**18
     cube = spark.createDataFrame(
-        [("a", 9 * 10**18, 0, 9e18, 5.0, 9 * 10**9)] * 2 + [("b", None, None, None, None, 0), ("b", 3, 250_000, 3.25, 2.0, 2)],
-        "k string, x_whole long, x_rest long, x_total double, x_peak double, x_n long",
+        [("a", big, 0, 0, None, None, big)] * 2 + [("b", None, None, None, None, None, 0), ("b", 0, 3, 250_000, 0, None, 2)],
+        "k string, x_mega long, x_whole long, x_micro long, x_pico long, x_far double, x_n long",
     )
     once = cube.groupBy("k").agg(*exact.merged("x").named("x"))
     for frame in (cube, once):
         got = {r.k: (r.m, r.t) for r in frame.groupBy("k").agg(
             exact.mean(exact.merged("x")).alias("m"), exact.total(exact.merged("x")).alias("t")).collect()}
-        assert got == {"a": (1e9, 1.8e19), "b": (1.63, 3.25)}
+        assert got == {"a": (1e6, 8e24), "b": (1.63, 3.25)}
+
+
+@pytest.mark.parametrize("values", [
+    [2e9, 4e-7, 4e-7, -2e9, 10.1, 0.2],
+    [999_999_999_999.25, -0.75, 1e-12, 123456.789, -999.000001, 5e11],
+    [4e-7, 4e-7],
+])
+def test_large_and_fine_values_share_one_arithmetic(spark, values):
+    known = sum(Fraction(str(v)) for v in values) * 50
+    rows = spark.createDataFrame([(v, i % 4) for i in range(50) for v in values], "x double, k int")
+    m = exact.moments(F.col("x"))
+    both = lambda m: [exact.total(m, 12).alias("t"), exact.mean(m, None).alias("m")]
+    seen = {tuple(rows.repartition(p).agg(*both(m)).first()) for p in (1, 3, 7, 16)}
+    levels = rows.repartition(5).groupBy("k").agg(*m.named("x"))
+    seen.add(tuple(levels.agg(*both(exact.merged("x"))).first()))
+    assert seen == {(float(known), float(known) / (50 * len(values)))}
+
+
+def test_values_without_lanes_are_added_to_the_others(spark):
+    rows = spark.createDataFrame([("a", 2e12), ("a", 1.5), ("n", float("nan")), ("n", 1.0), ("z", -0.0)], "k string, x double")
+    got = {r.k: (r.t, r.m) for r in rows.groupBy("k").agg(
+        exact.total(exact.moments(F.col("x"))).alias("t"), exact.avg("x").alias("m")).collect()}
+    assert got["a"] == (2000000000001.5, 1000000000000.75) and math.isnan(got["n"][0]) and got["z"] == (0.0, 0.0)
 
 
 def test_negative_and_fine_values(spark):
