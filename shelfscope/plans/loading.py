@@ -178,6 +178,19 @@ def stream_ingest_by_name(products: DataFrame) -> DataFrame:
     return spark.read.parquet(table).select(COLUMNS)
 
 
+def stream_ingest_unique(products: DataFrame) -> DataFrame:
+    """All products in files that come twice, the second time in another column order; each goes in once."""
+    spark = products.sparkSession
+    source, table = scratch_dir(spark, "csv"), scratch_dir(spark, "table")
+    write_csv(products, source)
+    write_csv(products.select(COLUMNS[::-1]), source)
+    files = ingest.stream_files(spark, source)
+    ingest.start_ingest_by_name(
+        files, table, scratch_dir(spark, "checkpoint"), unique="product_id"
+    ).awaitTermination()
+    return spark.read.parquet(table).select(COLUMNS)
+
+
 def _refreshed(products: DataFrame, specs: packs.Specs) -> tuple[str, StreamingQuery]:
     """All products in two loads, so that the second is added to a state."""
     spark = products.sparkSession
@@ -289,6 +302,7 @@ LOADING: dict[str, Callable[[DataFrame], DataFrame]] = {
         adhoc_select_json,
         stream_ingest,
         stream_ingest_by_name,
+        stream_ingest_unique,
         stream_brand_counts,
     )
 }

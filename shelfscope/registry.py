@@ -34,6 +34,12 @@ FILTERS: dict[str, tuple[FilterSpec, str]] = {
     "filter_min_rating": (FilterSpec(min_rating=3.5), "rating >= 3.5"),
     "filter_max_rating": (FilterSpec(max_rating=2.5), "rating <= 2.5"),
     "filter_min_reviews": (FilterSpec(min_reviews=25), "rating_total >= 25"),
+    "filter_empty_values": (
+        FilterSpec.from_dict(
+            {"brands": [], "exclude_brands": None, "min_discount": 0, "max_rating": "", "title_ilike": "", "price_between": (), "colour": "red"}
+        ),
+        "discount_percent >= 0",
+    ),
     "filter_conjunction": (
         FilterSpec(exclude_brands=["Brand#2"], max_discount=42, title_ilike="red%", min_rating=1, min_reviews=3),
         "brand NOT IN ('Brand#2') AND discount_percent <= 42 AND title ILIKE 'red%' AND rating >= 1 AND rating_total >= 3",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfscope.operators.sinks import overwrite_batch
@@ -62,17 +62,48 @@ def batch_paths(batch: DataFrame) -> Sequence[str]:
 
 
 def start_ingest_by_name(
-    files: DataFrame, table: str, checkpoint: str, trigger: dict | None = None
+    files: DataFrame, table: str, checkpoint: str, trigger: dict | None = None, unique: str | None = None
 ) -> StreamingQuery:
     """Load each batch of files by their own headers into a folder of its own.
 
-    A batch that is repeated after a failure overwrites its folder.
+    A batch that is repeated after a failure overwrites its folder. With the
+    name of a key column in ``unique``, only rows that are new go in, see ``unseen``.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         paths = batch_paths(batch)
-        if paths:
-            overwrite_batch(read_catalog(batch.sparkSession, paths), table, batch_id)
+        if not paths:
+            return
+        rows = read_catalog(batch.sparkSession, paths)
+        if unique is None:
+            overwrite_batch(rows, table, batch_id)
+            return
+        rows = rows.persist()
+        try:
+            overwrite_batch(unseen(rows, table, batch_id, unique), table, batch_id)
+        finally:
+            rows.unpersist()
 
     writer = files.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or DRAIN)).start()
+
+
+def unseen(rows: DataFrame, table: str, batch_id: int, key: str) -> DataFrame:
+    """The rows whose key no earlier batch of the table holds, one for each key.
+
+    Of rows with the same key the first in column order stays. Rows without a
+    key cannot be told apart and all stay. Of the table only the key column is
+    read, and of that only row groups within the span of the batch's keys.
+    Later folders are left out, so a repeated batch finds the same rows new.
+    """
+    span = rows.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    keyed = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
+    single = keyed.agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
+    try:
+        earlier = rows.sparkSession.read.parquet(table)
+    except AnalysisException:
+        earlier = None
+    if earlier is not None and span.low is not None:
+        within = (F.col("batch_id") < batch_id) & F.col(key).between(span.low, span.high)
+        single = single.join(earlier.where(within).select(key), key, "left_anti")
+    return single.select(rows.columns).unionByName(rows.where(F.col(key).isNull()))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfscope.operators.filters import FilterSpec
-from shelfscope.operators.sinks import append_products, write_report
+from shelfscope.operators.sinks import append_products, overwrite_batch, write_report
 from shelfscope.plans import facts, packs, reports
 from shelfscope.plans.loading import write_csv
 from shelfscope.registry import SPECS
@@ -284,3 +284,20 @@ def test_only_files_with_quoted_line_breaks_are_read_whole(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(1, 'a "quoted" word'), (2, "b"), (3, "two\nlines"), (5, "x,\n"), (6, '5" screen'), (7, "c")]
     plan = catalog_csv.read_catalog(spark, [plain, broken])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan csv") == 2
+
+
+def test_unique_load_takes_each_key_once(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = lambda *found: spark.createDataFrame(found, "product_id long, title string")
+    batches = [
+        rows((1, "b"), (1, "a"), (2, None), (None, "x"), (None, "x")),
+        rows((2, "again"), (3, "c"), (None, "x")),
+        rows(),
+        rows((1, "late"), (3, "c")),
+    ]
+    expected = [[(1, "a"), (2, None), (None, "x"), (None, "x")], [(3, "c"), (None, "x")], [], []]
+    for turn in (*range(4), 1, 0):  # the last two are repeated
+        overwrite_batch(ingest.unseen(batches[turn], table, turn, "product_id"), table, turn)
+        got = spark.read.schema("product_id long, title string").parquet(f"{table}/batch_id={turn}").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(expected[turn], key=str)
+    assert "batch_id" in spark.read.parquet(table).columns
