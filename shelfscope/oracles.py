@@ -295,7 +295,7 @@ LOADING = {
       FROM products GROUP BY brand""",
     "stream_ingest": RELOADED,
     "stream_ingest_by_name": RELOADED,
-    "stream_ingest_unique": RELOADED,
+    "stream_ingest_unique": "SELECT DISTINCT product_id, CAST(1 AS BIGINT) AS n_rows FROM products",
     "stream_brand_counts": f"""SELECT nullif(brand, '') AS brand, {DISCOUNT_BAND} AS band, COUNT(*) AS items
       FROM products GROUP BY 1, 2""",
 }

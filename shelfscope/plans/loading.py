@@ -179,7 +179,11 @@ def stream_ingest_by_name(products: DataFrame) -> DataFrame:
 
 
 def stream_ingest_unique(products: DataFrame) -> DataFrame:
-    """All products in files that come twice, the second time in another column order; each goes in once."""
+    """All products in files that come twice, the second time in another column order: rows per key in the table.
+
+    The data hold different products with the same key; which of them stays
+    depends on the file that is taken first, so only keys are returned.
+    """
     spark = products.sparkSession
     source, table = scratch_dir(spark, "csv"), scratch_dir(spark, "table")
     write_csv(products, source)
@@ -188,7 +192,7 @@ def stream_ingest_unique(products: DataFrame) -> DataFrame:
     ingest.start_ingest_by_name(
         files, table, scratch_dir(spark, "checkpoint"), unique="product_id"
     ).awaitTermination()
-    return spark.read.parquet(table).select(COLUMNS)
+    return spark.read.parquet(table).groupBy("product_id").agg(F.count("*").alias("n_rows"))
 
 
 def _refreshed(products: DataFrame, specs: packs.Specs) -> tuple[str, StreamingQuery]:
