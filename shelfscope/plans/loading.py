@@ -161,7 +161,7 @@ def stream_ingest(products: DataFrame) -> DataFrame:
     spark = products.sparkSession
     source, table = write_csv(products, scratch_dir(spark, "csv")), scratch_dir(spark, "table")
     ingest.start_ingest(
-        ingest.stream_products(spark, source), table, scratch_dir(spark, "checkpoint")
+        ingest.stream_products(spark, source, batch_bytes=ingest.LOAD_BYTES), table, scratch_dir(spark, "checkpoint")
     ).awaitTermination()
     return spark.read.schema(PRODUCTS).parquet(table)
 
@@ -173,7 +173,7 @@ def stream_ingest_by_name(products: DataFrame) -> DataFrame:
     rated = F.coalesce(c("rating_total") > 0, F.lit(False))
     write_csv(products.filter(rated).select(COLUMNS[::-1]), source)
     write_csv(products.filter(~rated), source)
-    files = ingest.stream_files(spark, source)
+    files = ingest.stream_files(spark, source, batch_bytes=ingest.LOAD_BYTES)
     ingest.start_ingest_by_name(files, table, scratch_dir(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(table).select(COLUMNS)
 
@@ -185,25 +185,24 @@ def stream_ingest_unique(products: DataFrame) -> DataFrame:
     depends on the file that is taken first, so only keys are returned.
     """
     spark = products.sparkSession
-    source, table = scratch_dir(spark, "csv"), scratch_dir(spark, "table")
-    write_csv(products, source)
-    write_csv(products.select(COLUMNS[::-1]), source)
-    files = ingest.stream_files(spark, source)
-    ingest.start_ingest_by_name(
-        files, table, scratch_dir(spark, "checkpoint"), unique="product_id"
-    ).awaitTermination()
+    source, table, checkpoint = (scratch_dir(spark, purpose) for purpose in ("csv", "table", "checkpoint"))
+    for columns in (COLUMNS, COLUMNS[::-1]):
+        write_csv(products.select(columns), source)
+        files = ingest.stream_files(spark, source, batch_bytes=ingest.LOAD_BYTES)
+        ingest.start_ingest_by_name(files, table, checkpoint, unique="product_id").awaitTermination()
     return spark.read.parquet(table).groupBy("product_id").agg(F.count("*").alias("n_rows"))
 
 
 def _refreshed(products: DataFrame, specs: packs.Specs) -> tuple[str, StreamingQuery]:
     """All products in two loads, so that the second is added to a state."""
     spark = products.sparkSession
-    source, home = scratch_dir(spark, "csv"), scratch_dir(spark, "home")
+    source, home, checkpoint = (scratch_dir(spark, purpose) for purpose in ("csv", "home", "checkpoint"))
     odd = F.coalesce(c("product_id") % 2 == 1, F.lit(False))
-    write_csv(products.filter(odd), source)
-    write_csv(products.filter(~odd), source)
-    query = refresh.start_refresh(ingest.stream_files(spark, source), specs, home, scratch_dir(spark, "checkpoint"))
-    query.awaitTermination()
+    for load in (odd, ~odd):
+        write_csv(products.filter(load), source)
+        files = ingest.stream_files(spark, source, batch_bytes=ingest.LOAD_BYTES)
+        query = refresh.start_refresh(files, specs, home, checkpoint)
+        query.awaitTermination()
     return home, query
 
 
@@ -225,7 +224,7 @@ def stream_refresh_reports(products: DataFrame, specs: packs.Specs) -> DataFrame
 def stream_brand_counts(products: DataFrame) -> DataFrame:
     spark = products.sparkSession
     source, table = write_csv(products, scratch_dir(spark, "csv")), scratch_dir(spark, "counts")
-    rows = ingest.stream_products(spark, source)
+    rows = ingest.stream_products(spark, source, batch_bytes=ingest.LOAD_BYTES)
     query = refresh.start_brand_counts(rows, table, scratch_dir(spark, "checkpoint"))
     query.awaitTermination()
     return refresh.latest(spark, table, query)

@@ -6,22 +6,32 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from shelfscope.operators.sinks import overwrite_batch
 from shelfscope.schema import COLUMNS
 from shelfscope.sources.catalog_csv import GLOB, Header, conform, listing, read_catalog, scan_text
 
 FILES_PER_BATCH = 1  # files are taken one at a time unless told otherwise
+LOAD_BYTES = 8 << 30  # what a bulk load takes at a time, so that its batches follow its size, not its number of files
 DRAIN = {"availableNow": True}  # trigger: work through what is there, then stop
 
 
+def _reader(spark: SparkSession, files: int, batch_bytes: int | None) -> DataStreamReader:
+    """So many files to a batch or, with ``batch_bytes``, as many as have that size together, one at least."""
+    limit = ("maxFilesPerTrigger", files) if batch_bytes is None else ("maxBytesPerTrigger", batch_bytes)
+    return spark.readStream.option(*limit)
+
+
 def stream_products(
-    spark: SparkSession, folder: str, header: Header = tuple(COLUMNS), files: int = FILES_PER_BATCH
+    spark: SparkSession,
+    folder: str,
+    header: Header = tuple(COLUMNS),
+    files: int = FILES_PER_BATCH,
+    batch_bytes: int | None = None,
 ) -> DataFrame:
     """Typed products from files that all have the columns of ``header`` in that order."""
-    reader = spark.readStream.option("maxFilesPerTrigger", files)
-    return conform(scan_text(reader, header, folder, GLOB), header)
+    return conform(scan_text(_reader(spark, files, batch_bytes), header, folder, GLOB), header)
 
 
 def start_ingest(rows: DataFrame, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -31,13 +41,17 @@ def start_ingest(rows: DataFrame, table: str, checkpoint: str, trigger: dict | N
 
 
 def stream_files(
-    spark: SparkSession, folder: str, files: int = FILES_PER_BATCH, known: str | None = None
+    spark: SparkSession,
+    folder: str,
+    files: int = FILES_PER_BATCH,
+    known: str | None = None,
+    batch_bytes: int | None = None,
 ) -> DataFrame:
     """Paths of new files. ``known`` is a table of paths to leave out, see ``record_known``.
 
     Only the listing is streamed; nothing is read until a batch loads its files.
     """
-    found = listing(spark.readStream.option("maxFilesPerTrigger", files), folder).select("path")
+    found = listing(_reader(spark, files, batch_bytes), folder).select("path")
     if known is None:
         return found
     return found.join(spark.read.schema("path string").parquet(known), "path", "left_anti")
@@ -57,7 +71,7 @@ def record_known(spark: SparkSession, folder: str, table: str) -> str:
 
 
 def batch_paths(batch: DataFrame) -> Sequence[str]:
-    """The files of one batch, at most ``maxFilesPerTrigger`` names."""
+    """The names of the files of one batch."""
     return [r.path for r in batch.collect()]
 
 

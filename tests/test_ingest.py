@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.operators.filters import FilterSpec
 from shelfscope.operators.sinks import append_products, overwrite_batch, write_report
-from shelfscope.plans import facts, packs, reports
+from shelfscope.plans import facts, loading, packs, reports
 from shelfscope.plans.loading import write_csv
 from shelfscope.registry import SPECS
 from shelfscope.schema import COLUMNS, PRODUCTS
@@ -301,3 +301,20 @@ def test_unique_load_takes_each_key_once(spark, tmp_path):
         got = spark.read.schema("product_id long, title string").parquet(f"{table}/batch_id={turn}").collect()
         assert sorted(map(tuple, got), key=str) == sorted(expected[turn], key=str)
     assert "batch_id" in spark.read.parquet(table).columns
+
+
+def test_batches_follow_the_bytes_not_the_files(spark, folder, tmp_path):
+    for i in range(5):
+        (folder / f"{i}.csv").write_text(f"product_id\n{i}\n")
+    for most, batches in ((1 << 20, 1), (30, 3), (1, 5)):
+        table, files = str(tmp_path / f"t{most}"), ingest.stream_files(spark, str(folder), batch_bytes=most)
+        ingest.start_ingest_by_name(files, table, str(tmp_path / f"c{most}")).awaitTermination()
+        rows = spark.read.parquet(table).collect()
+        assert sorted(r.product_id for r in rows) == list(range(5))
+        assert len({r.batch_id for r in rows}) == batches
+
+
+def test_refresh_takes_a_load_of_many_files_at_once(spark, products):
+    home, query = loading._refreshed(products.repartition(6), {"all": SPECS["everything"]})
+    assert query.lastProgress["batchId"] == 1  # two loads, two batches
+    assert spark.read.parquet(f"{home}/products").count() == products.count()
