@@ -20,7 +20,7 @@ def append_products(rows: DataFrame, table: str) -> int:
 
 def overwrite_batch(rows: DataFrame, table: str, batch_id: int) -> None:
     """Write one stream batch into its own folder, so that a repeated batch replaces itself."""
-    rows.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{table}/batch_id={batch_id}")
 
 
 def rows_per_partition(rows: DataFrame) -> DataFrame:

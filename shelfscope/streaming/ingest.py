@@ -14,6 +14,7 @@ from shelfscope.sources.catalog_csv import GLOB, Header, conform, listing, read_
 
 FILES_PER_BATCH = 1  # files are taken one at a time unless told otherwise
 LOAD_BYTES = 8 << 30  # what a bulk load takes at a time, so that its batches follow its size, not its number of files
+FEW_KEYS = 200_000  # new keys that are sent to the rows of a batch rather than the rows to them
 DRAIN = {"availableNow": True}  # trigger: work through what is there, then stop
 
 
@@ -93,10 +94,14 @@ def start_ingest_by_name(
             overwrite_batch(rows, table, batch_id)
             return
         rows = rows.persist()
+        new = new_keys(rows, table, batch_id, unique)
+        new = new.persist() if new is not None else None
         try:
-            overwrite_batch(unseen(rows, table, batch_id, unique), table, batch_id)
+            overwrite_batch(rows_of_new(rows, unique, new), table, batch_id)
         finally:
-            rows.unpersist()
+            for held in (new, rows):
+                if held is not None:
+                    held.unpersist()
 
     writer = files.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or DRAIN)).start()
@@ -106,18 +111,42 @@ def unseen(rows: DataFrame, table: str, batch_id: int, key: str) -> DataFrame:
     """The rows whose key no earlier batch of the table holds, one for each key.
 
     Of rows with the same key the first in column order stays. Rows without a
-    key cannot be told apart and all stay. Of the table only the key column is
-    read, and of that only row groups within the span of the batch's keys.
-    Later folders are left out, so a repeated batch finds the same rows new.
+    key cannot be told apart and all stay. Later folders are left out, so a
+    repeated batch finds the same rows new.
+    """
+    return rows_of_new(rows, key, new_keys(rows, table, batch_id, key))
+
+
+def new_keys(rows: DataFrame, table: str, batch_id: int, key: str) -> DataFrame | None:
+    """The distinct keys of the rows that no earlier batch of the table holds; None if there is nothing to look at.
+
+    Of the table only the key column is read, and of that only row groups
+    within the span of the batch's keys. No other column is moved.
     """
     span = rows.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    keyed = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
-    single = keyed.agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
     try:
         earlier = rows.sparkSession.read.parquet(table)
     except AnalysisException:
-        earlier = None
-    if earlier is not None and span.low is not None:
-        within = (F.col("batch_id") < batch_id) & F.col(key).between(span.low, span.high)
-        single = single.join(earlier.where(within).select(key), key, "left_anti")
-    return single.select(rows.columns).unionByName(rows.where(F.col(key).isNull()))
+        return None
+    if span.low is None:
+        return None
+    within = (F.col("batch_id") < batch_id) & F.col(key).between(span.low, span.high)
+    keys = rows.where(F.col(key).isNotNull()).select(key).distinct()
+    return keys.join(earlier.where(within).select(key), key, "left_anti")
+
+
+def rows_of_new(rows: DataFrame, key: str, new: DataFrame | None) -> DataFrame:
+    """The first row of each new key, and all rows without a key.
+
+    Few new keys are sent to the rows, so that only theirs are moved. Otherwise
+    all rows are moved by key, once.
+    """
+    keyed = rows.where(F.col(key).isNotNull())
+    few = new is not None and new.count() <= FEW_KEYS
+    if few:
+        keyed = keyed.join(F.broadcast(new), key, "left_semi")
+    others = [name for name in rows.columns if name != key]
+    single = keyed.groupBy(key).agg(F.min(F.struct(*others)).alias("row"))
+    if new is not None and not few:
+        single = single.join(new, key, "left_semi")
+    return single.select(key, "row.*").select(rows.columns).unionByName(rows.where(F.col(key).isNull()))

@@ -318,3 +318,23 @@ def test_refresh_takes_a_load_of_many_files_at_once(spark, products):
     home, query = loading._refreshed(products.repartition(6), {"all": SPECS["everything"]})
     assert query.lastProgress["batchId"] == 1  # two loads, two batches
     assert spark.read.parquet(f"{home}/products").count() == products.count()
+
+
+def test_unique_load_of_known_keys_moves_keys_alone(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "t")
+    rows = spark.range(1000).select(F.col("id").alias("product_id"), F.lit("x").alias("title"), F.lit(None).cast("int").alias("n"))
+    overwrite_batch(ingest.unseen(rows, table, 0, "product_id"), table, 0)
+    more = rows.withColumn("product_id", F.col("product_id") + 990).union(rows).union(rows.withColumn("title", F.lit("w")))
+    found, usual = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (ingest.FEW_KEYS, 0):
+            monkeypatch.setattr(ingest, "FEW_KEYS", few)
+            new = ingest.unseen(more, table, 1, "product_id")
+            found.append(sorted(map(tuple, new.collect())))
+            first = new._jdf.queryExecution().optimizedPlan().toString().index
+            # few new keys are looked up before rows are moved, many are compared with what was moved
+            assert (first("Join LeftSemi") > first("min(struct")) == (few > 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert found[0] == found[1] == [(i, "x", None) for i in range(1000, 1990)]
