@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,21 +48,36 @@ def powers(n: int, capacity: int = CAPACITY) -> list[int]:
     return [capacity] * (n // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def cut_up(run: int, seen: np.ndarray, doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray, capacity: int = CAPACITY) -> pa.RecordBatch:
+    """A row per piece of some documents; ``seen`` counts the run's pieces by bucket and goes on.
+
+    The pieces follow each other without a gap, so their ids are not copied.
+    """
+    tokens = np.diff(bounds)
+    cuts = [powers(n, capacity) for n in tokens.tolist()]
+    doc = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+    lengths = np.fromiter(chain.from_iterable(cuts), dtype=np.int64)
+    begins = np.cumsum(lengths) - lengths
+    buckets = np.bitwise_count(lengths - 1).astype(np.int64)
+    at = np.empty(len(lengths), dtype=np.int64)
+    for bucket in np.flatnonzero(np.bincount(buckets)):
+        own = np.flatnonzero(buckets == bucket)
+        at[own] = seen[bucket] + np.arange(len(own))
+        seen[bucket] += len(own)
+    offsets = pa.py_buffer(np.append(4 * begins, 4 * len(ids)).astype(np.int32))
+    raw = pa.Array.from_buffers(pa.binary(), len(lengths), [None, offsets, pa.py_buffer(ids)])
+    numbers = [np.full(len(lengths), run), buckets, at, doc_ids.take(pa.array(doc)), begins - bounds[doc], lengths, tokens[doc]]
+    columns = [pa.array(c, f.type) for c, f in zip(numbers, _ARROW, strict=False)]
+    return pa.RecordBatch.from_arrays([*columns, raw], schema=_ARROW)
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, seen = TaskContext.get().partitionId(), np.zeros(capacity.bit_length(), dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, bounds = encoder(path, end_id).encode(texts_of(part, "text"))
-                raw, rows = memoryview(ids.tobytes()), []
-                for doc_id, begin, end in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    at = begin
-                    for length in powers(end - begin, capacity):
-                        bucket = length.bit_length() - 1
-                        rows.append((run, bucket, int(seen[bucket]), doc_id, at - begin, length, end - begin, raw[4 * at : 4 * (at + length)]))
-                        seen[bucket] += 1
-                        at += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                yield cut_up(run, seen, part.column("doc_id"), ids, bounds, capacity)
 
     return cut
 

@@ -64,7 +64,7 @@ class ChunkEncoder:
             self._known.clear()
         known = self._known
         new = [c for c in chunks if c not in known]
-        words = [c for c in new if c.isalpha() and max(c) <= "ÿ"]
+        words = [c for c in new if c.isalpha() and (c.isascii() or max(c) <= "ÿ")]
         for some in _runs(words):
             known.update(self._of_words(some))
         new = [c for c in new if c not in known]

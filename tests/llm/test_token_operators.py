@@ -107,3 +107,21 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert token_counts.token_counts(empty, BYTE).count() == 0
     assert dac_codes.read_back(dac_codes.written(empty, WORD)).count() == 0
     assert pow2_packing.packed(empty, WORD).count() == 0
+
+
+def test_pieces_share_the_memory_of_the_ids():
+    sizes = [1, 13, 8, 3 * 8 + 5]
+    ids, bounds = np.arange(sum(sizes), dtype="<u4"), np.cumsum([0, *sizes])
+    seen = np.zeros(4, dtype=np.int64)
+    found = pow2_packing.cut_up(7, seen, pa.array([5, None, 5, 6]), ids, bounds, 8)
+    assert found.column("ids").buffers()[2].address == ids.ctypes.data
+    expected, count = [], [0] * 4
+    for doc_id, begin, n in zip([5, None, 5, 6], bounds.tolist(), sizes):
+        start = 0
+        for length in pow2_packing.powers(n, 8):
+            bucket = length.bit_length() - 1
+            raw = ids[begin + start : begin + start + length].tobytes()
+            expected.append((7, bucket, count[bucket], doc_id, start, length, n, raw))
+            count[bucket] += 1
+            start += length
+    assert [tuple(r.values()) for r in found.to_pylist()] == expected and seen.tolist() == count
