@@ -383,36 +383,39 @@ def pair_counts(sliced: DataFrame, b_ids: int) -> DataFrame:
 
 
 def _summed(carry: tuple[str, ...]):
-    """Adds n_best and count_sum to the documents of each slice."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                docs = batch.column("docs").slice(row, 1).flatten()
-                codes, times = (np.frombuffer(batch.column(n)[row].as_py(), "<u4") for n in ("codes", "times"))
-                n, best = (np.asarray(batch.column(x).slice(row, 1).flatten()).astype(np.int64) for x in ("n", "best"))
-                ends = np.concatenate([[0], np.cumsum(np.asarray(docs.field("held")))])
-                sums = []
-                for worth in (best, n):
-                    # Whole numbers wrap around without harm: each difference is right.
-                    run = np.concatenate([[0], np.cumsum(times.astype(np.int64) * worth[codes])])
-                    sums.append(pa.array(run[ends[1:]] - run[ends[:-1]]))
-                names = [*carry, *COUNTED, "groups_sha256"]
-                yield pa.RecordBatch.from_arrays([*(docs.field(x) for x in names), *sums], names=[*names, "n_best", "count_sum"])
+    """Adds n_best and count_sum to the documents of one slice, from its row and the counts of its pairs in any order."""
+
+    def add(sliced: pa.Table, scored: pa.Table) -> pa.Table:
+        at = scored.column("at").to_numpy()
+        docs = sliced.column("docs").combine_chunks().flatten()
+        codes, times = (np.frombuffer(sliced.column(x)[0].as_buffer(), "<u4") for x in ("codes", "times"))
+        ends = np.concatenate([[0], np.cumsum(np.asarray(docs.field("held")))])
+        sums = []
+        for worth in ("best", "n"):
+            of_pair = np.zeros(len(at), np.int64)
+            of_pair[at] = scored.column(worth).to_numpy()
+            # Whole numbers wrap around without harm: each difference is right.
+            run = np.concatenate([[0], np.cumsum(times * of_pair[codes])])
+            sums.append(pa.array(run[ends[1:]] - run[ends[:-1]]))
+        names = [*carry, *COUNTED, "groups_sha256"]
+        return pa.Table.from_arrays([*(docs.field(x) for x in names), *sums], names=[*names, "n_best", "count_sum"])
 
     return add
 
 
+def _rejoined(sliced: DataFrame, b_ids: int, carry: tuple[str, ...]) -> DataFrame:
+    """The documents of all slices; counts of pairs go back to their slice row by row, so that no task holds more than one slice."""
+    scored = pair_counts(sliced, b_ids)
+    asked = sliced.select("slice", F.posexplode("pairs").alias("at", "pair"))
+    back = asked.join(scored, "pair").select(c("slice").alias("of"), "at", "n", "best")
+    whole = sliced.select("slice", "docs", "codes", "times")
+    kinds = {f.name: f for f in sliced.schema["docs"].dataType.elementType}
+    schema = T.StructType([kinds[n] for n in (*carry, *COUNTED, "groups_sha256")]).add("n_best", "long").add("count_sum", "long")
+    return whole.groupBy("slice").cogroup(back.groupBy("of")).applyInArrow(_summed(carry), schema)
+
+
 def linked(docs: DataFrame, path_a: str, path_b: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document: sizes, links and groups, and how common its linked id pairs are in the whole corpus."""
     with batches_of(docs.sparkSession, TEXT_ROWS):
         sliced = stored(_sliced(docs, path_a, path_b, text, carry), "alignment")
-    scored = pair_counts(sliced, len(tokenizers(path_a, path_b).b_bytes))
-    asked = sliced.select("slice", F.posexplode("pairs").alias("at", "pair"))
-    back = asked.join(scored, "pair").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("at", "n", "best"))).alias("found"))
-    whole = sliced.select("slice", "docs", "codes", "times").join(back, "slice", "left")
-    whole = whole.select("docs", "codes", "times", *(F.coalesce(c(f"found.{n}"), F.array()).alias(n) for n in ("n", "best")))
-    names = [*carry, *COUNTED, "groups_sha256"]
-    kinds = {f.name: f for f in sliced.schema["docs"].dataType.elementType}
-    schema = T.StructType([kinds[n] for n in names]).add("n_best", "long").add("count_sum", "long")
-    return whole.mapInArrow(_summed(carry), schema)
+    return _rejoined(sliced, len(tokenizers(path_a, path_b).b_bytes), carry)

@@ -122,3 +122,16 @@ def test_proof_for_chunks_holds_and_whole_texts_give_the_same():
     whole.in_chunks = False
     x, y = both.encode(HARD), whole.encode(HARD)
     assert all((getattr(x, n) == getattr(y, n)).all() for n in ("a", "b", "a_bounds", "b_bounds"))
+
+
+def test_counts_go_back_one_slice_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lockstep_alignment, "SLICE", 60)
+    docs = documents(spark, HARD)
+    rows = lockstep_alignment.linked(docs, A, B, carry=("doc_id", "at", "run"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
+    want, _ = plain([*HARD, HARD[-1], "text of nobody"])
+    ids = [*range(len(HARD)), len(HARD) - 1, None]
+    got = rows.collect()
+    assert sorted(((str(r.doc_id), as_row(r)) for r in got), key=str) == sorted(zip(map(str, ids), want), key=str)
+    assert {(r.at, r.run) for r in got} == {(5, 1)}
