@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfscope.llm.tables import TEXT_ROWS, batches_of, stored
-from shelfscope.llm.token_counts import _byte_alphabet
+from shelfscope.llm.tokens import byte_alphabet
 from shelfscope.llm.words import slices, texts_of
 
 c = F.col
@@ -102,7 +102,7 @@ class Tokenizers:
             and proto.trainer_spec.model_type == proto.trainer_spec.BPE
             and not any(SPACE in p.lstrip(SPACE) for p in pieces)
         )
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         self.a_bytes = [b""] * self._a.get_vocab_size()
         for token, i in self._a.get_vocab(with_added_tokens=False).items():
             self.a_bytes[i] = bytes(alphabet[x] for x in token)

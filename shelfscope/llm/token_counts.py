@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.tokens import REMEMBERED, tokenizer
+from shelfscope.llm.tokens import REMEMBERED, byte_alphabet, tokenizer
 from shelfscope.llm.words import slices, texts_of
 
 LIMIT = 512
@@ -37,17 +37,9 @@ UNSURE = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞€]")
 CHUNK = re.compile(r"(?<=\S)(?= \S)")
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """Character that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    found = {chr(b): b for b in plain}
-    rest = [b for b in range(256) if b not in plain]
-    return found | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def whole_tokens(path: str) -> list[str]:
     """The vocabulary strings that are one pre-token and encode alone as their own single id."""
-    library, alphabet = tokenizer(path), _byte_alphabet()
+    library, alphabet = tokenizer(path), byte_alphabet()
     found = []
     for token, id_ in sorted(library.get_vocab(with_added_tokens=False).items()):
         try:

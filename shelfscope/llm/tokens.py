@@ -4,12 +4,16 @@ For the word-level vocabulary used here (lower case, white space dropped) a
 blank never lies inside a token, so that the ids of a text are those of its
 chunks, in order. Texts of plain Latin letters, digits and marks are lower-cased
 and their runs of marks set apart first, which changes no id and leaves far
-fewer distinct chunks; all others go to the library as they are.
+fewer distinct chunks; all others go to the library as they are. Plain words,
+most of the distinct chunks, need none of its rules but lower case and byte
+letters, and go straight to its model.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +24,7 @@ import pyarrow.compute as pc
 from shelfscope.llm.words import coded, split
 
 END_ID = 2
-#: Chunks that a worker remembers; it starts anew beyond, which changes the speed alone.
+#: Chunks that a worker remembers; those not met for a while are forgotten beyond, which changes the speed alone.
 REMEMBERED = 150_000
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters on which the vocabulary's rules are plain; a special token needs "<|".
@@ -29,6 +33,30 @@ PLAIN = f"^[\t\n\r\x20-\x7e{LETTER}×÷¡-©«-±´¶-¸»¿‐-‧€]*$"
 MARKS = rf"([{LETTER}0-9])([^\s{LETTER}0-9'][^\s{LETTER}0-9]*)"
 
 
+#: Rules under which a word of plain letters is lower-cased and spelt in byte letters, and nothing else, before the model.
+WORD_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,6 +65,27 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_alphabet() -> dict[str, int]:
+    """Character that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    found = {chr(b): b for b in plain}
+    rest = [b for b in range(256) if b not in plain]
+    return found | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def word_tokenizer(library):
+    """The library's model behind a cut at blanks, for words in byte letters; None unless its rules and added tokens allow that."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    rules, added = json.loads(library.to_str()), library.get_added_tokens_decoder().values()
+    if any(rules[name] != rule for name, rule in WORD_RULES.items()) or not all(re.search(r"[^\w\s]", t.content) for t in added):
+        return None
+    made = Tokenizer(library.model)
+    made.pre_tokenizer = WhitespaceSplit()
+    return made
+
+
 def _loosened(texts: pa.Array) -> pa.Array:
     plain = pc.and_(pc.match_substring_regex(texts, PLAIN), pc.invert(pc.match_substring(texts, "<|")))
     eased = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=MARKS, replacement=r"\1 \2 ")
@@ -54,15 +103,19 @@ class ChunkEncoder:
     def __init__(self, path: str, end_id: int = END_ID):
         self._tokenizer = tokenizer(path)
         self._end = np.array([end_id], dtype="<u4").tobytes()
+        self._words = word_tokenizer(self._tokenizer)
+        self._letters = {b: letter for letter, b in byte_alphabet().items() if b != ord(" ")}
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         vocabulary = self._tokenizer.get_vocab()
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        known = self._known
+        if len(self._known) > REMEMBERED // 2:
+            self._older, self._known = self._known, {}
+        known, older = self._known, self._older
+        known.update((c, older[c]) for c in chunks if c in older and c not in known)
         new = [c for c in chunks if c not in known]
         words = [c for c in new if c.isalpha() and (c.isascii() or max(c) <= "ÿ")]
         for some in _runs(words):
@@ -75,7 +128,10 @@ class ChunkEncoder:
 
     def _of_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of plain words, encoded as one text and cut where a token ends a word; nothing if that doesn't come out."""
-        (found,) = self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        text, library = " ".join(words), self._tokenizer
+        if self._words:
+            text, library = text.lower().encode().decode("latin-1").translate(self._letters), self._words
+        (found,) = library.encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(found.ids, dtype="<u4")
         ends = np.flatnonzero(self._ends_word[ids]) + 1
         if len(ends) != len(words):

@@ -7,7 +7,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 from llm_samples import DOCS, ODD_TEXTS, SMALL, odd  # noqa: F401
-from shelfscope.llm import dac_codes, pow2_packing, queries, token_counts
+from shelfscope.llm import dac_codes, pow2_packing, queries, token_counts, tokens
 from shelfscope.llm.tokens import ChunkEncoder, tokenizer
 
 WORD, BYTE = (public_tokenizers.path(n) for n in (queries.WORD_VOCABULARY, queries.BYTE_VOCABULARY))
@@ -39,6 +39,29 @@ def test_chunks_give_the_librarys_ids():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*ids_of(WORD, text), 2], text
 
 
+def test_plain_words_go_to_the_model_and_give_the_librarys_ids():
+    letters = [chr(i) for i in range(256) if chr(i).isalpha()]
+    words = [*letters, *(f"x{c}Yb" for c in letters), "ÀÉÎ", "straßeº", "OThe", "thatableble" * 40]
+    encoder = ChunkEncoder(WORD)
+    found = encoder._of_words(words)
+    assert encoder._words is not None and tokens.word_tokenizer(tokenizer(BYTE)) is None
+    assert [np.frombuffer(found[w], "<u4").tolist() for w in words] == [ids_of(WORD, w) for w in words]
+    encoder._words = None
+    assert encoder._of_words(words) == found
+
+
+def test_words_met_again_are_kept_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 8)
+    encoder, asked, of_words = ChunkEncoder(WORD), [], ChunkEncoder._of_words
+    monkeypatch.setattr(ChunkEncoder, "_of_words", lambda self, words: asked.extend(words) or of_words(self, words))
+    for i in range(20):
+        text = f"often again {chr(97 + i)}x{chr(98 + i)} {chr(97 + i)}y{chr(98 + i)}"
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == [*ids_of(WORD, text), 2]
+    assert asked.count("often") == asked.count("again") == 1 and len(asked) == 42
+    assert len(encoder._known) + len(encoder._older) <= 16
+
+
 def test_counts_are_the_librarys():
     proved = token_counts.whole_tokens(BYTE)
     assert len(proved) > 40_000
