@@ -115,8 +115,9 @@ class ChunkEncoder:
         if len(self._known) > REMEMBERED // 2:
             self._older, self._known = self._known, {}
         known, older = self._known, self._older
-        known.update((c, older[c]) for c in chunks if c in older and c not in known)
         new = [c for c in chunks if c not in known]
+        known.update((c, older[c]) for c in new if c in older)
+        new = [c for c in new if c not in known]
         words = [c for c in new if c.isalpha() and (c.isascii() or max(c) <= "ÿ")]
         for some in _runs(words):
             known.update(self._of_words(some))
