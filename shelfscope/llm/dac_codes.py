@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfscope.llm.tables import run_offsets, stored
-from shelfscope.llm.tokens import END_ID, encoder
-from shelfscope.llm.words import slices, texts_of
+from shelfscope.llm.tokens import END_ID, encoded
 
 MAGIC = b"DAC1"
 #: Bits of the chunks, lowest first; the last level takes what is left.
@@ -131,12 +130,10 @@ class Codes:
 def _to_files(path: str, end_id: int, widths: tuple[int, ...]):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, file = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, bounds = encoder(path, end_id).encode(texts_of(part, "text"))
-                row = (run, file, part.num_rows, len(ids), part.column("doc_id").to_pylist(), np.diff(bounds).tolist(), encode(ids, widths))
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
-                file += 1
+        for part, ids, bounds in encoded(batches, path, end_id):
+            row = (run, file, part.num_rows, len(ids), part.column("doc_id").to_pylist(), np.diff(bounds).tolist(), encode(ids, widths))
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
+            file += 1
 
     return write
 

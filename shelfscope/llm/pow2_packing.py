@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm.tables import run_offsets, small, stored
-from shelfscope.llm.tokens import END_ID, encoder
-from shelfscope.llm.words import slices, texts_of
+from shelfscope.llm.tokens import END_ID, encoded
 
 CAPACITY = 4096
 PIECES = "run int, bucket int, at long, doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -74,10 +73,8 @@ def cut_up(run: int, seen: np.ndarray, doc_ids: pa.Array, ids: np.ndarray, bound
 def _pieces(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, seen = TaskContext.get().partitionId(), np.zeros(capacity.bit_length(), dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, bounds = encoder(path, end_id).encode(texts_of(part, "text"))
-                yield cut_up(run, seen, part.column("doc_id"), ids, bounds, capacity)
+        for part, ids, bounds in encoded(batches, path, end_id):
+            yield cut_up(run, seen, part.column("doc_id"), ids, bounds, capacity)
 
     return cut
 

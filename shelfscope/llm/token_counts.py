@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.tokens import REMEMBERED, byte_alphabet, tokenizer
+from shelfscope.llm.tokens import byte_alphabet, tokenizer
 from shelfscope.llm.words import slices, texts_of
 
 LIMIT = 512
+#: Pre-tokens that are remembered besides the proved ones, until all of them are forgotten at once.
+REMEMBERED = 150_000
 # The pre-token pattern of the byte-level vocabulary, with letters and digits spelt out.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 DIGIT = "0-9²³¹¼½¾"

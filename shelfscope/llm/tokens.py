@@ -21,12 +21,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from shelfscope.llm.words import coded, split
+from shelfscope.llm.words import coded, gathered, slices, split, texts_of
 
 END_ID = 2
 #: Chunks that a worker remembers; those not met for a while are forgotten beyond, which changes the speed alone.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
+#: Bytes of a remembered chunk at most; longer ones, as lines without blanks, are encoded whenever met.
+LONGEST = 100
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Bytes of texts, with their row's other columns, that are encoded together: what is remembered is laid out once for them.
+RUN_BYTES = 8_000_000
 #: Characters on which the vocabulary's rules are plain; a special token needs "<|".
 PLAIN = f"^[\t\n\r\x20-\x7e{LETTER}×÷¡-©«-±´¶-¸»¿‐-‧€]*$"
 #: A run of marks after a letter or digit. One that begins with an apostrophe may be a contraction.
@@ -74,14 +78,21 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def word_tokenizer(library):
-    """The library's model behind a cut at blanks, for words in byte letters; None unless its rules and added tokens allow that."""
-    from tokenizers import Tokenizer
+    """The library's model behind a cut at blanks, for words in byte letters; None unless its rules and added tokens allow that.
+
+    Its words differ, so the model remembers none itself.
+    """
+    from tokenizers import Tokenizer, models
     from tokenizers.pre_tokenizers import WhitespaceSplit
 
     rules, added = json.loads(library.to_str()), library.get_added_tokens_decoder().values()
     if any(rules[name] != rule for name, rule in WORD_RULES.items()) or not all(re.search(r"[^\w\s]", t.content) for t in added):
         return None
-    made = Tokenizer(library.model)
+    model = {name: rule for name, rule in rules["model"].items() if rule is not None}
+    if model.pop("type") != "BPE":
+        return None
+    merges = [tuple(m) for m in model.pop("merges")]
+    made = Tokenizer(models.BPE(merges=merges, cache_capacity=0, **model))
     made.pre_tokenizer = WhitespaceSplit()
     return made
 
@@ -105,27 +116,45 @@ class ChunkEncoder:
         self._end = np.array([end_id], dtype="<u4").tobytes()
         self._words = word_tokenizer(self._tokenizer)
         self._letters = {b: letter for letter, b in byte_alphabet().items() if b != ord(" ")}
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._known = pa.array([], pa.large_string())
+        self._known_ids = pa.array([], pa.large_binary())
+        #: For each known chunk, how many runs of texts ago it was last met.
+        self._older = np.zeros(0, dtype=np.int64)
         vocabulary = self._tokenizer.get_vocab()
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        if len(self._known) > REMEMBERED // 2:
-            self._older, self._known = self._known, {}
-        known, older = self._known, self._older
-        new = [c for c in chunks if c not in known]
-        known.update((c, older[c]) for c in new if c in older)
-        new = [c for c in new if c not in known]
-        words = [c for c in new if c.isalpha() and (c.isascii() or max(c) <= "ÿ")]
+    def _ids(self, chunks: list[str]) -> pa.Array:
+        """Ids of distinct chunks, encoded by the library."""
+        known: dict[str, bytes] = {}
+        words = [c for c in chunks if c.isalpha() and (c.isascii() or max(c) <= "ÿ")]
         for some in _runs(words):
             known.update(self._of_words(some))
-        new = [c for c in new if c not in known]
-        for some in _runs(new):
+        for some in _runs([c for c in chunks if c not in known]):
             found = self._tokenizer.encode_batch_fast(some, add_special_tokens=False)
             known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(some, found, strict=True))
-        return [known[c] for c in chunks]
+        return pa.array([known[c] for c in chunks], pa.large_binary())
+
+    def _looked_up(self, values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Each value's place among the ids of distinct chunks, and these ids: the remembered ones, then those met first here."""
+        codes, distinct = coded(pa.concat_arrays([self._known, values.cast(pa.large_string())]))
+        codes = codes[len(self._known) :]
+        new = distinct.slice(len(self._known))
+        ids = pa.concat_arrays([self._known_ids, self._ids(new.to_numpy(zero_copy_only=False).tolist())])
+        older = np.append(self._older + 1, np.zeros(len(new), dtype=np.int64))
+        older[codes] = 0
+        self._remember(distinct, ids, older)
+        return codes, ids
+
+    def _remember(self, chunks: pa.Array, ids: pa.Array, older: np.ndarray) -> None:
+        """Keep all for the next texts or, if these are too many, half as many as allowed: those met last."""
+        keep = np.flatnonzero(np.asarray(pc.binary_length(chunks)) <= LONGEST)
+        if len(keep) > REMEMBERED:
+            half = REMEMBERED // 2
+            keep = np.sort(keep[np.argpartition(older[keep], half)[:half]])
+        if len(keep) < len(chunks):
+            chunks, ids, older = chunks.take(pa.array(keep)), ids.take(pa.array(keep)), older[keep]
+        self._known, self._known_ids, self._older = chunks, ids, older
 
     def _of_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of plain words, encoded as one text and cut where a token ends a word; nothing if that doesn't come out."""
@@ -143,8 +172,8 @@ class ChunkEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's begin and end."""
         values, bounds = split(_loosened(texts), blanks="\n")
-        codes, distinct = coded(values)
-        pool = pa.array([*self._ids(distinct.to_numpy(zero_copy_only=False).tolist()), self._end], pa.large_binary())
+        codes, known = self._looked_up(values)
+        pool = pa.concat_arrays([known, pa.array([self._end], pa.large_binary())])
         laid = pool.take(pa.array(np.insert(codes, bounds[1:], len(pool) - 1)))
         _, offsets, data = laid.buffers()
         ends = np.frombuffer(offsets, dtype=np.int64, count=len(laid) + 1) // 4
@@ -157,3 +186,14 @@ class ChunkEncoder:
 def encoder(path: str, end_id: int = END_ID) -> ChunkEncoder:
     """The worker's own encoder, kept from task to task."""
     return ChunkEncoder(path, end_id)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with about a slice's bytes of ``text``, all their ids, and where each text's begin and end."""
+    for run in gathered(batches, "text", RUN_BYTES):
+        ids, bounds = encoder(path, end_id).encode(texts_of(run, "text"))
+        at = 0
+        for part in slices(run, "text"):
+            own = bounds[at : at + part.num_rows + 1]
+            yield part, ids[own[0] : own[-1]], own - own[0]
+            at += part.num_rows

@@ -24,6 +24,20 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         begin = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, in order, joined or cut to ``most`` bytes about, one row at least."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, text, most):
+            if held and size + part.nbytes > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
     return pc.fill_null(batch.column(text), "")
 

@@ -62,6 +62,33 @@ def test_words_met_again_are_kept_when_others_are_forgotten(monkeypatch):
     assert len(encoder._known) + len(encoder._older) <= 16
 
 
+def test_batches_are_encoded_together_and_handed_on_by_slices(monkeypatch):
+    texts = [None, "", *HARD, *(f"again word{chr(97 + i)}x " * 30_000 for i in range(4)), "again"]
+    calls, encode = [], ChunkEncoder.encode
+    monkeypatch.setattr(ChunkEncoder, "encode", lambda self, texts: calls.append(len(texts)) or encode(self, texts))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i, i]), "text": pa.array([t, t], pa.string())}) for i, t in enumerate(texts)]
+    found = list(tokens.encoded(iter(batches), WORD))
+    assert calls == [2 * len(texts)] and len(found) > 2
+    assert [i for part, _, _ in found for i in part.column("doc_id").to_pylist()] == [i // 2 for i in range(2 * len(texts))]
+    expected = {t: [*ids_of(WORD, t), 2] for t in texts}
+    for part, ids, bounds in found:
+        assert bounds[0] == 0 and bounds[-1] == len(ids)
+        for text, begin, end in zip(part.column("text").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+            assert ids[begin:end].tolist() == expected[text]
+    monkeypatch.setattr(tokens, "RUN_BYTES", 500_000)
+    calls.clear()
+    cut = list(tokens.encoded(iter(batches), WORD))
+    assert len(calls) == 8 and np.concatenate([i for _, i, _ in cut]).tolist() == np.concatenate([i for _, i, _ in found]).tolist()
+
+
+def test_long_chunks_are_not_remembered():
+    encoder, lines = ChunkEncoder(WORD), ["ab" * 200, "你好" * 100, "short", "你好"]
+    for _ in range(2):
+        ids, bounds = encoder.encode(pa.array(lines))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*ids_of(WORD, t), 2] for t in lines]
+        assert sorted(encoder._known.to_pylist()) == ["short", "你好"]
+
+
 def test_counts_are_the_librarys():
     proved = token_counts.whole_tokens(BYTE)
     assert len(proved) > 40_000
