@@ -21,16 +21,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from shelfscope.llm.words import coded, gathered, slices, split, texts_of
+from shelfscope.llm.words import gathered, slices, split, texts_of
 
 END_ID = 2
 #: Chunks that a worker remembers; those not met for a while are forgotten beyond, which changes the speed alone.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Bytes of a remembered chunk at most; longer ones, as lines without blanks, are encoded whenever met.
 LONGEST = 100
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Bytes of texts, with their row's other columns, that are encoded together: what is remembered is laid out once for them.
-RUN_BYTES = 8_000_000
+RUN_BYTES = 6_000_000
 #: Characters on which the vocabulary's rules are plain; a special token needs "<|".
 PLAIN = f"^[\t\n\r\x20-\x7e{LETTER}×÷¡-©«-±´¶-¸»¿‐-‧€]*$"
 #: A run of marks after a letter or digit. One that begins with an apostrophe may be a contraction.
@@ -103,9 +103,9 @@ def _loosened(texts: pa.Array) -> pa.Array:
     return pc.if_else(plain, eased, texts)
 
 
-def _runs(chunks: list[str], n: int = 2000) -> Iterator[list[str]]:
+def _runs(chunks: pa.Array, n: int = 2000) -> Iterator[pa.Array]:
     """What is encoded at a time: the library's results take far more room than the ids."""
-    return (chunks[i : i + n] for i in range(0, len(chunks), n))
+    return (chunks.slice(i, n) for i in range(0, len(chunks), n))
 
 
 class ChunkEncoder:
@@ -124,23 +124,22 @@ class ChunkEncoder:
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _ids(self, chunks: list[str]) -> pa.Array:
+    def _ids(self, distinct: pa.Array) -> pa.Array:
         """Ids of distinct chunks, encoded by the library."""
-        known: dict[str, bytes] = {}
+        chunks = distinct.to_numpy(zero_copy_only=False).tolist()
         words = [c for c in chunks if c.isalpha() and (c.isascii() or max(c) <= "ÿ")]
-        for some in _runs(words):
-            known.update(self._of_words(some))
-        for some in _runs([c for c in chunks if c not in known]):
-            found = self._tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(some, found, strict=True))
+        known = self._of_words(words) if words else {}
+        rest = [c for c in chunks if c not in known]
+        found = self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(rest, found, strict=True))
         return pa.array([known[c] for c in chunks], pa.large_binary())
 
     def _looked_up(self, values: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """Each value's place among the ids of distinct chunks, and these ids: the remembered ones, then those met first here."""
-        codes, distinct = coded(pa.concat_arrays([self._known, values.cast(pa.large_string())]))
-        codes = codes[len(self._known) :]
+        both = pa.concat_arrays([self._known, values.cast(pa.large_string())]).dictionary_encode()
+        codes, distinct = np.asarray(both.indices)[len(self._known) :], both.dictionary
         new = distinct.slice(len(self._known))
-        ids = pa.concat_arrays([self._known_ids, self._ids(new.to_numpy(zero_copy_only=False).tolist())])
+        ids = pa.concat_arrays([self._known_ids, *(self._ids(some) for some in _runs(new))])
         older = np.append(self._older + 1, np.zeros(len(new), dtype=np.int64))
         older[codes] = 0
         self._remember(distinct, ids, older)
@@ -173,6 +172,7 @@ class ChunkEncoder:
         """All ids one after the other, and where each text's begin and end."""
         values, bounds = split(_loosened(texts), blanks="\n")
         codes, known = self._looked_up(values)
+        del values
         pool = pa.concat_arrays([known, pa.array([self._end], pa.large_binary())])
         laid = pool.take(pa.array(np.insert(codes, bounds[1:], len(pool) - 1)))
         _, offsets, data = laid.buffers()

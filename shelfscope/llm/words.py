@@ -30,8 +30,8 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterato
     for batch in batches:
         for part in slices(batch, text, most):
             if held and size + part.nbytes > most:
-                yield pa.concat_batches(held)
-                held, size = [], 0
+                run, held, size = pa.concat_batches(held), [], 0
+                yield run
             held.append(part)
             size += part.nbytes
     if held:
